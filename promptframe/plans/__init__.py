@@ -8,6 +8,7 @@ from .registry import ORACLES, QUERIES
 
 _MODULES = [
     "faq_queries",
+    "positional_queries",
 ]
 
 for _m in _MODULES:
