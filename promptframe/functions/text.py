@@ -13,13 +13,17 @@ PY_WHITESPACE = (
 )
 
 
+# ``\z`` (not ``$``): Java's ``$`` also matches before a final line break.
+STRIP_PATTERN = f"^{PY_WHITESPACE}+|{PY_WHITESPACE}+\\z"
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
 def py_strip(col) -> Column:
     """``str.strip()``: remove leading and trailing whitespace (Unicode set)."""
-    return F.regexp_replace(_c(col), f"^{PY_WHITESPACE}+|{PY_WHITESPACE}+$", "")
+    return F.regexp_replace(_c(col), STRIP_PATTERN, "")
 
 
 def strip_chars(col, chars: str) -> Column:

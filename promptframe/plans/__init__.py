@@ -9,6 +9,7 @@ from .registry import ORACLES, QUERIES
 _MODULES = [
     "faq_queries",
     "positional_queries",
+    "markdown_queries",
 ]
 
 for _m in _MODULES:
