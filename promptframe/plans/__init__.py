@@ -10,6 +10,8 @@ _MODULES = [
     "faq_queries",
     "positional_queries",
     "markdown_queries",
+    "text_queries",
+    "llm_queries",
 ]
 
 for _m in _MODULES:

@@ -85,3 +85,34 @@ def fs_path(path: str) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """Read one of the input tables (one parquet file each)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``promptframe`` importable in Python workers (``--py-files`` at run time).
+
+    Operators that run Python in tasks (LLM, embedding, file codecs) call
+    this once per application; the package is zipped on the driver and added
+    with ``addPyFile`` so executors fetch it from the driver.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="promptframe-pyfiles-"), "promptframe.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            if "__pycache__" in dirpath:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
