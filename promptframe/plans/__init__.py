@@ -12,6 +12,7 @@ _MODULES = [
     "markdown_queries",
     "text_queries",
     "llm_queries",
+    "history_queries",
 ]
 
 for _m in _MODULES:
