@@ -200,14 +200,22 @@ class HashingEmbedder:
 
         self.dim = int(dim)
         self._tok = regex.compile(r"[\p{L}\p{N}_]{2,}")
+        self._buckets: dict[str, int] = {}
 
     def embed(self, texts):
         import numpy as np
 
         out = np.zeros((len(texts), self.dim), dtype=np.float64)
+        cache = self._buckets
         for i, t in enumerate(texts):
+            row = out[i]
             for tok in self._tok.findall((t or "").lower()):
-                out[i, int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % self.dim] += 1.0
+                b = cache.get(tok)
+                if b is None:
+                    if len(cache) > 1_000_000:
+                        cache.clear()
+                    b = cache[tok] = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % self.dim
+                row[b] += 1.0
         norms = np.sqrt((out * out).sum(axis=1))
         norms[norms == 0] = 1.0
         return (out / norms[:, None]).tolist()

@@ -13,6 +13,7 @@ _MODULES = [
     "text_queries",
     "llm_queries",
     "history_queries",
+    "vector_queries",
 ]
 
 for _m in _MODULES:

@@ -116,3 +116,15 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
     _SHIPPED.add(app)
+
+
+def spread(df, min_partitions: int | None = None):
+    """Repartition only when the input has fewer partitions than the cluster has cores.
+
+    Python-heavy maps (model calls, embedding) run one task per input
+    partition.  A single-file input may arrive as one partition; at scale the
+    scan already has thousands and this is a no-op (no extra shuffle).
+    """
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
