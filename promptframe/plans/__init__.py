@@ -14,6 +14,7 @@ _MODULES = [
     "llm_queries",
     "history_queries",
     "vector_queries",
+    "source_queries",
 ]
 
 for _m in _MODULES:
