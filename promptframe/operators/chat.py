@@ -59,11 +59,13 @@ def chat_prompt(df: DataFrame, system_template: str, user_template: str,
     return df.withColumn(out, F.array(*items))
 
 
-def sample_histories(pairs: DataFrame, num_rows, num_arrays: int = 5, seed: str = "0",
+def sample_histories(pairs: DataFrame, num_rows=None, num_arrays: int = 5, seed: str = "0",
                      question: str = "question", output: str = "output", order_by=None,
                      out: str = "!chat_history") -> DataFrame:
     """Sample ``num_arrays`` pairs with replacement into each of ``num_rows`` rows (AGG4).
 
+    ``num_rows`` defaults to the number of pairs.
+
     The reference draws with unseeded ``random.randint``; here slot ``(row, k)``
     takes pair ``md5(seed, row, k) mod n``, reproducible across retries.  The
     draw is a join on the pair position (not a broadcast: the pair table grows
@@ -77,7 +79,8 @@ def sample_histories(pairs: DataFrame, num_rows, num_arrays: int = 5, seed: str
     indexed, n = with_pos(pairs.select(question, output, *(order_by or [])), order_by=order_by, return_count=True)
     if n == 0:
         return spark.createDataFrame([], f"row_id long, `{out}` string")
-    slots = (spark.range(int(num_rows))
+    num_rows = n if num_rows is None else int(num_rows)
+    slots = (spark.range(num_rows)
              .select(F.col("id").alias("row_id"),
                      F.explode(F.sequence(F.lit(0), F.lit(num_arrays - 1))).alias("slot"))
              .withColumn("pos", ids.hash_index(n, "row_id", "slot", salt=seed)))

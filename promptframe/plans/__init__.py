@@ -15,6 +15,7 @@ _MODULES = [
     "history_queries",
     "vector_queries",
     "source_queries",
+    "stream_queries",
 ]
 
 for _m in _MODULES:

@@ -97,3 +97,21 @@ SELECT conv_id, max(turn) AS last_turn, arg_max(text, turn) AS last_text FROM co
 """)
 def q_last_turn(spark, sf_dir):
     return last_turn(table(spark, sf_dir, "conversations"))
+
+
+@query("sample_histories", f"""
+WITH p AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos, question, answer FROM ({_PAIRS_SQL})),
+c AS (SELECT count(*) AS n FROM p),
+s AS (SELECT r.row_id, k.slot,
+        CAST(('0x' || substr(md5(concat_ws(chr(1), '0', CAST(r.row_id AS VARCHAR), CAST(k.slot AS VARCHAR))), 1, 8))
+             AS BIGINT) % c.n AS pos
+      FROM c, range(c.n) r(row_id), range(5) k(slot))
+SELECT row_id, to_json(list([question, answer] ORDER BY slot)) AS "!chat_history" FROM s JOIN p USING (pos)
+GROUP BY row_id
+""")
+def q_sample_histories(spark, sf_dir):
+    from ..operators.chat import sample_histories
+
+    pairs = chat_pairs(table(spark, sf_dir, "conversations"), input_col="question", output_col="answer")
+    return sample_histories(pairs, None, 5, seed="0", question="question", output="answer",
+                            order_by=["conv_id", "turn"])
