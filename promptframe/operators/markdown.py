@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
+from ..session import spread
 
 
 def _cells(line: Column) -> Column:
@@ -48,6 +49,29 @@ def parse_expr(text) -> Column:
     return F.when(start > 0, F.struct(header.alias("header"), rows.alias("rows")))
 
 
+def parse_staged(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """``keep.., _h (header), _rows`` computed in three projections.
+
+    Same result as ``parse_expr`` but each piece is computed once per row:
+    Catalyst does not inline a non-trivial alias that is used twice, so the
+    split lines and the header are materialised before the per-line lambdas
+    use them (in one nested expression they would be re-evaluated per line).
+    Rows without a table get null ``_h`` / ``_rows``.
+    """
+    t = F.col(text_col)
+    s1 = df.select(*keep, F.locate("| ", t).alias("_start"), t.alias("_text"))
+    s2 = s1.select(*keep, F.when(F.col("_start") > 0, F.split(F.substring(F.col("_text"), F.col("_start"),
+                                                                          F.lit(2147483647)), "\n", -1))
+                   .alias("_lines"))
+    lines = F.col("_lines")
+    s3 = s2.select(*keep, _cells(F.element_at(lines, 1)).alias("_h"),
+                   F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))),
+                            lambda ln: ~_is_separator(ln)).alias("_body"))
+    s4 = s3.select(*keep, "_h", F.transform("_body", _cells).alias("_cells"))
+    return s4.select(*keep, "_h", F.transform("_cells", lambda cells: F.transform(
+        F.col("_h"), lambda _x, i: F.coalesce(F.try_element_at(cells, i + 1), F.lit("")))).alias("_rows"))
+
+
 def _dedupe_names(header: Column) -> Column:
     """Suffix repeated header names ``_2``, ``_3``... (Spark needs unique keys)."""
     return F.transform(header, lambda h, i: F.when(
@@ -65,14 +89,27 @@ def markdown_cells(df: DataFrame, keys: list[str], text_col: str = "text") -> Da
 
     A text without a table contributes nothing; a header-only table has no
     rows.  ``row_no`` counts data rows (separator lines skipped), from 0.
+
+    The parse result is only filtered *after* the outer explodes: a filter
+    on the parse (or the one Spark infers for a plain ``explode``) would be
+    pushed below the projection and re-evaluate the whole parse.
     """
-    parsed = df.select(*keys, parse_expr(text_col).alias("_t")).where(F.col("_t").isNotNull())
-    rows = parsed.select(*keys, F.col("_t.header").alias("_h"), F.posexplode("_t.rows").alias("row_no", "_r"))
-    return rows.select(*keys, "row_no", F.posexplode(F.arrays_zip(F.col("_h").alias("n"), F.col("_r").alias("v")))
-                       .alias("col_no", "_c")) \
+    parsed = parse_staged(spread(df.select(*keys, text_col)), keys, text_col)
+    rows = parsed.select(*keys, "_h", F.posexplode_outer("_rows").alias("row_no", "_r"))
+    cells = rows.select(*keys, "row_no", F.posexplode_outer(
+        F.arrays_zip(F.col("_h").alias("n"), F.col("_r").alias("v"))).alias("col_no", "_c"))
+    return cells.where(F.col("row_no").isNotNull() & F.col("col_no").isNotNull()) \
         .select(*keys, "row_no", "col_no", F.col("_c.n").alias("col_name"), F.col("_c.v").alias("cell"))
 
 
+def header_expr(text) -> Column:
+    """Header cells of the first table (null without one); reads only its first line."""
+    t = F.col(text) if isinstance(text, str) else text
+    start = F.locate("| ", t)
+    first = F.substring_index(F.substring(t, start, F.lit(2147483647)), "\n", 1)
+    return F.when(start > 0, _cells(first))
+
+
 def markdown_history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
                      text_col: str = "text") -> DataFrame:
     """Tables of all turns of a conversation, unioned (TAB2).
@@ -81,25 +118,28 @@ def markdown_history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn"
     turn, then position in the header); a row gets ``''`` where its own table
     lacks a column.  Texts without a table, and null texts, are skipped.
 
-    Two passes.  Pass 1 finds each conversation's column order from
-    ``min(struct(turn, position))`` per (conversation, column): a partial
-    aggregate, then a small per-conversation list.  Pass 2 joins every parsed
-    row to that list (one row per conversation, so a hot conversation's rows
-    meet a single small row; AQE splits a skewed partition) and expands the
-    row through a ``name -> cell`` map.
+    Two passes.  Pass 1 reads only each table's header line and finds the
+    first (turn, position) per (conversation, column) with ``min`` /
+    ``min_by`` (partial hash aggregates), then a per-conversation list,
+    bounded by the number of distinct columns.  Pass 2 joins every parsed
+    row to that list (one small row per conversation: broadcast when small,
+    and AQE splits a skewed partition otherwise) and expands the row through
+    a ``name -> cell`` map.
 
     Output long form: ``conv, turn, row_no, col_no, col_name, cell``.
     """
-    parsed = (turns.where(F.col(text_col).isNotNull())
-              .select(conv, turn, parse_expr(text_col).alias("_t"))
-              .where(F.col("_t").isNotNull())
-              .select(conv, turn, _dedupe_names(F.col("_t.header")).alias("_h"), F.col("_t.rows").alias("_rows")))
-    first_seen = (parsed.select(conv, turn, F.posexplode("_h").alias("_i", "col_name"))
-                  .groupBy(conv, "col_name").agg(F.min(F.struct(turn, "_i")).alias("_first")))
+    turns = spread(turns.select(conv, turn, text_col))
+    heads = turns.select(conv, turn, _dedupe_names(header_expr(text_col)).alias("_h"))
+    first_seen = (heads.select(conv, turn, F.posexplode_outer("_h").alias("_i", "col_name"))
+                  .where(F.col("col_name").isNotNull())
+                  .groupBy(conv, "col_name").agg(F.min(turn).alias("_ft"), F.min_by("_i", turn).alias("_fi")))
     columns = (first_seen.groupBy(conv)
-               .agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", "col_name"))),
+               .agg(F.transform(F.array_sort(F.collect_list(F.struct("_ft", "_fi", "col_name"))),
                                 lambda s: s["col_name"]).alias("_cols")))
-    rows = parsed.select(conv, turn, "_h", F.posexplode("_rows").alias("row_no", "_r"))
+    parsed = parse_staged(turns, [conv, turn], text_col)
+    rows = (parsed.select(conv, turn, _dedupe_names(F.col("_h")).alias("_h"),
+                          F.posexplode_outer("_rows").alias("row_no", "_r"))
+            .where(F.col("row_no").isNotNull()))
     joined = rows.join(columns, conv)
     cellmap = F.map_from_arrays(F.col("_h"), F.col("_r"))
     dense = joined.select(conv, turn, "row_no", F.posexplode(F.transform(

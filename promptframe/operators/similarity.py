@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import tokens
+from ..session import spread
 
 
 def bow_counts(df: DataFrame, key: str, text: str = "text", term: str = "term", count: str = "n") -> DataFrame:
     """Term counts per text: ``key, term, n`` (CountVectorizer's matrix, sparse)."""
-    return (df.select(key, F.explode(tokens(text)).alias(term))
+    return (spread(df.select(key, text)).select(key, F.explode(tokens(text)).alias(term))
             .groupBy(key, term).agg(F.count(F.lit(1)).alias(count)))
 
 
@@ -61,7 +62,7 @@ def similarity_scores(long: DataFrame, id_col: str = "id", slot: str = "slot", t
         F.max(F.when(s == "b", F.hash(t))).alias("_gb"),
         F.max(F.when(s == "a", F.length(t))).alias("_la"),
         F.max(F.when(s == "b", F.length(t))).alias("_lb"))
-    per_term = (long.select(id_col, slot, F.explode(tokens(text)).alias("_term"))
+    per_term = (spread(long.select(id_col, slot, text)).select(id_col, slot, F.explode(tokens(text)).alias("_term"))
                 .groupBy(id_col, "_term").agg(
                     F.count_if(s == "a").alias("_na"), F.count_if(s == "b").alias("_nb"),
                     F.count_if(s == "e").alias("_ne")))
