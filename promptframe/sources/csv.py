@@ -25,7 +25,8 @@ def detect_encodings(spark: SparkSession, path: str, glob: str = "*.csv", probe_
     """``path, encoding`` per file: ``utf-8`` when the bytes are valid UTF-8, else ``gbk``.
 
     Only the first ``probe_bytes`` are tested; a multi-byte character cut at
-    the probe's end is tolerated.  Empty files are ``utf-8`` (ASCII).
+    the probe's end is tolerated.  Zero-byte files are skipped by Spark's
+    file listing (they hold no rows; the reference detects no encoding).
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true") \
         .load(path).select("path", F.substring("content", 1, probe_bytes).alias("b"), "length")
