@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
+from ..session import ship_package, spread
 
 RESULT_FIELDS = [T.StructField("status", T.StringType()), T.StructField("error", T.StringType()),
                  T.StructField("elapsed_ms", T.LongType())]
@@ -102,6 +102,8 @@ def llm_map(df: DataFrame, input_col: str, client: dict, batch_size: int = 10, o
     fields = [f for f in df.schema.fields if f.name not in (out, "status", "error", "elapsed_ms")]
     schema = T.StructType(fields + [T.StructField(out, T.StringType())] + RESULT_FIELDS)
     src = df.select(*[F.col(f"`{f.name}`") for f in fields])
+    if not df.isStreaming:
+        src = spread(src)
     return src.mapInPandas(_mapper(input_col, out, client, int(batch_size), on_error, kind), schema)
 
 
