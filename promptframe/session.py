@@ -125,6 +125,8 @@ def spread(df, min_partitions: int | None = None):
     partition.  A single-file input may arrive as one partition; at scale the
     scan already has thousands and this is a no-op (no extra shuffle).
     """
+    if df.isStreaming:
+        return df
     sc = df.sparkSession.sparkContext
     want = min_partitions or sc.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df

@@ -2,10 +2,12 @@
 
 Each micro-batch is merged into the retained state with the batch operators
 of ``operators.history``: ``retained(state ∪ batch)``.  The state is bounded
-(``cap`` rows per log) and versioned by epoch in a parquet table partitioned
-by ``epoch`` under the shared checkpoint folder; an epoch is written with
-dynamic partition overwrite, so a retried batch replaces its own version and
-never duplicates rows.  Because retention keeps the newest ``max(ts)`` per
+(``cap`` rows per log) and kept in a parquet table under the shared
+checkpoint folder with two slots, ``slot = epoch % 2``: epoch ``e`` reads the
+newest version older than ``e`` (in the other slot) and replaces its own slot
+with dynamic partition overwrite.  A retried batch therefore rewrites its own
+version from the same input and never duplicates rows, and the table never
+holds more than two versions.  Because retention keeps the newest ``max(ts)`` per
 message, a late event with an old timestamp cannot move a message back, and
 the state after the last batch equals the batch answer over all appends.
 """
@@ -26,7 +28,7 @@ def _latest_state(spark: SparkSession, state_path: str, before_epoch: int, schem
     prev = versions.where(F.col("epoch") < before_epoch).agg(F.max("epoch")).first()[0]
     if prev is None:
         return spark.createDataFrame([], schema)
-    return versions.where(F.col("epoch") == prev).drop("epoch")
+    return versions.where((F.col("slot") == prev % 2) & (F.col("epoch") == prev)).drop("epoch", "slot")
 
 
 def merge_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, state_path: str, cap: int,
@@ -36,8 +38,8 @@ def merge_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, state_path
     b = batch.select(*cols)
     prev = _latest_state(spark, state_path, epoch_id, b.schema)
     nxt = retained(prev.select(*cols).unionByName(b), cap, log, message, ts)
-    (nxt.withColumn("epoch", F.lit(epoch_id).cast("long"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch")
+    (nxt.withColumn("epoch", F.lit(epoch_id).cast("long")).withColumn("slot", F.lit(epoch_id % 2).cast("int"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot")
      .parquet(state_path))
 
 
@@ -58,4 +60,4 @@ def current_state(spark: SparkSession, state_path: str) -> DataFrame:
     """The newest state version (log, message, ts)."""
     versions = spark.read.parquet(state_path)
     last = versions.agg(F.max("epoch")).first()[0]
-    return versions.where(F.col("epoch") == last).drop("epoch")
+    return versions.where((F.col("slot") == last % 2) & (F.col("epoch") == last)).drop("epoch", "slot")
