@@ -34,10 +34,14 @@ def last_turn(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
               out: str = "last_text") -> DataFrame:
     """Text of the last turn of each conversation (``chatbot[-1][-1]``, PRJ13).
 
-    ``max_by`` is a partial aggregate: each task reduces its rows before the
-    shuffle, so a hot conversation costs one row per task.
+    ``max(turn)`` per conversation is a partial hash aggregate (a hot
+    conversation costs one row per task); the text is then fetched with an
+    equi-join on ``(conv, turn)``, a key without hot values.  (``max_by`` on
+    the text would force a sort-based aggregate over the texts.)
     """
-    return turns.groupBy(conv).agg(F.max(turn).alias("last_turn"), F.max_by(text, turn).alias(out))
+    last = turns.groupBy(conv).agg(F.max(turn).alias("last_turn"))
+    texts = turns.select(conv, F.col(turn).alias("last_turn"), F.col(text).alias(out))
+    return last.join(texts, [conv, "last_turn"])
 
 
 def chat_prompt(df: DataFrame, system_template: str, user_template: str,

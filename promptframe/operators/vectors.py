@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,8 +39,8 @@ STORE_SCHEMA = "id string, vector array<float>, text string, metadata map<string
 
 
 def vector_records(df: DataFrame, vector_col: str, id_expr=None, text_col: str | None = None,
-                   value_fields: list[str] | None = None) -> DataFrame:
-    """Rows -> vector-table records (VEC1 import shape).
+                   value_fields: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
+    """Rows -> vector-table records (VEC1 import shape), plus ``carry`` columns.
 
     ``id_expr`` defaults to md5 of the vector's text form, so re-importing
     the same rows is idempotent (the reference draws uuid4 ids).
@@ -52,7 +53,7 @@ def vector_records(df: DataFrame, vector_col: str, id_expr=None, text_col: str |
             if meta else F.create_map().cast("map<string,string>"))
     txt = F.col(f"`{text_col}`").cast("string") if text_col else F.lit(None).cast("string")
     return df.select(idc.cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"),
-                     txt.alias("text"), mcol.alias("metadata"))
+                     txt.alias("text"), mcol.alias("metadata"), *(carry or []))
 
 
 def upsert(store: DataFrame, incoming: DataFrame, overwrite: bool = True, key: str = "text",
@@ -60,19 +61,23 @@ def upsert(store: DataFrame, incoming: DataFrame, overwrite: bool = True, key: s
     """Upsert records (VEC2).
 
     ``overwrite``: records whose ``key`` equals an incoming key are replaced;
-    within the incoming batch the last record per key wins (by ``seq_col``,
-    else by id).  Without ``overwrite`` records are appended.  Newest-per-key
-    is a ``max_by`` partial aggregate, safe for a key held by many rows.
+    within the incoming batch the record with the largest ``seq_col`` per key
+    wins (``seq_col`` must be unique per key; without it a digest of the id
+    decides).  Without ``overwrite`` records are appended.
+
+    Newest-per-key is ``max(order)`` per key (a partial hash aggregate, so a
+    key held by a third of the rows costs one row per task) joined back on
+    ``(key, order)``; records are never put in an aggregation buffer.
     """
     cols = ["id", "vector", "text", "metadata"]
     if not overwrite:
         return store.select(*cols).unionByName(incoming.select(*cols))
-    order = F.col(seq_col) if seq_col else F.col("id")
-    newest = (incoming.groupBy(key)
-              .agg(F.max_by(F.struct(*[F.col(c) for c in cols if c != key]), order).alias("_r"))
-              .select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in cols]))
-    kept = store.join(newest.select(key).where(F.col(key).isNotNull()), key, "left_anti")
-    return kept.select(*cols).unionByName(newest.select(*cols))
+    order = F.col(seq_col).cast("long") if seq_col else F.xxhash64("id")
+    staged = incoming.select(*cols, order.alias("_o"))
+    best = staged.groupBy(key).agg(F.max("_o").alias("_o"))
+    newest = staged.join(best, [key, "_o"]).select(*cols)
+    kept = store.join(best.select(key).where(F.col(key).isNotNull()), key, "left_anti")
+    return kept.select(*cols).unionByName(newest)
 
 
 def delete(store: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
@@ -218,10 +223,12 @@ def knn_search(queries: DataFrame, store: DataFrame, k: int = 3, q_id: str = "q_
     out_schema = T.StructType([T.StructField("q_id", qt), T.StructField("s_id", st),
                                T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
     types = (_np_dtype(qt), _np_dtype(st))
-    q = queries.select(q_id, q_vec)
+    # The query side is counted, sized and collected: persist it so an
+    # upstream model map (embedding the queries) runs once, not three times.
+    q = queries.select(q_id, q_vec).persist(StorageLevel.MEMORY_AND_DISK)
     s = store.select(s_id, s_vec)
-    nq = q.count()
-    dim = _dim(q, q_vec) if nq else 0
+    nq, dim = q.agg(F.count(F.lit(1)), F.max(F.size(q_vec))).first()
+    dim = int(dim or 0)
     w = Window.partitionBy("q_id").orderBy(F.col("score").desc(), F.col("s_id"))
 
     def finish(df):
@@ -230,12 +237,14 @@ def knn_search(queries: DataFrame, store: DataFrame, k: int = 3, q_id: str = "q_
 
     if nq * max(dim, 1) * 8 <= broadcast_limit:
         bc = spark.sparkContext.broadcast(_collect_side(q, q_id, q_vec))
+        q.unpersist()
         part = spread(s).mapInPandas(_stream_mapper(bc, s_id, s_vec, k, metric, gamma, exclude_self, False, types),
                                      out_schema)
         return finish(part)
     ns = s.count()
     if ns * max(dim, 1) * 8 <= broadcast_limit:
         bc = spark.sparkContext.broadcast(_collect_side(s, s_id, s_vec))
+        q.unpersist()
         part = spread(q).mapInPandas(_stream_mapper(bc, q_id, q_vec, k, metric, gamma, exclude_self, True,
                                                     (types[1], types[0])), out_schema)
         # Every task holds whole queries: its ranks are final, no shuffle.
@@ -246,6 +255,7 @@ def knn_search(queries: DataFrame, store: DataFrame, k: int = 3, q_id: str = "q_
     from .positional import with_pos
 
     staged = with_pos(q, q_id, "__qpos")
+    q.unpersist()
     out_path = scratch_path(spark, "knn")
     for c in range(n_chunks):
         chunk = staged.where((F.col("__qpos") >= c * chunk_rows) & (F.col("__qpos") < (c + 1) * chunk_rows))
@@ -255,8 +265,3 @@ def knn_search(queries: DataFrame, store: DataFrame, k: int = 3, q_id: str = "q_
         finish(part).write.mode("append").parquet(out_path)
         bc.unpersist()
     return spark.read.parquet(out_path)
-
-
-def _dim(df: DataFrame, vec_col: str) -> int:
-    r = df.select(F.max(F.size(vec_col))).first()[0]
-    return int(r or 0)

@@ -34,11 +34,6 @@ SELECT {key}, i, CAST(CAST(c / nrm AS FLOAT) AS DOUBLE) AS x FROM (
 """
 
 
-def _sparse(df, key, vec="Vector"):
-    return (df.select(key, F.posexplode(vec).alias("i", "x")).where(F.col("x") != 0)
-            .select(key, F.col("i").cast("int").alias("i"), F.col("x").cast("double").alias("x")))
-
-
 @query("embed_table", f"""
 SELECT h.doc_id, d.lang, h.i, h.x FROM ({_duck_hashing("SELECT doc_id, text FROM documents", "doc_id")}) h
 JOIN documents d USING (doc_id)
@@ -74,11 +69,11 @@ def q_vdb_stats(spark, sf_dir):
 
 
 def _doc_store(spark, sf_dir, prefix="doc:"):
+    """Documents as vector records (hashing vectors), carrying ``seq = doc_id``."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     emb = embed_rows(d, "text", HASHING, batch_size=32)
-    rec = V.vector_records(emb, "Vector", id_expr=F.concat(F.lit(prefix), F.col("doc_id").cast("string")),
-                           text_col="text")
-    return rec, emb
+    return V.vector_records(emb, "Vector", id_expr=F.concat(F.lit(prefix), F.col("doc_id").cast("string")),
+                            text_col="text", carry=[F.col("doc_id").alias("seq")])
 
 
 @query("vdb_upsert", """
@@ -91,10 +86,7 @@ def q_vdb_upsert(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     store = V.vector_records(embed_rows(b, "text", HASHING, batch_size=32), "Vector",
                              id_expr=F.concat(F.lit("bench:"), F.col("item_id").cast("string")), text_col="text")
-    rec, emb = _doc_store(spark, sf_dir)
-    incoming = rec.join(emb.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"),
-                                   F.col("doc_id").alias("seq")), "id")
-    out = V.upsert(store, incoming.select("id", "vector", "text", "metadata", "seq"), overwrite=True, seq_col="seq")
+    out = V.upsert(store, _doc_store(spark, sf_dir), overwrite=True, seq_col="seq")
     return out.select("id", F.md5("text").alias("text_md5"), F.size("vector").alias("n_dims"))
 
 
@@ -103,7 +95,7 @@ SELECT 'doc:' || doc_id AS id FROM documents d
 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id = d.doc_id)
 """)
 def q_vdb_delete(spark, sf_dir):
-    rec, _ = _doc_store(spark, sf_dir)
+    rec = _doc_store(spark, sf_dir)
     flagged = table(spark, sf_dir, "labels").where(F.col("toxic") == 1) \
         .select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"))
     return V.delete(rec, flagged).select("id")
