@@ -265,3 +265,14 @@ def knn_search(queries: DataFrame, store: DataFrame, k: int = 3, q_id: str = "q_
         finish(part).write.mode("append").parquet(out_path)
         bc.unpersist()
     return spark.read.parquet(out_path)
+
+
+def hits_json(hits: DataFrame, pretty: bool = False, q_id: str = "q_id", out: str = "hits") -> DataFrame:
+    """Search hits as one JSON list per query, best first (JS2).
+
+    The list per query holds at most ``k`` hits, so the group is bounded.
+    ``pretty`` indents the JSON as the reference's display does.
+    """
+    items = F.array_sort(F.collect_list(F.struct("rank", F.col("s_id").alias("id"), "score")))
+    opts = {"pretty": "true"} if pretty else {}
+    return hits.groupBy(q_id).agg(F.to_json(items, opts).alias(out))
