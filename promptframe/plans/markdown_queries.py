@@ -81,7 +81,7 @@ def q_md_parse_raw(spark, sf_dir):
 
 def _history_turns(o):
     key, st, pr = F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority")
-    d = F.date_format("o_orderdate", "yyyy-MM-dd")
+    d = F.substring(F.col("o_orderdate").cast("string"), 1, 10)   # time-zone free for timestamp_ntz
     t_o = F.concat(F.lit("| key | status | priority |\n|---|---|---|\n| "), key, F.lit(" | "), st, F.lit(" | "), pr,
                    F.lit(" |"))
     t_f = F.concat(F.lit("| key | date | status |\n| --- | --- | --- |\n| "), key, F.lit(" | "), d, F.lit(" | "), st,
