@@ -6,23 +6,40 @@ Spark table has no order, so a position is the rank of a row under an explicit
 sort key (or, without a key, the frozen input order).
 
 ``with_pos`` never funnels rows through one task (a global ``row_number()``
-window would).  It range-partitions on the key into ``n`` partitions, sorts
-within them and checkpoints the result to the shared checkpoint folder, which
-freezes both partition contents and in-partition order.  One small job then
-counts rows per partition; the position is the partition's offset (a prefix
-sum over at most ``n`` numbers, kept on the driver as a literal array) plus the
-row's index inside the partition (``monotonically_increasing_id`` minus the
-partition's base).  Because the checkpoint is reliable, a lost executor
-re-reads the same rows in the same order and positions never shift.
+window would).
+
+*With a key* (unique, plain column names): bucket bounds are fixed once on
+the driver from a bounded sample sorted by Spark; one pass reading only the
+key columns counts rows per bucket; a row's position is its bucket's offset
+(prefix sum over the bucket counts, a literal array) plus its
+``row_number()`` inside the bucket.  The bounds are constants, so every
+re-evaluation (a retried task, a lost executor) gives the same positions
+without a checkpoint, and a slice only reads the buckets that overlap it (for
+a single key the range is a parquet-pushable predicate).  Buckets are
+quantiles of a unique key, so none is hot.
+
+*Without a key*: the input is checkpointed to the shared checkpoint folder,
+which freezes partition contents and order; positions are the partition's
+offset plus ``monotonically_increasing_id`` minus the partition's base.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime as _dt
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpoint_dir
 
+# Target rows per bucket and the bucket-count cap (the bucket expression is a
+# binary search tree of comparisons, ~log2(buckets) per row).
+ROWS_PER_BUCKET = 2_000_000
+MAX_BUCKETS = 2048
+SAMPLE_PER_BUCKET = 40
+
 
 def _cols(order_by) -> list:
     if order_by is None:
@@ -32,23 +49,99 @@ def _cols(order_by) -> list:
     return list(order_by)
 
 
-def with_pos(df: DataFrame, order_by=None, pos_col: str = "pos", num_partitions: int | None = None,
-             return_count: bool = False):
-    """Add a 0-based ``pos`` column: the row's rank under ``order_by``.
-
-    ``order_by`` should be a unique key (ties are broken arbitrarily, as in
-    any sort).  Without it, positions follow the input's current order.
-    Returns the DataFrame, or ``(DataFrame, row_count)`` with ``return_count``.
-    """
+def _surrogate(df: DataFrame, name: str):
+    """(comparison column, literal builder) for a key column, or None if unsupported."""
+    dt = df.schema[name].dataType
+    c = F.col(f"`{name}`")
+    if isinstance(dt, T.TimestampType):
+        # Python gets LTZ values in the process's local zone; compare microseconds.
+        return F.unix_micros(c), lambda v: F.lit(v).cast("long")
+    if isinstance(dt, T.TimestampNTZType):
+        return c, lambda v: F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz")
+    if isinstance(dt, (T.DateType, T.StringType, T.BooleanType, T.BinaryType, T.DecimalType, T.ByteType,
+                       T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)):
+        return c, lambda v: F.lit(v).cast(dt)
+    return None
+
+
+def _bucket_tree(cmp_cols, bound_lits, lo, hi):
+    """Bucket index in [lo, hi]: bucket i holds keys in [bound[i-1], bound[i])."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(_less(cmp_cols, bound_lits[mid]), _bucket_tree(cmp_cols, bound_lits, lo, mid)) \
+        .otherwise(_bucket_tree(cmp_cols, bound_lits, mid + 1, hi))
+
+
+def _less(cmp_cols, lits):
+    if len(cmp_cols) == 1:
+        return cmp_cols[0] < lits[0]
+    return F.struct(*cmp_cols) < F.struct(*lits)
+
+
+def _keyed_plan(df: DataFrame, keys: list[str], num_buckets: int | None):
+    """Sample bounds, bucket expression and per-bucket offsets for ``keys``."""
+    sur = [_surrogate(df, k) for k in keys]
+    cmp_cols = [s[0] for s in sur]
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    keys = _cols(order_by)
-    if keys:
-        n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        staged = df.repartitionByRange(max(1, n), *keys).sortWithinPartitions(*keys)
-    else:
-        staged = df
-    staged = staged.checkpoint(eager=True)
+    total = df.count()
+    n = num_buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                           math.ceil(total / ROWS_PER_BUCKET))
+    n = max(1, min(n, MAX_BUCKETS, total or 1))
+    bounds = []
+    if n > 1:
+        frac = min(1.0, n * SAMPLE_PER_BUCKET / total)
+        probe = df.select(*[c.alias(f"_k{i}") for i, c in enumerate(cmp_cols)])
+        probe = probe.where(F.greatest(*[F.col(f"_k{i}").isNull() for i in range(len(keys))]) == F.lit(False)) \
+            if len(keys) > 1 else probe.where(F.col("_k0").isNotNull())
+        sample = [tuple(r) for r in probe.sample(False, frac, seed=17).orderBy(*probe.columns).collect()]
+        m = len(sample)
+        for i in range(1, n):
+            if m == 0:
+                break
+            b = sample[min(m - 1, i * m // n)]
+            if not bounds or b != bounds[-1]:
+                bounds.append(b)
+    lits = [[sur[j][1](b[j]) for j in range(len(keys))] for b in bounds]
+    bucket = _bucket_tree(cmp_cols, lits, 0, len(bounds)) if bounds else F.lit(0)
+    counts = {r[0]: r[1] for r in df.select(bucket.alias("_b")).groupBy("_b").count().collect()}
+    offsets, acc = [], 0
+    for b in range(len(bounds) + 1):
+        offsets.append(acc)
+        acc += counts.get(b, 0)
+    return {"total": total, "bounds": bounds, "lits": lits, "cmp": cmp_cols, "bucket": bucket,
+            "offsets": offsets, "counts": [counts.get(b, 0) for b in range(len(bounds) + 1)]}
+
+
+def _keyed_pos(df: DataFrame, keys: list[str], pos_col: str, plan: dict, rng: tuple[int, int] | None = None):
+    out = df.withColumn("__b", plan["bucket"])
+    if rng is not None:
+        s, e = rng
+        need = [b for b, (o, c) in enumerate(zip(plan["offsets"], plan["counts"])) if o < e and o + c > s]
+        if not need:
+            return out.where(F.lit(False)).select(F.lit(0).cast("long").alias(pos_col), *df.columns)
+        lo, hi = need[0], need[-1]
+        cond = (F.col("__b") >= lo) & (F.col("__b") <= hi)
+        if len(keys) == 1:
+            # Same range as a plain predicate on the key: pushed to the scan.
+            c = plan["cmp"][0]
+            if lo > 0:
+                cond = cond & (c >= plan["lits"][lo - 1][0])
+            if hi < len(plan["bounds"]):
+                cond = cond & (c < plan["lits"][hi][0])
+        out = out.where(cond)
+    w = Window.partitionBy("__b").orderBy(*[F.col(f"`{k}`") for k in keys])
+    offset = F.element_at(F.array(*[F.lit(o) for o in plan["offsets"]]).cast("array<long>"), F.col("__b") + 1)
+    res = out.select((offset + F.row_number().over(w) - 1).alias(pos_col), *[F.col(f"`{c}`") for c in df.columns])
+    if rng is not None:
+        res = res.where((F.col(pos_col) >= rng[0]) & (F.col(pos_col) < rng[1]))
+    return res
+
+
+def _frozen_pos(df: DataFrame, pos_col: str):
+    """Positions in the input's own order, frozen by a reliable checkpoint."""
+    checkpoint_dir(df.sparkSession)
+    staged = df.checkpoint(eager=True)
     counts = {r[0]: r[1] for r in staged.groupBy(F.spark_partition_id()).count().collect()}
     num = staged.rdd.getNumPartitions()
     offsets, total = [], 0
@@ -59,7 +152,30 @@ def with_pos(df: DataFrame, order_by=None, pos_col: str = "pos", num_partitions:
     base = F.shiftleft(pid.cast("long"), 33)
     offset = F.element_at(F.array(*[F.lit(o) for o in offsets]).cast("array<long>"), pid + 1) if offsets \
         else F.lit(0).cast("long")
-    out = staged.select((offset + F.monotonically_increasing_id() - base).alias(pos_col), "*")
+    return staged.select((offset + F.monotonically_increasing_id() - base).alias(pos_col), "*"), total
+
+
+def _keyable(df: DataFrame, keys) -> bool:
+    return bool(keys) and all(isinstance(k, str) and k in df.columns and _surrogate(df, k) for k in keys)
+
+
+def with_pos(df: DataFrame, order_by=None, pos_col: str = "pos", num_partitions: int | None = None,
+             return_count: bool = False):
+    """Add a 0-based ``pos`` column: the row's rank under ``order_by``.
+
+    ``order_by`` should be a unique key (ties are broken arbitrarily, as in
+    any sort).  Without it, positions follow the input's current order.
+    Returns the DataFrame, or ``(DataFrame, row_count)`` with ``return_count``.
+    """
+    keys = _cols(order_by)
+    if _keyable(df, keys):
+        plan = _keyed_plan(df, keys, num_partitions)
+        out, total = _keyed_pos(df, keys, pos_col, plan), plan["total"]
+    else:
+        if keys:
+            n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            df = df.repartitionByRange(max(1, n), *keys).sortWithinPartitions(*keys)
+        out, total = _frozen_pos(df, pos_col)
     return (out, total) if return_count else out
 
 
@@ -71,10 +187,18 @@ def slice_bounds(total: int, start, end) -> tuple[int, int]:
 
 def slice_rows(df: DataFrame, start=None, end=None, order_by=None, pos_col: str = "pos",
                keep_pos: bool = True) -> DataFrame:
-    """Rows ``[start, end)`` by position (PRJ1); an end past the last row is clamped."""
-    staged, total = with_pos(df, order_by, pos_col, return_count=True)
-    s, e = slice_bounds(total, start, end)
-    out = staged.where((F.col(pos_col) >= s) & (F.col(pos_col) < e))
+    """Rows ``[start, end)`` by position (PRJ1); an end past the last row is clamped.
+
+    With a key only the buckets overlapping the slice are read and numbered.
+    """
+    keys = _cols(order_by)
+    if _keyable(df, keys):
+        plan = _keyed_plan(df, keys, None)
+        out = _keyed_pos(df, keys, pos_col, plan, slice_bounds(plan["total"], start, end))
+    else:
+        staged, total = with_pos(df, order_by, pos_col, return_count=True)
+        s, e = slice_bounds(total, start, end)
+        out = staged.where((F.col(pos_col) >= s) & (F.col(pos_col) < e))
     return out if keep_pos else out.drop(pos_col)
 
 
@@ -152,9 +276,8 @@ def merge_positional(left: DataFrame, right: DataFrame, start=None, end=None, le
         raise ValueError(f"left table needs a {skip_col!r} column")
     sliced = slice_rows(left, start, end, left_order, pos_col="__p0")
     kept = skip_filter(sliced, skip_col, strict=True)
-    # The checkpointed slice keeps ascending positions across partitions, so
-    # renumbering in input order gives the pandas reset_index result.
-    lpos = with_pos(kept.drop("__p0"), None, pos_col)
+    # reset_index: renumber the kept rows by their original position.
+    lpos = with_pos(kept, "__p0", pos_col).drop("__p0")
     rpos = with_pos(right, right_order, "__rp")
     mapping = _suffixed(left.columns + [pos_col], right.columns, suffix)
     rsel = rpos.select(F.col("__rp").alias(pos_col), *[F.col(f"`{a}`").alias(b) for a, b in mapping])

@@ -249,21 +249,30 @@ def knn_search(queries: DataFrame, store: DataFrame, k: int = 3, q_id: str = "q_
                                                     (types[1], types[0])), out_schema)
         # Every task holds whole queries: its ranks are final, no shuffle.
         return part.select("q_id", "rank", "s_id", "score")
-    # Both sides large: chunk the queries; each chunk is one exact pass.
+    # Both sides large: chunk the queries; each chunk is one exact pass.  The
+    # query side stays persisted until every chunk has been collected.
     chunk_rows = max(1, broadcast_limit // (max(dim, 1) * 8))
     n_chunks = -(-nq // chunk_rows)
-    from .positional import with_pos
+    from .positional import _keyable, _keyed_plan, _keyed_pos, with_pos
 
-    staged = with_pos(q, q_id, "__qpos")
-    q.unpersist()
+    if _keyable(q, [q_id]):
+        plan = _keyed_plan(q, [q_id], None)
+
+        def chunk(c):
+            return _keyed_pos(q, [q_id], "__qpos", plan, (c * chunk_rows, (c + 1) * chunk_rows))
+    else:
+        staged = with_pos(q, None, "__qpos")
+
+        def chunk(c):
+            return staged.where((F.col("__qpos") >= c * chunk_rows) & (F.col("__qpos") < (c + 1) * chunk_rows))
     out_path = scratch_path(spark, "knn")
     for c in range(n_chunks):
-        chunk = staged.where((F.col("__qpos") >= c * chunk_rows) & (F.col("__qpos") < (c + 1) * chunk_rows))
-        bc = spark.sparkContext.broadcast(_collect_side(chunk, q_id, q_vec))
+        bc = spark.sparkContext.broadcast(_collect_side(chunk(c), q_id, q_vec))
         part = spread(s).mapInPandas(_stream_mapper(bc, s_id, s_vec, k, metric, gamma, exclude_self, False, types),
                                      out_schema)
         finish(part).write.mode("append").parquet(out_path)
         bc.unpersist()
+    q.unpersist()
     return spark.read.parquet(out_path)
 
 

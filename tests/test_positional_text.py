@@ -100,3 +100,22 @@ def test_similarity_guards(spark):
     assert (c[0], c[1], c[2], c[3]) == (None, "B", "A", None)
     # tokens of 2+ chars: the, cat, sat vs down -> cos = 3 / (sqrt(3) * 2)
     assert abs(d[4] - 3 / (3 ** 0.5 * 2)) < 1e-12 and c[4] == "A"
+
+
+def test_keyed_positions_many_buckets_composite_and_timestamps(spark):
+    import datetime as dt
+
+    data = [(f"k{i % 37:02d}", (i * 7919) % 4001, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=(i * 104729) % 99991))
+            for i in range(4001)]
+    df = spark.createDataFrame(data, "s string, n long, t timestamp_ntz").repartition(7)
+    want = sorted(data, key=lambda r: (r[0], r[1]))
+    got = P.with_pos(df, ["s", "n"], num_partitions=16).orderBy("pos").collect()
+    assert [(r["s"], r["n"]) for r in got] == [(w[0], w[1]) for w in want]
+    assert [r["pos"] for r in got] == list(range(len(want)))
+    by_t = sorted(data, key=lambda r: r[2])
+    got_t = P.with_pos(df, "t", num_partitions=16).orderBy("pos").collect()
+    assert [r["t"] for r in got_t] == [w[2] for w in by_t]
+    for lo, hi in [(0, 1), (250, 1750), (3990, 5000), (1000, 1000)]:
+        sl = P.slice_rows(df, lo, hi, ["s", "n"]).orderBy("pos").collect()
+        assert [(r["s"], r["n"]) for r in sl] == [(w[0], w[1]) for w in want[lo:hi]]
+        assert [r["pos"] for r in sl] == list(range(lo, min(hi, len(want))))
