@@ -105,7 +105,13 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    out = os.path.join(tempfile.mkdtemp(prefix="promptframe-pyfiles-"), "promptframe.zip")
+    # The zip goes to the shared checkpoint folder when that is a filesystem
+    # path; otherwise it stays on the driver and addPyFile serves it.
+    base = checkpoint_dir(spark)
+    folder = fs_path(base) if base.startswith("file:") or base.startswith("/") else tempfile.mkdtemp()
+    folder = os.path.join(folder, "pyfiles", uuid.uuid4().hex[:12])
+    os.makedirs(folder, exist_ok=True)
+    out = os.path.join(folder, "promptframe.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for dirpath, _, files in os.walk(pkg_dir):
             if "__pycache__" in dirpath:
