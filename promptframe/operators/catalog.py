@@ -22,7 +22,7 @@ def model_ids(df: DataFrame, payload_col: str = "payload", keys: list[str] | Non
 
 def read_listing(spark, path: str) -> DataFrame:
     """Listing files (one JSON document each) -> ``idx, id``."""
-    raw = spark.read.option("multiLine", True).schema(LISTING_SCHEMA).json(path)
+    raw = spark.read.option("multiLine", True).schema("data array<struct<id: string>>").json(path)
     return raw.select(F.posexplode("data").alias("idx", "_e")).select("idx", F.col("_e.id").alias("id"))
 
 
