@@ -235,3 +235,82 @@ class OpenAIEmbedder:
         out = _post_json(f"{self.base_url}/embeddings", {"model": self.model, "input": list(texts)}, headers,
                          self.timeout, self.retries)
         return [d["embedding"] for d in sorted(out["data"], key=lambda d: d["index"])]
+
+
+# ------------------------------------------------------------ vector stores
+#
+# A store client takes one batch: ``write(list[dict], key) -> None``, where
+# ``key`` names the batch by its partition and index (the same on a retried
+# task; network clients need not use it).  Records are
+# ``{"id", "vector", "metadata"}`` (the Pinecone-style upsert shape) or plain
+# field dicts ``{"vector", field: value, ...}`` (the Milvus-style insert shape).
+
+VECTOR_STORES: dict[str, type] = {}
+
+
+def vector_store(name):
+    def deco(cls):
+        VECTOR_STORES[name] = cls
+        return cls
+    return deco
+
+
+def make_vector_store(opts: dict):
+    return _build(VECTOR_STORES, opts)
+
+
+@vector_store("pinecone")
+class PineconeStore:
+    """Pinecone data plane: POST ``{host}/vectors/upsert`` (idempotent by id)."""
+
+    def __init__(self, host: str, api_key: str = "", namespace: str = "", request_timeout: float = 10,
+                 max_retries: int = 3):
+        self.host, self.api_key, self.namespace = host.rstrip("/"), api_key, namespace
+        self.timeout, self.retries = request_timeout, max_retries
+
+    def write(self, records, key=None):
+        body = {"vectors": [{"id": r["id"], "values": r["vector"], "metadata": r.get("metadata") or {}}
+                            for r in records]}
+        if self.namespace:
+            body["namespace"] = self.namespace
+        _post_json(f"{self.host}/vectors/upsert", body, {"Api-Key": self.api_key}, self.timeout, self.retries)
+
+
+@vector_store("milvus")
+class MilvusStore:
+    """Milvus REST: POST ``{uri}/v2/vectordb/entities/insert`` with field dicts."""
+
+    def __init__(self, uri: str, collection: str, token: str = "", request_timeout: float = 10,
+                 max_retries: int = 3):
+        self.uri, self.collection, self.token = uri.rstrip("/"), collection, token
+        self.timeout, self.retries = request_timeout, max_retries
+
+    def write(self, rows, key=None):
+        headers = {"Authorization": f"Bearer {self.token}"} if self.token else {}
+        _post_json(f"{self.uri}/v2/vectordb/entities/insert", {"collectionName": self.collection, "data": rows},
+                   headers, self.timeout, self.retries)
+
+
+@vector_store("jsonl-folder")
+class JsonlFolderStore:
+    """Recording stand-in: each batch becomes one JSON-lines file under ``path``.
+
+    The file is named by the batch key and written by rename, so a retried
+    task rewrites its own files instead of adding new ones.  ``path`` must be
+    a folder every executor sees (the shared checkpoint folder in the
+    registered query).
+    """
+
+    def __init__(self, path: str):
+        self.path = path[5:] if path.startswith("file:") else path
+
+    def write(self, rows, key):
+        import os
+
+        os.makedirs(self.path, exist_ok=True)
+        out = os.path.join(self.path, f"batch-{key}.json")
+        tmp = os.path.join(self.path, f".batch-{key}.{os.getpid()}.tmp")   # hidden from readers
+        with open(tmp, "w", encoding="utf-8") as f:
+            for r in rows:
+                f.write(json.dumps(r, ensure_ascii=False) + "\n")
+        os.replace(tmp, out)

@@ -125,3 +125,12 @@ SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id
 """, ["conv_id"]).replace("SELECT conv_id, row_no, i - 1", "SELECT '' AS Skip, conv_id, row_no, i - 1", 1))
 def q_md_last_table(spark, sf_dir):
     return table_from_chat(table(spark, sf_dir, "conversations"), "Markdown Table")
+
+
+@query("md_last_table_orders", duck_parse(f"""
+SELECT conv_id, arg_max(text, turn) AS text FROM ({_HISTORY_SRC}) GROUP BY conv_id
+""", ["conv_id"]).replace("SELECT conv_id, row_no, i - 1", "SELECT '' AS Skip, conv_id, row_no, i - 1", 1))
+def q_md_last_table_orders(spark, sf_dir):
+    """Extractor ``Markdown Table`` on histories whose last turn always holds a table."""
+    return table_from_chat(_history_turns(table(spark, sf_dir, "orders")).withColumn("role", F.lit("assistant")),
+                           "Markdown Table")

@@ -14,7 +14,8 @@ from ..operators import vectors as V
 from ..operators.cluster import cluster_vectors, write_back
 from ..operators.embed import embed_rows, embed_table
 from ..operators.positional import slice_rows
-from ..session import table
+from ..session import scratch_path, table
+from ..sources.vectorstore import write_vectors
 from .registry import query
 
 DIM = 64
@@ -60,6 +61,32 @@ def q_vdb_import(spark, sf_dir):
                     F.col("vector")[0].cast("double").alias("x0"))
 
 
+@query("vdb_sink", """
+SELECT 'vec:' || vec_id AS id, CAST(len(embedding) AS INTEGER) AS n_dims, CAST(label AS VARCHAR) AS label,
+       CAST(embedding[1] AS DOUBLE) AS x0 FROM embeddings
+""")
+def q_vdb_sink(spark, sf_dir):
+    """Import records through the batched store writer (SNK5), read back what the store received."""
+    path = scratch_path(spark, "vdb-sink")
+    write_vectors(_embedding_records(spark, sf_dir), {"type": "jsonl-folder", "path": path}, batch_size=64)
+    got = spark.read.schema("id string, vector array<float>, metadata map<string,string>").json(path)
+    return got.select("id", F.size("vector").alias("n_dims"), F.col("metadata")["label"].alias("label"),
+                      F.col("vector")[0].cast("double").alias("x0"))
+
+
+@query("vdb_sink_fields", """
+SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n_dims, label, CAST(embedding[1] AS DOUBLE) AS x0 FROM embeddings
+""")
+def q_vdb_sink_fields(spark, sf_dir):
+    """Insert entities with the value fields as columns (SNK6), read back what the store received."""
+    path = scratch_path(spark, "vdb-sink-fields")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+    write_vectors(e, {"type": "jsonl-folder", "path": path}, batch_size=64, shape="fields")
+    got = spark.read.schema("vec_id bigint, vector array<float>, label int").json(path)
+    return got.select("vec_id", F.size("vector").alias("n_dims"), "label",
+                      F.col("vector")[0].cast("double").alias("x0"))
+
+
 @query("vdb_stats", """
 SELECT CAST(label AS VARCHAR) AS namespace, count(*) AS vector_count, CAST(min(len(embedding)) AS INTEGER)
   AS dimension_min, CAST(max(len(embedding)) AS INTEGER) AS dimension_max FROM embeddings GROUP BY label

@@ -60,7 +60,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
-        # Only for local runs / tests where no shared folder exists.
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store): lineage cuts "
+                               "and intermediate tables must survive the loss of an executor")
+        # Local runs and tests only: there is no other machine to share with.
         configured = tempfile.mkdtemp(prefix="promptframe-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -105,11 +108,13 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    # The zip goes to the shared checkpoint folder when that is a filesystem
-    # path; otherwise it stays on the driver and addPyFile serves it.
+    # The zip goes to the shared checkpoint folder when that is a mounted
+    # filesystem path.  A cluster whose checkpoint folder is a remote store
+    # (hdfs://, s3a://) gets the package at submit time (``--py-files``).
     base = checkpoint_dir(spark)
-    folder = fs_path(base) if base.startswith("file:") or base.startswith("/") else tempfile.mkdtemp()
-    folder = os.path.join(folder, "pyfiles", uuid.uuid4().hex[:12])
+    if not (base.startswith("file:") or base.startswith("/")):
+        return
+    folder = os.path.join(fs_path(base), "pyfiles", uuid.uuid4().hex[:12])
     os.makedirs(folder, exist_ok=True)
     out = os.path.join(folder, "promptframe.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

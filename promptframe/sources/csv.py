@@ -21,20 +21,17 @@ def _enable_charsets(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
 
-def detect_encodings(spark: SparkSession, path: str, glob: str = "*.csv", probe_bytes: int = 1 << 20) -> DataFrame:
-    """``path, encoding`` per file: ``utf-8`` when the bytes are valid UTF-8, else ``gbk``.
+def detect_encodings(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """``path, encoding`` per file: ``utf-8`` when the whole file is valid UTF-8, else ``gbk``.
 
-    Only the first ``probe_bytes`` are tested; a multi-byte character cut at
-    the probe's end is tolerated.  Zero-byte files are skipped by Spark's
-    file listing (they hold no rows; the reference detects no encoding).
+    Every byte of every file is tested (``binaryFile`` loads a file as one
+    value, so a file must stay below its 2 GB limit; many files give the
+    parallelism).  Zero-byte files are skipped by Spark's file listing (they
+    hold no rows; the reference detects no encoding).
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true") \
-        .load(path).select("path", F.substring("content", 1, probe_bytes).alias("b"), "length")
-    n = F.length("b")
-    valid = F.is_valid_utf8(F.col("b").cast("string"))
-    for cut in (1, 2, 3):
-        valid = valid | ((F.col("length") > probe_bytes)
-                         & F.is_valid_utf8(F.substring("b", 1, F.greatest(n - cut, F.lit(0))).cast("string")))
+        .load(path).select("path", "content")
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
     return files.select("path", F.when(valid, F.lit("utf-8")).otherwise(F.lit("gbk")).alias("encoding"))
 
 

@@ -134,3 +134,39 @@ def test_write_back_slice(spark):
     with pytest.raises(ClusterGuard):
         write_back(df, lab, 0, 3, order_by="k")
     _ = F
+
+
+def test_vector_store_sink_batches_and_shapes(spark):
+    import json
+    import os
+
+    from promptframe.session import fs_path, scratch_path
+    from promptframe.sources.vectorstore import write_vectors
+
+    df = spark.createDataFrame(
+        [(f"id{i}", [float(i), 1.0], f"t{i}" if i % 2 else None, {"k": str(i)}) for i in range(10)],
+        "id string, vector array<float>, text string, metadata map<string,string>").coalesce(1)
+    path = scratch_path(spark, "sink-test")
+    write_vectors(df, {"type": "jsonl-folder", "path": path}, batch_size=3)
+    files = sorted(f for f in os.listdir(fs_path(path)) if f.startswith("batch-"))
+    assert len(files) == 4                                   # 3 + 3 + 3 + 1 rows
+    got = {}
+    for f in files:
+        with open(os.path.join(fs_path(path), f)) as fh:
+            for line in fh:
+                r = json.loads(line)
+                got[r["id"]] = r
+    assert set(got) == {f"id{i}" for i in range(10)}
+    assert got["id3"]["metadata"] == {"k": "3", "text": "t3"} and got["id4"]["metadata"] == {"k": "4"}
+    assert got["id3"]["vector"] == [3.0, 1.0]
+    # The same write again (a retried job) rewrites the same batch files.
+    write_vectors(df, {"type": "jsonl-folder", "path": path}, batch_size=3)
+    assert sorted(f for f in os.listdir(fs_path(path)) if f.startswith("batch-")) == files
+
+    fields = scratch_path(spark, "sink-fields")
+    write_vectors(df.select("vector", F.lit(7).alias("label")), {"type": "jsonl-folder", "path": fields},
+                  batch_size=100, shape="fields")
+    back = spark.read.json(fields)
+    assert back.count() == 10 and set(back.columns) == {"vector", "label"}
+    with pytest.raises(Exception):
+        write_vectors(df.select("vector"), {"type": "jsonl-folder", "path": fields}, shape="records")
