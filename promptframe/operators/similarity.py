@@ -9,9 +9,8 @@ whole table of triples is scored in two aggregations:
   task before the shuffle);
 * dot products and squared norms are summed per triple.
 
-Texts are never compared as strings in an aggregation buffer (that would
-force a sort-based aggregate over the texts); equality of alpha and beta uses
-two independent 64/32-bit hashes plus the length.
+Texts are never put in an aggregation buffer (that would force a
+sort-based aggregate over the texts).
 """
 
 from __future__ import annotations
@@ -47,30 +46,34 @@ def similarity_scores(long: DataFrame, id_col: str = "id", slot: str = "slot", t
 
     * alpha and beta both empty: delta 0, winner null;
     * alpha empty: delta -1, winner ``B``; beta empty: +1, ``A``;
-    * alpha equal to beta: 0, null;
     * otherwise ``delta = cos_alpha - cos_beta`` (a zero vector has cosine 0)
       and the winner is the larger cosine, null on a tie.
+
+    The reference also returns 0 / null when alpha equals beta; that needs no
+    test here: equal texts have equal count vectors, so both cosines are the
+    same double.
+
+    One scan: each text explodes into its tokens plus, when it is non-empty,
+    one ``""`` marker (never a token, tokens have 2+ characters) that carries
+    the emptiness guard through the same two aggregations.  ``explode_outer``
+    keeps a triple whose texts are all empty.
     """
     s, t = F.col(slot), F.col(text)
-    nonempty = F.coalesce(F.length(t) > 0, F.lit(False)).cast("int")
-    guards = long.groupBy(id_col).agg(
-        F.max(F.when(s == "a", nonempty).otherwise(0)).alias("_a"),
-        F.max(F.when(s == "b", nonempty).otherwise(0)).alias("_b"),
-        F.max(F.when(s == "a", F.xxhash64(t))).alias("_ha"),
-        F.max(F.when(s == "b", F.xxhash64(t))).alias("_hb"),
-        F.max(F.when(s == "a", F.hash(t))).alias("_ga"),
-        F.max(F.when(s == "b", F.hash(t))).alias("_gb"),
-        F.max(F.when(s == "a", F.length(t))).alias("_la"),
-        F.max(F.when(s == "b", F.length(t))).alias("_lb"))
-    per_term = (spread(long.select(id_col, slot, text)).select(id_col, slot, F.explode(tokens(text)).alias("_term"))
+    none = F.array().cast("array<string>")
+    marker = F.when(F.coalesce(F.length(t) > 0, F.lit(False)), F.array(F.lit(""))).otherwise(none)
+    terms = F.concat(F.coalesce(tokens(text), none), marker)
+    per_term = (spread(long.select(id_col, slot, text)).select(id_col, slot, F.explode_outer(terms).alias("_term"))
                 .groupBy(id_col, "_term").agg(
                     F.count_if(s == "a").alias("_na"), F.count_if(s == "b").alias("_nb"),
                     F.count_if(s == "e").alias("_ne")))
-    na, nb, ne = F.col("_na"), F.col("_nb"), F.col("_ne")
-    sums = per_term.groupBy(id_col).agg(
-        F.sum(na * ne).alias("_ae"), F.sum(nb * ne).alias("_be"), F.sum(na * na).alias("_aa"),
-        F.sum(nb * nb).alias("_bb"), F.sum(ne * ne).alias("_ee"))
-    j = guards.join(sums, id_col, "left")
+    na, nb, ne, term = F.col("_na"), F.col("_nb"), F.col("_ne"), F.col("_term")
+    word = term.isNotNull() & (term != "")
+    j = per_term.groupBy(id_col).agg(
+        F.coalesce(F.max(F.when(term == "", na)), F.lit(0)).alias("_a"),
+        F.coalesce(F.max(F.when(term == "", nb)), F.lit(0)).alias("_b"),
+        F.sum(F.when(word, na * ne)).alias("_ae"), F.sum(F.when(word, nb * ne)).alias("_be"),
+        F.sum(F.when(word, na * na)).alias("_aa"), F.sum(F.when(word, nb * nb)).alias("_bb"),
+        F.sum(F.when(word, ne * ne)).alias("_ee"))
 
     def cos(dot, n1):
         den = F.sqrt(F.col(n1).cast("double")) * F.sqrt(F.col("_ee").cast("double"))
@@ -78,11 +81,9 @@ def similarity_scores(long: DataFrame, id_col: str = "id", slot: str = "slot", t
 
     ca, cb = cos("_ae", "_aa"), cos("_be", "_bb")
     a_empty, b_empty = F.col("_a") == 0, F.col("_b") == 0
-    equal = ((F.col("_ha") == F.col("_hb")) & (F.col("_ga") == F.col("_gb")) & (F.col("_la") == F.col("_lb")))
     delta = (F.when(a_empty & b_empty, F.lit(0.0)).when(a_empty, F.lit(-1.0)).when(b_empty, F.lit(1.0))
-             .when(equal, F.lit(0.0)).otherwise(ca - cb))
+             .otherwise(ca - cb))
     winner = (F.when(a_empty & b_empty, F.lit(None).cast("string")).when(a_empty, F.lit("B")).when(b_empty, F.lit("A"))
-              .when(equal, F.lit(None).cast("string"))
               .when(ca > cb, F.lit("A")).when(cb > ca, F.lit("B")))
     return j.select(id_col, ca.alias("cos_alpha"), cb.alias("cos_beta"), delta.alias("delta"), winner.alias("winner"))
 
