@@ -239,6 +239,17 @@ def project_fields(df: DataFrame, fields: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def infer_roles(df: DataFrame) -> tuple[str, str]:
+    """Key and value fields of an uploaded table (PRJ7).
+
+    Key = the first column (``id`` when there is none); values = the other
+    columns joined by ``", "`` (``text`` when there are none).  Schema only:
+    nothing is read.
+    """
+    cols = df.columns
+    return (cols[0] if cols else "id"), (", ".join(cols[1:]) if len(cols) > 1 else "text")
+
+
 def batch_ids(df: DataFrame, batch_size: int, order_by=None, pos_col: str = "pos",
               batch_col: str = "batch_id") -> DataFrame:
     """``batch_id = pos // batch_size`` (SRT4)."""

@@ -119,3 +119,22 @@ def test_keyed_positions_many_buckets_composite_and_timestamps(spark):
         sl = P.slice_rows(df, lo, hi, ["s", "n"]).orderBy("pos").collect()
         assert [(r["s"], r["n"]) for r in sl] == [(w[0], w[1]) for w in want[lo:hi]]
         assert [r["pos"] for r in sl] == list(range(lo, min(hi, len(want))))
+
+
+def test_infer_roles(spark):
+    assert P.infer_roles(spark.createDataFrame([("a", "b", "c")], "q string, x string, y string")) == ("q", "x, y")
+    assert P.infer_roles(spark.createDataFrame([("a",)], "q string")) == ("q", "text")
+    assert P.infer_roles(spark.createDataFrame([], "struct<>")) == ("id", "text")
+
+
+def test_similarity_tokenless_and_missing_slots(spark):
+    from promptframe.operators.similarity import similarity_scores
+
+    long = spark.createDataFrame(
+        [(1, "a", "!!"), (1, "b", "cat dog"), (1, "e", "cat"),      # alpha non-empty, no token
+         (2, "a", "x"), (2, "e", "x"),                               # beta missing, one-letter texts
+         (3, "e", "anything")],                                      # alpha and beta missing
+        "id int, slot string, text string")
+    got = {r["id"]: (r["delta"], r["winner"]) for r in similarity_scores(long, "id").collect()}
+    assert got[1][1] == "B" and abs(got[1][0] + 0.7071067811865475) < 1e-12
+    assert got[2] == (1.0, "A") and got[3] == (0.0, None)
