@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,10 +148,25 @@ def _topk_cols(scores: np.ndarray, ids: np.ndarray, k: int):
 
 
 def _collect_side(df: DataFrame, id_col: str, vec_col: str):
-    pdf = df.select(F.col(id_col).alias("i"), F.col(vec_col).alias("v")).toPandas()
-    ids = pdf["i"].to_numpy()
-    mat = np.array([np.asarray(v, dtype=np.float64) for v in pdf["v"]]) if len(pdf) else np.zeros((0, 0))
-    return ids, mat
+    """The (size-checked) broadcast side as ``ids, float64 matrix``.
+
+    Collected as Arrow and flattened column-wise, so the driver holds the
+    matrix once and never one Python object per value.
+    """
+    tbl = df.select(F.col(id_col).alias("i"), F.col(vec_col).alias("v")).toArrow()
+    if tbl.num_rows == 0:
+        return np.zeros(0, dtype=object), np.zeros((0, 0))
+    col = tbl.column("i")
+    numeric = pa.types.is_integer(col.type) and col.null_count == 0
+    ids = col.to_numpy() if numeric else np.array(col.to_pylist(), dtype=object)
+    vecs = tbl.column("v").combine_chunks()
+    if vecs.null_count:
+        raise ValueError(f"null vectors in {vec_col!r}")
+    lengths = np.diff(vecs.offsets.to_numpy())
+    if len(set(lengths.tolist())) > 1:
+        raise ValueError(f"vectors in {vec_col!r} differ in length")
+    flat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return ids, flat.reshape(len(vecs), int(lengths[0]) if len(lengths) else 0)
 
 
 # Score-matrix cells per numpy product (bounds task memory to ~32 MB).
@@ -185,7 +201,7 @@ def _stream_mapper(bc, id_col, vec_col, k, metric, gamma, exclude_self, stream_i
             if len(pdf) == 0 or len(side_ids) == 0:
                 continue
             sids = pdf[id_col].to_numpy()
-            mat = np.array([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
+            mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
             out = ([], [], [], [])
             if stream_is_query:
                 step = max(1, BLOCK_CELLS // len(side_ids))
