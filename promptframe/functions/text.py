@@ -13,8 +13,10 @@ PY_WHITESPACE = (
 )
 
 
-# ``\z`` (not ``$``): Java's ``$`` also matches before a final line break.
-STRIP_PATTERN = f"^{PY_WHITESPACE}+|{PY_WHITESPACE}+\\z"
+# The same characters as a plain string, for ``btrim`` (a character set, no regex).
+PY_WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                       + "".join(chr(c) for c in range(0x2000, 0x200B))
+                       + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def _c(col) -> Column:
@@ -23,7 +25,7 @@ def _c(col) -> Column:
 
 def py_strip(col) -> Column:
     """``str.strip()``: remove leading and trailing whitespace (Unicode set)."""
-    return F.regexp_replace(_c(col), STRIP_PATTERN, "")
+    return F.btrim(_c(col), F.lit(PY_WHITESPACE_CHARS))
 
 
 def strip_chars(col, chars: str) -> Column:

@@ -27,6 +27,9 @@ LOCAL_CONF = {
     "spark.sql.legacy.javaCharsets": "true",
     # LLM and embedding maps have side effects: never race duplicate tasks.
     "spark.speculation": "false",
+    # Capturing the Python call site of every Column call costs several JVM
+    # round trips per call while a plan is built; it only decorates errors.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
