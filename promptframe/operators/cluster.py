@@ -7,14 +7,20 @@ linked to its ``n_neighbors`` nearest vectors (exact kNN, see
 ``vectors.knn_search``) with weight ``exp(-gamma * |x - y|^2)``, each
 undirected edge fed once.  ``method='kmeans'`` uses Spark ML KMeans instead
 (the scalable choice for very large tables).  Labels cannot equal
-scikit-learn's number for number; they are deterministic for a given input.
+scikit-learn's number for number; they are deterministic for a given input
+(the graph's split is fixed by its size, and clusters are numbered by their smallest member id).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Edges per partition of the affinity graph handed to Power Iteration Clustering.
+EDGES_PER_PARTITION = 4_000_000
+
 
 class ClusterGuard(Exception):
     """A guard of the reference: the table is returned unchanged."""
@@ -37,9 +43,11 @@ def cluster_vectors(df: DataFrame, id_col: str, vec_col: str, clusters: int = 10
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        feats = df.select(id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
+        feats = df.select(F.col(id_col).cast("long").alias("id"),
+                          array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
         model = KMeans(k=clusters, seed=seed, maxIter=max_iter).fit(feats)
-        return model.transform(feats).select(id_col, (F.col("prediction") + F.lit(label_base)).cast("int").alias(out))
+        assigned = model.transform(feats).select("id", F.col("prediction").alias("cluster"))
+        return _numbered(assigned, assigned.select("id"), id_col, label_base, out)
     if method != "pic":
         raise ValueError("method must be 'pic' or 'kmeans'")
     from pyspark.ml.clustering import PowerIterationClustering
@@ -49,15 +57,30 @@ def cluster_vectors(df: DataFrame, id_col: str, vec_col: str, clusters: int = 10
     v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vector"))
     nn = knn_search(v.withColumnRenamed("id", "q_id"), v, k=n_neighbors, q_id="q_id", s_id="id",
                     metric="rbf", gamma=gamma, exclude_self=True)
+    # The iteration's sums depend on how the edges are split, so the split is
+    # fixed by the data, not by the session: partitions sized by edge count
+    # (an explicit count AQE leaves alone), rows sorted within each.
+    parts = max(1, math.ceil(n * n_neighbors / EDGES_PER_PARTITION))
     edges = (nn.select(F.least("q_id", "s_id").alias("src"), F.greatest("q_id", "s_id").alias("dst"),
                        F.col("score").alias("weight"))
-             .groupBy("src", "dst").agg(F.max("weight").alias("weight")))
+             .groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+             .repartition(parts, "src").sortWithinPartitions("src", "dst"))
     pic = PowerIterationClustering(k=clusters, maxIter=max_iter, initMode="degree", srcCol="src", dstCol="dst",
                                    weightCol="weight")
-    assigned = pic.assignClusters(edges)
-    labels = v.select("id").join(assigned, "id", "left")
-    return labels.select(F.col("id").alias(id_col),
-                         (F.col("cluster") + F.lit(label_base)).cast("int").alias(out))
+    return _numbered(pic.assignClusters(edges), v.select("id"), id_col, label_base, out)
+
+
+def _numbered(assigned: DataFrame, ids: DataFrame, id_col: str, label_base: int, out: str) -> DataFrame:
+    """Canonical labels: clusters ordered by their smallest member id, plus ``label_base``.
+
+    The numbering window sees one row per cluster (at most ``clusters``
+    rows), and only that small table is broadcast.  Ids without a cluster
+    (no edge in the graph) get null.
+    """
+    first = assigned.groupBy("cluster").agg(F.min("id").alias("_first"))
+    number = first.select("cluster", (F.row_number().over(Window.orderBy("_first")) - 1).alias("_label"))
+    labels = ids.join(assigned, "id", "left").join(F.broadcast(number), "cluster", "left")
+    return labels.select(F.col("id").alias(id_col), (F.col("_label") + F.lit(label_base)).cast("int").alias(out))
 
 
 def write_back(df: DataFrame, labels: DataFrame, start: int, end: int, field: str = "Cluster",
