@@ -40,10 +40,17 @@ def q_llm_batch(spark, sf_dir):
     return res.select("c_custkey", "c_name", "c_mktsegment", "Output", "status")
 
 
-@query("llm_call_stats")
+@query("llm_call_stats", f"""
+SELECT CASE WHEN contains(t, '{FAIL_ON}') THEN 'error' ELSE 'ok' END AS status, count(*) AS calls, true AS timed
+FROM (SELECT 'system: You are a ' || c_mktsegment || ' analyst.' || chr(10) || 'human: Summarise customer '
+             || c_name || '.' AS t FROM customer WHERE c_acctbal >= 0)
+GROUP BY ALL
+""")
 def q_llm_call_stats(spark, sf_dir):
+    """Calls per status; latencies vary from run to run, so only their presence is compared."""
     res = llm_batch(_customers(spark, sf_dir), SYSTEM, USER, CLIENT, batch_size=10, keep=["c_custkey"])
-    return call_stats(res).select("status", "calls", "avg_ms")
+    stats = call_stats(res)
+    return stats.select("status", "calls", ((F.col("min_ms") >= 0) & (F.col("avg_ms") >= 0)).alias("timed"))
 
 
 @query("bang_columns", """
@@ -69,7 +76,19 @@ def q_chain_batch(spark, sf_dir):
 META_SYSTEM = "Improve the prompt template so the GPT message matches the expected message."
 
 
-@query("optimize_prompts")
+# With the stand-ins the loop is deterministic: round 1 tests the prompt and
+# the generator appends its suffix (adopted, output cleared); round 2 tests the
+# new prompt and the generator reports no change; then no row is active.
+@query("optimize_prompts", """
+WITH u AS (SELECT conv_id, turn, text AS q FROM conversations WHERE role = 'user'),
+     a AS (SELECT conv_id, turn - 1 AS turn, text AS ans FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, 'You are a helpful assistant. Be concise.' AS current_system_prompt, q AS testing_user_prompt,
+       coalesce(ans, '') AS expect_output,
+       md5('system: You are a helpful assistant. Be concise.' || chr(10) || 'human: ' || coalesce(q, ''))
+         AS current_output,
+       false AS changed
+FROM u LEFT JOIN a USING (conv_id, turn)
+""")
 def q_optimize_prompts(spark, sf_dir):
     from ..operators.chat import chat_pairs
 

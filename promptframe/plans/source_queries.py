@@ -76,7 +76,16 @@ def q_src_vectors(spark, sf_dir):
         "pos", F.col("i").cast("int").alias("i"), F.col("x").cast("double").alias("x"))
 
 
-@query("snk_multi")
+_PAIRS = """
+SELECT u.conv_id, u.turn, u.text AS Input, a.text AS Output
+FROM (SELECT conv_id, turn, text FROM conversations WHERE role = 'user') u
+LEFT JOIN (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant') a USING (conv_id, turn)
+"""
+
+
+@query("snk_multi", f"""
+SELECT *, 'csv' AS format FROM ({_PAIRS}) UNION ALL SELECT *, 'xlsx' AS format FROM ({_PAIRS})
+""")
 def q_snk_multi(spark, sf_dir):
     pairs = chat_pairs(table(spark, sf_dir, "conversations"))
     written = dump(pairs, scratch_path(spark, "dump-pairs"), ["csv", "xlsx", "json"]) or []
