@@ -48,6 +48,19 @@ def test_encoding_detection(spark):
     assert got == {"u.csv": "utf-8", "g.csv": "gbk"}
 
 
+def test_encoding_detection_reads_whole_file(spark):
+    root = scratch_path(spark, "t-enc-long")
+    local = root.replace("file:", "")
+    os.makedirs(local, exist_ok=True)
+    line = "1,hello world\n".encode("ascii")
+    with open(f"{local}/late.csv", "wb") as f:          # valid UTF-8 for 2 MB, then one GBK line
+        f.write(b"a,b\n" + line * ((2 << 20) // len(line)) + "2,关于\n".encode("gbk"))
+    with open(f"{local}/clean.csv", "wb") as f:
+        f.write(b"a,b\n" + line * ((2 << 20) // len(line)) + "2,é\n".encode("utf-8"))
+    got = {os.path.basename(r["path"]): r["encoding"] for r in detect_encodings(spark, root).collect()}
+    assert got == {"late.csv": "gbk", "clean.csv": "utf-8"}
+
+
 def test_dump_guards(spark):
     one = spark.createDataFrame([("a",)], "x string")
     assert dump(one, scratch_path(spark, "t-d1")) is None
