@@ -16,6 +16,7 @@ resume after a failure, ``left_anti``-join the finished keys.
 
 from __future__ import annotations
 
+import re
 import time
 
 import pandas as pd
@@ -152,32 +153,38 @@ def chain_batch(df: DataFrame, client: dict, start=None, end=None, order_by=None
     return res.drop("__payload", "status", "error", "elapsed_ms")
 
 
-def bang_columns(df: DataFrame, sample_rows: int = 1000) -> DataFrame:
+def bang_columns(df: DataFrame) -> DataFrame:
     """``!col`` -> ``col`` holding the JSON value parsed from the cell (PRJ9).
 
-    The value's type is inferred from a bounded sample with ``schema_of_json``
-    merged over the sampled cells; cells that do not parse give null.
+    The value's type is the merge over *every* cell, computed by one
+    distributed aggregate (``schema_of_variant_agg``) for all ``!`` columns
+    together; only that type string reaches the driver.  It is written in the
+    JSON reader's terms (objects as structs, non-integer numbers as doubles)
+    and applied with ``from_json``, which also accepts single-quoted JSON.
+    Cells whose shapes conflict (an object here, a list there) or a column
+    where nothing parses keep the value as a ``variant``.  Cells that do not
+    parse give null; nothing is ever evaluated as code.
     """
-    out = []
-    for c in df.columns:
-        if not c.startswith("!"):
-            out.append(F.col(f"`{c}`"))
-            continue
-        sample = [r[0] for r in df.select(F.col(f"`{c}`")).where(F.col(f"`{c}`").isNotNull())
-                  .limit(sample_rows).collect()]
-        schema = _infer_json_schema(df.sparkSession, sample)
-        out.append(F.from_json(F.col(f"`{c}`"), schema).alias(c[1:]))
-    return df.select(*out)
-
-
-def _infer_json_schema(spark, sample: list[str]) -> str:
-    if not sample:
-        return "string"
-    sdf = spark.createDataFrame([(s,) for s in sample], "v string")
-    rdd_schema = spark.read.json(sdf.rdd.map(lambda r: r[0])).schema
-    if len(rdd_schema.fields) == 1 and rdd_schema.fields[0].name == "_corrupt_record":
-        return "string"
-    return rdd_schema.simpleString()
+    bang = [c for c in df.columns if c.startswith("!")]
+    if not bang:
+        return df
+    found = df.select(*[F.expr(f"schema_of_variant_agg(try_parse_json(`{c}`))") for c in bang]).first()
+    types = {c: _json_ddl(t) for c, t in zip(bang, found)}
+    return df.select(*[F.from_json(F.col(f"`{c}`"), types[c]).alias(c[1:]) if c in types else F.col(f"`{c}`")
+                       for c in df.columns])
+
+
+def _json_ddl(variant_type: str | None) -> str:
+    """A ``schema_of_variant`` type as a ``from_json`` schema ("variant" when there is none)."""
+    if variant_type is None or variant_type in ("VOID", "VARIANT") or not variant_type.startswith(("OBJECT", "ARRAY")):
+        return "variant"
+    # Rewrite type names outside backtick-quoted field names only.
+    parts = re.split(r"(`(?:[^`]|``)*`)", variant_type)
+    for i in range(0, len(parts), 2):
+        p = re.sub(r"\bOBJECT<", "STRUCT<", parts[i])
+        p = re.sub(r"\bDECIMAL\(\d+,\s*\d+\)", "DOUBLE", p)
+        parts[i] = re.sub(r"\bVOID\b", "STRING", p)
+    return "".join(parts)
 
 
 def call_stats(results: DataFrame) -> DataFrame:

@@ -47,6 +47,20 @@ def test_bang_columns(spark):
     assert rows(out.select("input", "config.temp")) == [("hello", 0.5), ("world", 0.7)]
 
 
+def test_bang_columns_type_from_every_row(spark):
+    cells = [(i, '{"a": %d}' % i) for i in range(3000)] + [(3000, '{"a": 1, "late": [1.5]}'), (3001, "{'a': 7}"),
+                                                           (3002, "not json"), (3003, None)]
+    df = spark.createDataFrame(cells, "k int, `!v` string").repartition(4)
+    out = bang_columns(df)
+    assert out.schema["v"].dataType.simpleString() == "struct<a:bigint,late:array<double>>"
+    got = {r["k"]: r for r in out.select("k", "v.a", "v.late").collect()}
+    assert got[3000]["late"] == [1.5] and got[3001]["a"] == 7 and got[3002]["a"] is None
+    mixed = bang_columns(spark.createDataFrame([('{"a": 1}',), ("[1, 2]",)], "`!m` string"))
+    assert mixed.schema["m"].dataType.simpleString() == "variant"
+    empty = bang_columns(spark.createDataFrame([(None,), ("x",)], "`!e` string"))
+    assert [r[0] for r in empty.collect()] == [None, None]
+
+
 def test_optimize_prompts_loop(spark):
     df = spark.createDataFrame([(1, "Be helpful.", "hi", "hello", None)],
                                "k int, current_system_prompt string, testing_user_prompt string, "
