@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.llm import bang_columns, call_stats, chain_batch, llm_batch
 from ..operators.metaprompt import optimize_prompts
 from ..session import table
-from .registry import query
+from .registry import ORACLES, query
 
 FAIL_ON = "#0000001"
 CLIENT = {"type": "md5-echo", "fail_on": FAIL_ON}
@@ -40,6 +40,29 @@ def q_llm_batch(spark, sf_dir):
     return res.select("c_custkey", "c_name", "c_mktsegment", "Output", "status")
 
 
+@query("llm_concurrent")
+def q_llm_concurrent(spark, sf_dir):
+    """LLM3: the same batch with each batch's calls sent on a thread pool (4 in flight per task)."""
+    res = llm_batch(_customers(spark, sf_dir), SYSTEM, USER, dict(CLIENT, concurrency=4), batch_size=10,
+                    keep=["c_custkey", "c_name", "c_mktsegment"])
+    return res.select("c_custkey", "c_name", "c_mktsegment", "Output", "status")
+
+
+@query("test_prompt", """
+SELECT conv_id, turn, text AS testing_user_prompt,
+       md5('system: You are a helpful assistant.' || chr(10) || 'human: ' || coalesce(text, '')) AS output
+FROM conversations WHERE role = 'user'
+""")
+def q_test_prompt(spark, sf_dir):
+    """LLM4: one system + user prompt per row against the target model."""
+    from ..operators.metaprompt import test_prompt
+
+    users = (table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+             .select("conv_id", "turn", F.lit("You are a helpful assistant.").alias("system"),
+                     F.col("text").alias("testing_user_prompt")))
+    return test_prompt(users, "system", "testing_user_prompt", {"type": "md5-echo"}).drop("system")
+
+
 @query("llm_call_stats", f"""
 SELECT CASE WHEN contains(t, '{FAIL_ON}') THEN 'error' ELSE 'ok' END AS status, count(*) AS calls, true AS timed
 FROM (SELECT 'system: You are a ' || c_mktsegment || ' analyst.' || chr(10) || 'human: Summarise customer '
@@ -98,3 +121,5 @@ def q_optimize_prompts(spark, sf_dir):
                        F.lit(None).cast("string").alias("current_output"))
     return optimize_prompts(prompts, "turn", {"type": "append-suffix"}, {"type": "md5-echo"}, META_SYSTEM,
                             iterations=3)
+
+ORACLES["llm_concurrent"] = ORACLES["llm_batch"]
