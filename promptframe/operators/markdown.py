@@ -73,10 +73,18 @@ def parse_staged(df: DataFrame, keep: list[str], text_col: str = "text") -> Data
 
 
 def _dedupe_names(header: Column) -> Column:
-    """Suffix repeated header names ``_2``, ``_3``... (Spark needs unique keys)."""
-    return F.transform(header, lambda h, i: F.when(
-        F.size(F.filter(F.slice(header, 1, i), lambda x: x == h)) == 0, h).otherwise(
-        F.concat(h, F.lit("_"), (F.size(F.filter(F.slice(header, 1, i), lambda x: x == h)) + 1).cast("string"))))
+    """Unique header names: a name already taken gets the first free ``_2``, ``_3``... suffix.
+
+    Names are taken left to right, so ``a, a, a_2`` becomes ``a, a_2, a_2_2``
+    (Spark needs unique keys for the name -> cell map).  Among ``n + 1``
+    candidates at least one is free, so a name is always found.
+    """
+    def take(acc, h):
+        cands = F.transform(F.sequence(F.lit(2), F.size(acc) + 2), lambda k: F.concat(h, F.lit("_"), k.cast("string")))
+        free = F.element_at(F.filter(cands, lambda c: ~F.array_contains(acc, c)), 1)
+        return F.concat(acc, F.array(F.when(~F.array_contains(acc, h), h).otherwise(free)))
+
+    return F.aggregate(header, F.array().cast("array<string>"), take)
 
 
 def parse_markdown_table(df: DataFrame, text_col: str = "text", out: str = "table") -> DataFrame:

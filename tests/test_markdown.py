@@ -122,3 +122,74 @@ def test_extractor_choice(spark):
     assert table_from_chat(turns, "History w/ Tables").count() == 1
     assert table_from_chat(turns, "something else") is None
     _ = F
+
+
+def _rules(text):
+    """The parsing rules of SURVEY §2.11, written directly in Python (the test's own oracle)."""
+    if text is None or "| " not in text:
+        return None
+    lines = text[text.find("| "):].split("\n")
+    header = [c.strip() for c in lines[0].split("|")[1:-1]]
+    rows = []
+    for line in lines[1:]:
+        s = line.strip()
+        if s.startswith("|---") or s.startswith("| ---"):
+            continue
+        cells = [c.strip() for c in line.split("|")[1:-1]]
+        rows.append((cells + [""] * len(header))[:len(header)])
+    return header, rows
+
+
+def test_parser_matches_rules_on_random_texts(spark):
+    import random
+
+    rnd = random.Random(7)
+    pieces = ["| ", "|", " | ", "|---", "| ---", "|:---|", "---", "\n", "\n", " ", "\t", "　", " ",
+              "a", "bc", "Col", "中文", "x y", "\r", ""]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 40))) for _ in range(1500)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {r["k"]: r["table"] for r in parse_markdown_table(df).select("k", "table").collect()}
+    for k, t in enumerate(texts):
+        g = got[k]
+        mine = None if g is None else (list(g["header"]), [list(x) for x in g["rows"]])
+        assert mine == _rules(t), (t, mine, _rules(t))
+
+
+def _dedupe(header):
+    out = []
+    for h in header:
+        name, k = h, 2
+        while name in out:
+            name, k = f"{h}_{k}", k + 1
+        out.append(name)
+    return out
+
+
+def test_history_matches_rules_on_random_chats(spark):
+    import random
+
+    rnd = random.Random(11)
+    names = ["a", "b", "c", "a_2", "Name"]
+    turns, expected = [], []
+    for conv in range(60):
+        tables = []
+        for turn in range(rnd.randint(1, 5)):
+            if rnd.random() < 0.2:
+                turns.append((conv, turn, "no table here"))
+                continue
+            header = [rnd.choice(names) for _ in range(rnd.randint(1, 4))]
+            body = [[f"v{conv}_{turn}_{r}_{c}" for c in range(rnd.randint(0, 5))] for r in range(rnd.randint(0, 3))]
+            text = "| " + " | ".join(header) + " |\n|---|\n" + "\n".join("| " + " | ".join(r) + " |" for r in body)
+            turns.append((conv, turn, text))
+            h, rows = _rules(text)
+            tables.append((turn, _dedupe(h), rows))
+        cols = []
+        for _, h, _ in tables:
+            cols += [c for c in h if c not in cols]
+        for turn, h, rows in tables:
+            for r_no, r in enumerate(rows):
+                cell = dict(zip(h, r))
+                expected += [(conv, turn, r_no, i, c, cell.get(c, "")) for i, c in enumerate(cols)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, text string")
+    got = sorted(tuple(r) for r in markdown_history(df).collect())
+    assert got == sorted(expected)
