@@ -230,7 +230,8 @@ def knn_search(queries: DataFrame, store: DataFrame, k: int = 3, q_id: str = "q_
     """Exact top-``k`` per query: ``q_id, rank, s_id, score`` (VEC5 / SRT3).
 
     Ties are broken by the store id (ascending).  ``exclude_self`` drops
-    pairs with equal ids (kNN graph of a table against itself).
+    pairs with equal ids (kNN graph of a table against itself).  Rows with a
+    null vector take no part; vectors of unequal length are an error.
     """
     spark = queries.sparkSession
     ship_package(spark)
@@ -241,8 +242,10 @@ def knn_search(queries: DataFrame, store: DataFrame, k: int = 3, q_id: str = "q_
     types = (_np_dtype(qt), _np_dtype(st))
     # The query side is counted, sized and collected: persist it so an
     # upstream model map (embedding the queries) runs once, not three times.
-    q = queries.select(q_id, q_vec).persist(StorageLevel.MEMORY_AND_DISK)
-    s = store.select(s_id, s_vec)
+    # A row without a vector can neither ask nor be found: leave it out (the
+    # filter reaches the scan) rather than fail the job on one null.
+    q = queries.select(q_id, q_vec).where(F.col(q_vec).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    s = store.select(s_id, s_vec).where(F.col(s_vec).isNotNull())
     nq, dim = q.agg(F.count(F.lit(1)), F.max(F.size(q_vec))).first()
     dim = int(dim or 0)
     w = Window.partitionBy("q_id").orderBy(F.col("score").desc(), F.col("s_id"))

@@ -184,3 +184,10 @@ def test_vector_store_sink_batches_and_shapes(spark):
     assert back.count() == 10 and set(back.columns) == {"vector", "label"}
     with pytest.raises(Exception):
         write_vectors(df.select("vector"), {"type": "jsonl-folder", "path": fields}, shape="records")
+
+
+def test_knn_skips_null_vectors(spark):
+    store = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [0.0, 1.0])], "id string, vector array<float>")
+    qs = spark.createDataFrame([(1, [1.0, 0.1]), (2, None)], "q_id int, vector array<float>")
+    got = [(r["q_id"], r["rank"], r["s_id"]) for r in V.knn_search(qs, store, k=3).orderBy("q_id", "rank").collect()]
+    assert got == [(1, 1, "a"), (1, 2, "c")]
