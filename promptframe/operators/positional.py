@@ -74,8 +74,9 @@ def _bucket_tree(cmp_cols, bound_lits, lo, hi):
 
 
 def _less(cmp_cols, lits):
+    """``key < bound`` with nulls first, as in ``ORDER BY key`` (struct comparison already does so)."""
     if len(cmp_cols) == 1:
-        return cmp_cols[0] < lits[0]
+        return cmp_cols[0].isNull() | (cmp_cols[0] < lits[0])
     return F.struct(*cmp_cols) < F.struct(*lits)
 
 
@@ -128,7 +129,7 @@ def _keyed_pos(df: DataFrame, keys: list[str], pos_col: str, plan: dict, rng: tu
             if lo > 0:
                 cond = cond & (c >= plan["lits"][lo - 1][0])
             if hi < len(plan["bounds"]):
-                cond = cond & (c < plan["lits"][hi][0])
+                cond = cond & _less([c], plan["lits"][hi])
         out = out.where(cond)
     w = Window.partitionBy("__b").orderBy(*[F.col(f"`{k}`") for k in keys])
     offset = F.element_at(F.array(*[F.lit(o) for o in plan["offsets"]]).cast("array<long>"), F.col("__b") + 1)

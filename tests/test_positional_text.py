@@ -138,3 +138,14 @@ def test_similarity_tokenless_and_missing_slots(spark):
     got = {r["id"]: (r["delta"], r["winner"]) for r in similarity_scores(long, "id").collect()}
     assert got[1][1] == "B" and abs(got[1][0] + 0.7071067811865475) < 1e-12
     assert got[2] == (1.0, "A") and got[3] == (0.0, None)
+
+
+def test_null_key_sorts_first_in_positions_and_slices(spark):
+    from pyspark.sql import Window
+
+    df = spark.createDataFrame([(None if i == 500 else i, i % 3) for i in range(2000)], "k int, g int")
+    ours = {r["k"]: r["pos"] for r in P.with_pos(df, "k", num_partitions=16).collect()}
+    ref = {r["k"]: r["pos"] for r in df.select("k", (F.row_number().over(Window.orderBy("k")) - 1).alias("pos")).collect()}
+    assert ours == ref and ours[None] == 0
+    head = [(r["pos"], r["k"]) for r in P.slice_rows(df, 0, 3, order_by="k").orderBy("pos").collect()]
+    assert head == [(0, None), (1, 0), (2, 1)]
