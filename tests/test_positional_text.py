@@ -149,3 +149,19 @@ def test_null_key_sorts_first_in_positions_and_slices(spark):
     assert ours == ref and ours[None] == 0
     head = [(r["pos"], r["k"]) for r in P.slice_rows(df, 0, 3, order_by="k").orderBy("pos").collect()]
     assert head == [(0, None), (1, 0), (2, 1)]
+
+
+def test_tokens_match_countvectorizer_rule_on_random_unicode(spark):
+    import random
+    import re
+
+    from promptframe.functions.tokens import tokens
+
+    rnd = random.Random(3)
+    pool = list("abcXYZ019_ -.,;!?\n\t") + ["é", "É", "ß", "ﬁ", "Σ", "σ", "ς", "İ", "ı", "中", "文", "ー", "²", "½",
+                                             "Ⅻ", "٣", "́", "̈", "​", "😀", "𝒜", "ǅ", "ẞ", "'"]
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 30))) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r[0]: list(r[1]) for r in df.select("k", tokens("t")).collect()}
+    rule = re.compile(r"(?u)\b\w\w+\b")                   # CountVectorizer's default token pattern
+    assert all(got[i] == rule.findall(t.lower()) for i, t in enumerate(texts))
