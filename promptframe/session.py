@@ -143,4 +143,10 @@ def spread(df, min_partitions: int | None = None):
         return df
     sc = df.sparkSession.sparkContext
     want = min_partitions or sc.defaultParallelism
+    # Decided from the plan's file list first (no job): reading at least one
+    # file per core means enough splits, the usual case on a cluster.  Only a
+    # small input is asked for its partition count, which under adaptive
+    # execution runs any shuffle below it once more.
+    if len(df.inputFiles()) >= want:
+        return df
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
