@@ -4,7 +4,7 @@ Reading splits each file into row ranges of at most ``rowsPerPartition``
 rows (the header gives shape and dtype; tasks memory-map their range), so a
 large matrix is read in parallel.  Output: ``pos`` (global row position,
 files in name order) and ``vector array<float>``.  Writing stores one
-``part-NNNNN.npy`` per partition; write a sorted DataFrame to keep order.
+``part-<write>-<partition>.npy`` per partition; write a sorted DataFrame to keep order.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ def list_npy(path: str) -> list[str]:
     p = _local(path)
     if os.path.isfile(p):
         return [p]
-    return sorted(os.path.join(r, f) for r, _, fs in os.walk(p) for f in fs if f.endswith(".npy"))
+    return sorted(os.path.join(r, f) for r, _, fs in os.walk(p) for f in fs
+                  if f.endswith(".npy") and not f.startswith((".", "_")))
 
 
 def npy_rows(path: str) -> int:
@@ -66,8 +67,16 @@ class _Commit(WriterCommitMessage):
 
 
 class NpyWriter(DataSourceWriter):
-    def __init__(self, path, column):
-        self.path, self.column = _local(path), column
+    """One ``part-<write>-<partition>.npy`` per non-empty partition.
+
+    The write id orders files by write (reading follows name order), and a
+    retried task rewrites its own file through a hidden temporary name.
+    Overwrite removes, at commit, the part files this write did not produce.
+    """
+
+    def __init__(self, path, column, overwrite):
+        self.path, self.column, self.overwrite = _local(path), column, overwrite
+        self.write_id = write_id()
 
     def write(self, iterator):
         import numpy as np
@@ -79,11 +88,36 @@ class NpyWriter(DataSourceWriter):
         if not rows:
             return _Commit(None, 0)
         os.makedirs(self.path, exist_ok=True)
-        out = os.path.join(self.path, f"part-{pid:05d}.npy")
-        np.save(out + ".tmp.npy", np.stack(rows))
-        os.replace(out + ".tmp.npy", out)
+        name = f"part-{self.write_id}-{pid:05d}.npy"
+        tmp = os.path.join(self.path, f".{name}.{os.getpid()}.tmp")
+        with open(tmp, "wb") as f:
+            np.save(f, np.stack(rows))
+        out = os.path.join(self.path, name)
+        os.replace(tmp, out)
         return _Commit(out, len(rows))
 
+    def commit(self, messages):
+        if self.overwrite:
+            remove_stale_parts(self.path, {m.path for m in messages if m is not None and m.path})
+
+
+def write_id() -> str:
+    """Time-ordered id of one write job (driver side), shared by its tasks."""
+    import time
+    import uuid
+
+    return f"{time.time_ns():020d}{uuid.uuid4().hex[:6]}"
+
+
+def remove_stale_parts(path: str, keep: set) -> None:
+    """Delete ``part-*`` files under ``path`` that are not in ``keep`` (overwrite commit)."""
+    if not os.path.isdir(path):
+        return
+    for f in os.listdir(path):
+        full = os.path.join(path, f)
+        if f.startswith("part-") and full not in keep:
+            os.remove(full)
+
 
 class NpyDataSource(DataSource):
     """``format("npy")``; options: ``path``, ``rowsPerPartition`` (read), ``column`` (write)."""
@@ -99,7 +133,7 @@ class NpyDataSource(DataSource):
         return NpyReader(self.options["path"], int(self.options.get("rowsPerPartition", 65536)))
 
     def writer(self, schema, overwrite):
-        return NpyWriter(self.options["path"], self.options.get("column", "vector"))
+        return NpyWriter(self.options["path"], self.options.get("column", "vector"), overwrite)
 
 
 def register(spark) -> None:

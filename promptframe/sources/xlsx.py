@@ -141,7 +141,7 @@ def _col_name(i: int) -> str:
 def write_workbook(path: str, header: list[str], rows, sheet_name: str = "sheet1") -> int:
     """Write one workbook; returns the number of data rows."""
     n = 0
-    tmp = path + ".tmp"
+    tmp = os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.{os.getpid()}.tmp")   # hidden
     with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml",
                    '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
@@ -188,8 +188,13 @@ class _Commit(WriterCommitMessage):
 
 
 class XlsxWriter(DataSourceWriter):
+    """One ``part-<write>-<partition>.xlsx`` per non-empty partition (see ``npy.NpyWriter``)."""
+
     def __init__(self, path, schema, sheet_name, overwrite):
+        from .npy import write_id
+
         self.path, self.schema, self.sheet_name, self.overwrite = _local(path), schema, sheet_name, overwrite
+        self.write_id = write_id()
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -197,13 +202,20 @@ class XlsxWriter(DataSourceWriter):
         ctx = TaskContext.get()
         pid = ctx.partitionId() if ctx else 0
         os.makedirs(self.path, exist_ok=True)
-        out = os.path.join(self.path, f"part-{pid:05d}.xlsx")
+        out = os.path.join(self.path, f"part-{self.write_id}-{pid:05d}.xlsx")
         header = [f.name for f in self.schema.fields]
         n = write_workbook(out, header, (tuple(r) for r in iterator), self.sheet_name)
         if n == 0:
             os.remove(out)
+            return _Commit(None, 0)
         return _Commit(out, n)
 
+    def commit(self, messages):
+        from .npy import remove_stale_parts
+
+        if self.overwrite:
+            remove_stale_parts(self.path, {m.path for m in messages if m is not None and m.path})
+
 
 class XlsxDataSource(DataSource):
     """``format("xlsx")``; options: ``path``, ``sheetName`` (write)."""

@@ -57,3 +57,27 @@ def test_npy_round_trip_ranges(spark):
     back = spark.read.format("npy").option("rowsPerPartition", 50).load(path)
     got = sorted((r["pos"], tuple(r["vector"])) for r in back.collect())
     assert got == [(i, (float(i), 0.5)) for i in range(257)]
+
+
+def test_file_writers_overwrite_and_append(spark):
+    from promptframe.sources import xlsx
+
+    ship_package(spark)
+    npy.register(spark)
+    xlsx.register(spark)
+    vecs = lambda lo, hi, parts: spark.range(lo, hi, numPartitions=parts).select(
+        F.array(F.col("id").cast("float")).alias("v"))
+    path = scratch_path(spark, "t-npy-modes")
+    vecs(0, 40, 4).write.format("npy").option("column", "v").mode("overwrite").save(path)
+    vecs(100, 110, 2).write.format("npy").option("column", "v").mode("overwrite").save(path)
+    got = [r["vector"][0] for r in spark.read.format("npy").load(path).orderBy("pos").collect()]
+    assert got == [float(i) for i in range(100, 110)]                     # stale parts removed
+    vecs(200, 205, 1).write.format("npy").option("column", "v").mode("append").save(path)
+    got = [r["vector"][0] for r in spark.read.format("npy").load(path).orderBy("pos").collect()]
+    assert got == [float(i) for i in range(100, 110)] + [float(i) for i in range(200, 205)]   # append, in order
+
+    book = scratch_path(spark, "t-xlsx-modes")
+    spark.range(0, 30, numPartitions=3).write.format("xlsx").mode("overwrite").save(book)
+    spark.range(50, 52, numPartitions=1).write.format("xlsx").mode("overwrite").save(book)
+    spark.range(60, 61, numPartitions=1).write.format("xlsx").mode("append").save(book)
+    assert sorted(int(r["id"]) for r in spark.read.format("xlsx").load(book).collect()) == [50, 51, 60]
