@@ -61,7 +61,8 @@ def upsert(store: DataFrame, incoming: DataFrame, overwrite: bool = True, key: s
            seq_col: str | None = None) -> DataFrame:
     """Upsert records (VEC2).
 
-    ``overwrite``: records whose ``key`` equals an incoming key are replaced;
+    ``overwrite``: records whose ``key`` equals an incoming key are replaced
+    (incoming records with a null key are added, they match nothing);
     within the incoming batch the record with the largest ``seq_col`` per key
     wins (``seq_col`` must be unique per key; without it a digest of the id
     decides).  Without ``overwrite`` records are appended.
@@ -74,11 +75,13 @@ def upsert(store: DataFrame, incoming: DataFrame, overwrite: bool = True, key: s
     if not overwrite:
         return store.select(*cols).unionByName(incoming.select(*cols))
     order = F.col(seq_col).cast("long") if seq_col else F.xxhash64("id")
-    staged = incoming.select(*cols, order.alias("_o"))
+    staged = incoming.where(F.col(key).isNotNull()).select(*cols, order.alias("_o"))
     best = staged.groupBy(key).agg(F.max("_o").alias("_o"))
     newest = staged.join(best, [key, "_o"]).select(*cols)
-    kept = store.join(best.select(key).where(F.col(key).isNotNull()), key, "left_anti")
-    return kept.select(*cols).unionByName(newest)
+    # A record without a key replaces nothing and is added as it is.
+    unkeyed = incoming.where(F.col(key).isNull()).select(*cols)
+    kept = store.join(best.select(key), key, "left_anti")
+    return kept.select(*cols).unionByName(newest).unionByName(unkeyed)
 
 
 def delete(store: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:

@@ -191,3 +191,10 @@ def test_knn_skips_null_vectors(spark):
     qs = spark.createDataFrame([(1, [1.0, 0.1]), (2, None)], "q_id int, vector array<float>")
     got = [(r["q_id"], r["rank"], r["s_id"]) for r in V.knn_search(qs, store, k=3).orderBy("q_id", "rank").collect()]
     assert got == [(1, 1, "a"), (1, 2, "c")]
+
+
+def test_upsert_keeps_records_without_text(spark):
+    schema = "id string, vector array<float>, text string, metadata map<string,string>"
+    store = spark.createDataFrame([("s1", [1.0], "a", {}), ("s2", [2.0], None, {})], schema)
+    inc = spark.createDataFrame([("n1", [3.0], "a", {}), ("n2", [4.0], None, {}), ("n3", [5.0], None, {})], schema)
+    assert sorted(r["id"] for r in V.upsert(store, inc, overwrite=True).collect()) == ["n1", "n2", "n3", "s2"]
