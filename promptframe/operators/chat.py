@@ -40,8 +40,10 @@ def last_turn(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
     the text would force a sort-based aggregate over the texts.)
     """
     last = turns.groupBy(conv).agg(F.max(turn).alias("last_turn"))
-    texts = turns.select(conv, F.col(turn).alias("last_turn"), F.col(text).alias(out))
-    return last.join(texts, [conv, "last_turn"])
+    texts = turns.select(F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), F.col(text).alias(out))
+    # Null-safe on the conversation: a null id is one group, as in groupBy.
+    cond = last[conv].eqNullSafe(texts["_conv"]) & (last["last_turn"] == texts["_turn"])
+    return last.join(texts, cond).select(conv, "last_turn", out)
 
 
 def chat_prompt(df: DataFrame, system_template: str, user_template: str,

@@ -148,7 +148,8 @@ def markdown_history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn"
     rows = (parsed.select(conv, turn, _dedupe_names(F.col("_h")).alias("_h"),
                           F.posexplode_outer("_rows").alias("row_no", "_r"))
             .where(F.col("row_no").isNotNull()))
-    joined = rows.join(columns, conv)
+    cols = columns.withColumnRenamed(conv, "_conv")
+    joined = rows.join(cols, rows[conv].eqNullSafe(cols["_conv"])).drop("_conv")   # null id: one group
     cellmap = F.map_from_arrays(F.col("_h"), F.col("_r"))
     dense = joined.select(conv, turn, "row_no", F.posexplode(F.transform(
         "_cols", lambda c: F.struct(c.alias("n"), F.coalesce(F.try_element_at(cellmap, c), F.lit("")).alias("v"))))

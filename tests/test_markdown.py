@@ -193,3 +193,15 @@ def test_history_matches_rules_on_random_chats(spark):
     df = spark.createDataFrame(turns, "conv_id long, turn long, text string")
     got = sorted(tuple(r) for r in markdown_history(df).collect())
     assert got == sorted(expected)
+
+
+def test_null_conversation_id_is_kept(spark):
+    from promptframe.operators.chat import last_turn
+
+    turns = spark.createDataFrame([(None, 1, "| a |\n| 1 |"), (None, 2, "| b |\n| 2 |"), (7, 1, "| a |\n| 3 |")],
+                                  "conv_id long, turn long, text string")
+    lt = {r["conv_id"]: r["last_text"] for r in last_turn(turns).collect()}
+    assert lt == {None: "| b |\n| 2 |", 7: "| a |\n| 3 |"}
+    hist = [(r["conv_id"], r["turn"], r["col_name"], r["cell"]) for r in markdown_history(turns).collect()]
+    assert sorted(hist, key=str) == sorted([(None, 1, "a", "1"), (None, 1, "b", ""), (None, 2, "a", ""),
+                                            (None, 2, "b", "2"), (7, 1, "a", "3")], key=str)
