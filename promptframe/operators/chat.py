@@ -26,8 +26,10 @@ def chat_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     within a conversation (the turn table form of a chat list).
     """
     q = turns.where(F.col(role) == human).select(conv, turn, F.col(text).alias(input_col))
-    a = turns.where(F.col(role) == ai).select(conv, (F.col(turn) - 1).alias(turn), F.col(text).alias(output_col))
-    return q.join(a, [conv, turn], "left")
+    a = turns.where(F.col(role) == ai).select(F.col(conv).alias("_conv"), (F.col(turn) - 1).alias("_turn"),
+                                              F.col(text).alias(output_col))
+    cond = q[conv].eqNullSafe(a["_conv"]) & (q[turn] == a["_turn"])     # a null id is one conversation
+    return q.join(a, cond, "left").select(conv, turn, input_col, output_col)
 
 
 def last_turn(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text",

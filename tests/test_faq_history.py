@@ -115,3 +115,12 @@ def test_lru_equivalence_with_sequential_replay(spark):
             del store[oldest]
     got = {r["message"]: r["ts"] for r in H.retained(_log(spark, events), cap=cap).collect()}
     assert got == store
+
+
+def test_chat_pairs_null_conversation(spark):
+    from promptframe.operators.chat import chat_pairs
+
+    turns = spark.createDataFrame([(None, 0, "user", "q0"), (None, 1, "assistant", "a0"), (None, 2, "user", "q1"),
+                                   (5, 0, "user", "q5")], "conv_id long, turn long, role string, text string")
+    got = sorted(((r["turn"], r["Input"], r["Output"]) for r in chat_pairs(turns).collect()), key=str)
+    assert got == sorted([(0, "q0", "a0"), (2, "q1", None), (0, "q5", None)], key=str)
