@@ -62,7 +62,11 @@ def similarity_scores(long: DataFrame, id_col: str = "id", slot: str = "slot", t
     none = F.array().cast("array<string>")
     marker = F.when(F.coalesce(F.length(t) > 0, F.lit(False)), F.array(F.lit(""))).otherwise(none)
     terms = F.concat(F.coalesce(tokens(text), none), marker)
-    per_term = (spread(long.select(id_col, slot, text)).select(id_col, slot, F.explode_outer(terms).alias("_term"))
+    # The texts are hash-partitioned by triple once (a triple holds at most three
+    # texts); both aggregations below are keyed by the triple and need no other
+    # shuffle, so term rows never cross the network.
+    per_term = (long.select(id_col, slot, text).repartition(id_col)
+                .select(id_col, slot, F.explode_outer(terms).alias("_term"))
                 .groupBy(id_col, "_term").agg(
                     F.count_if(s == "a").alias("_na"), F.count_if(s == "b").alias("_nb"),
                     F.count_if(s == "e").alias("_ne")))
