@@ -25,7 +25,6 @@ offset plus ``monotonically_increasing_id`` minus the partition's base.
 
 from __future__ import annotations
 
-import datetime as _dt
 import math
 
 from pyspark.sql import Column, DataFrame, Window

@@ -7,7 +7,7 @@ micro-batch (``availableNow``), so state is carried across batches.
 
 from __future__ import annotations
 
-from ..session import scratch_path, ship_package, table
+from ..session import scratch_path, ship_package
 from ..streaming.history import current_state, run_history_stream
 from ..streaming.llm import llm_stream
 from .history_queries import CAP, appends
