@@ -40,6 +40,8 @@ def to_record(row: dict, shape: str) -> dict:
     """One Spark row (as a dict) -> the store's item shape."""
     if shape == "fields":
         return {k: _plain(v) for k, v in row.items()}
+    if row.get("id") is None or row.get("vector") is None:
+        raise ValueError(f"vector-store record needs an id and a vector: id={row.get('id')!r}")
     meta = dict(row.get("metadata") or {})
     if row.get("text") is not None:
         meta.setdefault("text", row["text"])
