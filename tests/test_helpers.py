@@ -58,3 +58,18 @@ def test_hits_json_pretty(spark):
     pretty = V.hits_json(hits, pretty=True).first()["hits"]
     assert "\n" in pretty and json.loads(pretty) == json.loads(compact)
     _ = F
+
+
+def test_spread_runs_no_job_on_many_file_input(spark):
+    from promptframe.session import scratch_path, spread
+
+    path = scratch_path(spark, "t-spread")
+    spark.range(0, 1000, numPartitions=16).write.parquet(path)
+    agg = spark.read.parquet(path).groupBy((F.col("id") % 7).alias("g")).count()
+    sc = spark.sparkContext
+    sc.setJobGroup("t-spread", "t-spread")
+    try:
+        out = spread(agg, min_partitions=8)
+        assert out is agg and sc.statusTracker().getJobIdsForGroup("t-spread") == []
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
