@@ -46,6 +46,16 @@ def _col_index(ref: str) -> int:
     return n - 1
 
 
+def _string_item(item) -> str:
+    """Text of a string item: its ``<t>``, or its rich-text runs; phonetic guides (``<rPh>``) are not text."""
+    if item is None:
+        return ""
+    direct = item.find(f"{NS}t")
+    if direct is not None:
+        return direct.text or ""
+    return "".join((r.find(f"{NS}t").text or "") for r in item.findall(f"{NS}r") if r.find(f"{NS}t") is not None)
+
+
 def iter_rows(path: str):
     """Rows of the first sheet as lists of str / float / None."""
     with zipfile.ZipFile(path) as z:
@@ -53,7 +63,7 @@ def iter_rows(path: str):
         shared = []
         if "xl/sharedStrings.xml" in names:
             for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{NS}si"):
-                shared.append("".join(t.text or "" for t in si.iter(f"{NS}t")))
+                shared.append(_string_item(si))
         sheet = "xl/worksheets/sheet1.xml"
         if "xl/workbook.xml" in names and "xl/_rels/workbook.xml.rels" in names:
             wb = ET.fromstring(z.read("xl/workbook.xml"))
@@ -66,14 +76,22 @@ def iter_rows(path: str):
                         target = rel.get("Target").lstrip("/")
                         sheet = target if target.startswith("xl/") else "xl/" + target
         root = ET.fromstring(z.read(sheet))
+        last_row = 0
         for row in root.iter(f"{NS}row"):
-            cells = {}
+            # Rows missing between data rows are blank rows (pandas keeps them);
+            # reading starts at the first populated row, as openpyxl does.
+            number = int(row.get("r")) if row.get("r") else last_row + 1
+            for _ in range(last_row + 1 if last_row else number, number):
+                yield []
+            last_row = number
+            cells, idx = {}, -1
             for c in row.iter(f"{NS}c"):
-                idx = _col_index(c.get("r", "A"))
+                # A cell may omit its reference; it then follows the previous one.
+                idx = _col_index(c.get("r")) if c.get("r") else idx + 1
                 t = c.get("t", "n")
                 v = c.find(f"{NS}v")
                 if t == "inlineStr":
-                    val = "".join(x.text or "" for x in c.iter(f"{NS}t"))
+                    val = _string_item(c.find(f"{NS}is"))
                 elif v is None or v.text is None:
                     val = None
                 elif t == "s":

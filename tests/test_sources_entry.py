@@ -111,3 +111,29 @@ def test_oracle_small(spark, name):
     a = collections.Counter(tuple(norm(r[c]) for c in order) for r in df.collect())
     b = collections.Counter(tuple(norm(r[ocols.index(c)]) for c in order) for r in cur.fetchall())
     assert a == b
+
+
+def test_xlsx_reader_shared_rich_phonetic_refless_and_gaps(spark):
+    import zipfile
+
+    from promptframe.session import ship_package
+    from promptframe.sources import xlsx
+
+    local = scratch_path(spark, "t-xlsx-foreign").replace("file:", "")
+    os.makedirs(local, exist_ok=True)
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    shared = (f'<sst {main}><si><t>name</t></si><si><t>note</t></si>'
+              '<si><r><t>Ta</t></r><r><rPr/><t>ro</t></r><rPh sb="0" eb="2"><t>タロウ</t></rPh></si></sst>')
+    sheet = (f'<worksheet {main}><sheetData>'
+             '<row r="2"><c r="A2" t="s"><v>0</v></c><c r="B2" t="s"><v>1</v></c></row>'
+             '<row r="3"><c r="A3" t="s"><v>2</v></c><c t="b"><v>1</v></c></row>'
+             '<row r="5"><c r="B5"><v>2.5</v></c></row>'
+             '</sheetData></worksheet>')
+    with zipfile.ZipFile(f"{local}/foreign.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", shared)
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+    ship_package(spark)
+    xlsx.register(spark)
+    df = spark.read.format("xlsx").load(local)
+    assert df.columns == ["name", "note"]
+    assert [tuple(r) for r in df.collect()] == [("Taro", "True"), (None, None), (None, "2.5")]
