@@ -89,7 +89,8 @@ def test_entry_contract(spark):
 
 SWEEP = ["faq_fix", "chat_pairs", "slice_rows", "merge_positional", "md_parse", "md_history", "bow_counts",
          "delta_similarity", "history_retained", "history_filter", "llm_batch", "vdb_search", "embed_search",
-         "label_writeback", "catalog_ids", "sample_histories"]
+         "label_writeback", "catalog_ids", "sample_histories", "vdb_sink", "md_last_table_orders", "bang_columns",
+         "optimize_prompts", "test_prompt", "llm_call_stats", "compare_strings"]
 
 
 @pytest.mark.parametrize("name", SWEEP)
