@@ -278,16 +278,22 @@ class PineconeStore:
 
 @vector_store("milvus")
 class MilvusStore:
-    """Milvus REST: POST ``{uri}/v2/vectordb/entities/insert`` with field dicts."""
+    """Milvus REST: POST ``{uri}/v2/vectordb/entities/insert`` (or ``/upsert``) with field dicts.
+
+    Inserts (the reference's call) are not idempotent: a retried Spark task
+    inserts its batches again.  With ``upsert=True`` the rows must carry the
+    collection's primary key and a retry replaces instead of duplicating.
+    """
 
     def __init__(self, uri: str, collection: str, token: str = "", request_timeout: float = 10,
-                 max_retries: int = 3):
+                 max_retries: int = 3, upsert: bool = False):
         self.uri, self.collection, self.token = uri.rstrip("/"), collection, token
         self.timeout, self.retries = request_timeout, max_retries
+        self.action = "upsert" if upsert else "insert"
 
     def write(self, rows, key=None):
         headers = {"Authorization": f"Bearer {self.token}"} if self.token else {}
-        _post_json(f"{self.uri}/v2/vectordb/entities/insert", {"collectionName": self.collection, "data": rows},
+        _post_json(f"{self.uri}/v2/vectordb/entities/{self.action}", {"collectionName": self.collection, "data": rows},
                    headers, self.timeout, self.retries)
 
 

@@ -14,7 +14,9 @@ all of them).  Two row shapes:
 Options: ``client`` (JSON of the store options, ``{"type": ..., ...}``; see
 ``operators.clients``), ``batchSize`` (default 100), ``shape``.  Upserts by
 id are idempotent, so a retried task repeats its batches harmlessly; use
-``vector_records`` ids (digests of the row) rather than random ones.
+``vector_records`` ids (digests of the row) rather than random ones.  Plain
+inserts (the Milvus client's default, as in the reference) are repeated by a
+retried task; its ``upsert`` option avoids that.
 """
 
 from __future__ import annotations
