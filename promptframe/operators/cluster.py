@@ -105,3 +105,34 @@ def write_back(df: DataFrame, labels: DataFrame, start: int, end: int, field: st
     in_slice = (F.col("__pos") >= start) & (F.col("__pos") < end)
     return joined.select(*[F.when(in_slice, F.col("__label")).otherwise(F.col(f"`{c}`")).alias(c) if c == field
                            else F.col(f"`{c}`") for c in base.columns])
+
+
+def cluster_table(df: DataFrame, vectors: DataFrame | None, vec_col: str = "vector", field: str = "Cluster",
+                  clusters: int = 10, label_base: int = 0, start: int = 0, end: int | None = None,
+                  recreate: bool = False, order_by=None, vec_order=None, method: str = "pic", **options) -> DataFrame:
+    """Cluster a vector table and write the labels into rows ``[start, end)`` of ``df`` (CLU1-CLU3 in one call).
+
+    Guards, in the reference's order, raise ``ClusterGuard`` (the caller keeps
+    its table unchanged): ``df`` has at most one row or there are no vectors;
+    fewer vectors than clusters; a vector count other than ``end - start``.
+    Vectors are numbered by ``vec_order`` (default: the ``pos`` column that
+    ``format("npy")`` gives, else their input order); vector ``i`` labels row
+    ``start + i`` of ``df`` under ``order_by``.  ``options`` go to
+    ``cluster_vectors`` (``n_neighbors``, ``gamma``, ``max_iter``, ``seed``).
+    """
+    from .positional import with_pos
+
+    if vectors is None or df.limit(2).count() <= 1:
+        raise ClusterGuard("Input dataframe or embeddings file is empty")
+    if vec_order is None and "pos" in vectors.columns:
+        vec_order = "pos"
+    numbered, n = with_pos(vectors.select(vec_col, *([vec_order] if isinstance(vec_order, str) else vec_order or [])),
+                           vec_order, "__vpos", return_count=True)
+    if n < clusters:
+        raise ClusterGuard("The number of clusters should be less than the number of data points")
+    end = start + n if end is None else end
+    if n != end - start:
+        raise ClusterGuard("The number of vectors and data points should be the same")
+    labels = cluster_vectors(numbered, "__vpos", vec_col, clusters, label_base, method, out="__label", **options)
+    return write_back(df, labels.select(F.col("__vpos").alias("pos"), F.col("__label").alias("label")),
+                      start, end, field, recreate, order_by)

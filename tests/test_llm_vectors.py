@@ -198,3 +198,21 @@ def test_upsert_keeps_records_without_text(spark):
     store = spark.createDataFrame([("s1", [1.0], "a", {}), ("s2", [2.0], None, {})], schema)
     inc = spark.createDataFrame([("n1", [3.0], "a", {}), ("n2", [4.0], None, {}), ("n3", [5.0], None, {})], schema)
     assert sorted(r["id"] for r in V.upsert(store, inc, overwrite=True).collect()) == ["n1", "n2", "n3", "s2"]
+
+
+def test_cluster_table_one_call(spark):
+    from promptframe.operators.cluster import cluster_table
+
+    df = spark.createDataFrame([(i, f"r{i}") for i in range(6)], "k int, name string")
+    vecs = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.05]), (2, [-1.0, 0.0]), (3, [-1.0, 0.05])],
+                                 "pos long, vector array<double>")
+    out = {r["k"]: r["Cluster"] for r in cluster_table(df, vecs, clusters=2, label_base=10, start=1, end=5,
+                                                       order_by="k", method="kmeans").collect()}
+    assert out[0] is None and out[5] is None
+    assert out[1] == out[2] and out[3] == out[4] and {out[1], out[3]} == {10, 11}
+    with pytest.raises(ClusterGuard):
+        cluster_table(df, vecs, clusters=2, start=0, end=3, order_by="k")          # 4 vectors, 3 rows
+    with pytest.raises(ClusterGuard):
+        cluster_table(df, vecs, clusters=5, start=1, end=5, order_by="k")          # fewer vectors than clusters
+    with pytest.raises(ClusterGuard):
+        cluster_table(df.limit(1), vecs, clusters=2, order_by="k")                 # table of one row
