@@ -307,3 +307,37 @@ def hits_json(hits: DataFrame, pretty: bool = False, q_id: str = "q_id", out: st
     items = F.array_sort(F.collect_list(F.struct("rank", F.col("s_id").alias("id"), "score")))
     opts = {"pretty": "true"} if pretty else {}
     return hits.groupBy(q_id).agg(F.to_json(items, opts).alias(out))
+
+
+def import_vectors(table: DataFrame, value_fields, vectors: DataFrame, client: dict, start: int = 0,
+                   end: int | None = None, batch_size: int = 100, shape: str = "records", order_by=None,
+                   vec_order=None, vec_col: str = "vector") -> DataFrame:
+    """The import action in one call (VEC1 + JN4 + SNK5 / SNK6).
+
+    Rows ``[start, end)`` of ``table`` (under ``order_by``) give the value
+    fields; vector ``i`` (numbered by ``vec_order``, default the ``pos`` column
+    of ``format("npy")``) is paired with the slice's row ``i``.  Unequal
+    counts raise ``ValueError`` and nothing is written, as in the reference.
+    Records get digest ids (the reference draws uuid4s) and are written in
+    batches of ``batch_size`` to the store ``client``: ``shape="records"``
+    sends ``(id, vector, metadata)``, ``shape="fields"`` sends the vector with
+    the value fields as columns.  Returns the written records (lazily: using
+    the DataFrame again recomputes it).
+    """
+    from ..sources.vectorstore import write_vectors
+    from .positional import slice_rows, zip_positional
+
+    fields = [f.strip() for f in value_fields.split(",")] if isinstance(value_fields, str) else list(value_fields)
+    if vec_order is None and "pos" in vectors.columns:
+        vec_order = "pos"
+    # The slice keeps its positions: they, not the slice's physical row order, pair it with the vectors.
+    meta = slice_rows(table, start, end, order_by, pos_col="__mpos").select("__mpos", *[F.col(f"`{f}`") for f in fields])
+    vec_keys = [vec_order] if isinstance(vec_order, str) else list(vec_order or [])
+    zipped = zip_positional(vectors.select(vec_col, *[k for k in vec_keys if k != vec_col]), meta,
+                            left_order=vec_order, right_order="__mpos", pos_col="__zpos")
+    if shape == "fields":
+        records = zipped.select(F.col(vec_col).cast("array<float>").alias("vector"), *[F.col(f"`{f}`") for f in fields])
+    else:
+        records = vector_records(zipped, vec_col, value_fields=fields)
+    write_vectors(records, client, batch_size, shape)
+    return records

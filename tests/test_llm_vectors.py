@@ -216,3 +216,19 @@ def test_cluster_table_one_call(spark):
         cluster_table(df, vecs, clusters=5, start=1, end=5, order_by="k")          # fewer vectors than clusters
     with pytest.raises(ClusterGuard):
         cluster_table(df.limit(1), vecs, clusters=2, order_by="k")                 # table of one row
+
+
+def test_import_vectors_count_check_writes_nothing(spark):
+    import os
+
+    from promptframe.session import fs_path, scratch_path
+
+    t = spark.createDataFrame([(i, f"n{i}") for i in range(5)], "k int, name string")
+    vecs = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "pos long, vector array<float>")
+    path = scratch_path(spark, "t-import")
+    with pytest.raises(ValueError, match="same"):
+        V.import_vectors(t, "name", vecs, {"type": "jsonl-folder", "path": path}, start=0, end=3, order_by="k")
+    assert not os.path.exists(fs_path(path))
+    V.import_vectors(t, "name", vecs, {"type": "jsonl-folder", "path": path}, start=3, end=5, order_by="k")
+    back = {r["vector"][0]: r["metadata"]["name"] for r in spark.read.json(path).collect()}
+    assert back == {1.0: "n3", 2.0: "n4"}
