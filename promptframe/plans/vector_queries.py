@@ -89,23 +89,25 @@ def q_vdb_sink_fields(spark, sf_dir):
 
 @query("vdb_import_table", """
 WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, embedding FROM embeddings),
-m AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, c_name, c_mktsegment FROM customer)
-SELECT v.pos, CAST(len(embedding) AS INTEGER) AS n_dims, c_name, c_mktsegment, CAST(embedding[1] AS DOUBLE) AS x0
+m AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_orderstatus, o_orderpriority FROM orders)
+SELECT v.pos, CAST(len(embedding) AS INTEGER) AS n_dims, o_orderstatus, o_orderpriority, CAST(embedding[1] AS DOUBLE) AS x0
 FROM v JOIN m USING (pos)
 """)
 def q_vdb_import_table(spark, sf_dir):
-    """The import action: customer rows [0, n) give the metadata of the n embeddings (by vec_id)."""
+    """The import action: orders rows [0, n) give the metadata of the n embeddings (by vec_id)."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"))
     n = e.count()
     path = scratch_path(spark, "vdb-import-table")
-    V.import_vectors(table(spark, sf_dir, "customer"), "c_name, c_mktsegment", e, {"type": "jsonl-folder", "path": path},
-                     start=0, end=n, batch_size=50, order_by="c_custkey", vec_order="pos")
+    V.import_vectors(table(spark, sf_dir, "orders"), "o_orderstatus, o_orderpriority", e,
+                     {"type": "jsonl-folder", "path": path}, start=0, end=n, batch_size=50, order_by="o_orderkey",
+                     vec_order="pos")
     got = spark.read.schema("id string, vector array<float>, metadata map<string,string>").json(path)
     # Vector i of the table's order is row i of the slice: recover i from the vector's rank by vec_id.
     ranked = with_pos(e, "pos", "rank")
     back = got.join(ranked.select("rank", F.md5(vector_to_text("vector")).alias("id")), "id")
     return back.select(F.col("rank").cast("long").alias("pos"), F.size("vector").alias("n_dims"),
-                       F.col("metadata")["c_name"].alias("c_name"), F.col("metadata")["c_mktsegment"].alias("c_mktsegment"),
+                       F.col("metadata")["o_orderstatus"].alias("o_orderstatus"),
+                       F.col("metadata")["o_orderpriority"].alias("o_orderpriority"),
                        F.col("vector")[0].cast("double").alias("x0"))
 
 
