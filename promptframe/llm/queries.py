@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, stream_dedup
+from . import langid, packing, pii, sharding, stream_dedup
 from .common import documents
 
 
@@ -12,6 +12,14 @@ def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op4_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op5_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(documents(spark, sf_dir))
+
+
 def op8_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stream_dedup.dedup_decisions(documents(spark, sf_dir))
     return found.selectExpr("id as doc_id", "keep_id", "group_size", "kept", "digest as text_sha256")
@@ -21,7 +29,7 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op8_stream_dedup, op10_hash_tree)}
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op4_rank_profiles, op5_boosted_candidates, op8_stream_dedup, op10_hash_tree)}
 
 ORACLES = {
     "op8_stream_dedup": """
