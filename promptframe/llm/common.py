@@ -52,3 +52,26 @@ def number(df: DataFrame, group: str, order: list[str], spread: str, name: str,
     return (ranked.join(starts, (F.col(group) == F.col("__g")) & (F.col("__part") == F.col("__p")))
             .withColumn(name, (F.col("__start") + F.col("__rank")).cast("long"))
             .drop("__part", "__rank", "__g", "__p", "__start"))
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, label) of every node of ``edges`` (a long, b long): the smallest node reachable.
+
+    Each round takes the smallest label among a node and its neighbours and then the
+    label of that label, so paths shrink by half; rounds are written tables.
+    """
+    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(
+        F.col("a").alias("node"), F.least("a", "m").alias("label"))
+    labels = materialise(labels, f"{name}-labels")
+    while True:
+        near = (both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near")))
+        step = labels.join(near, F.col("node") == F.col("a")).select(
+            "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
+        new = step.join(jump, F.col("label") == F.col("to")).select(
+            "node", "old", F.least("label", "far").alias("label"))
+        new = materialise(new, f"{name}-labels")
+        labels = new.select("node", "label")
+        if new.where("old != label").isEmpty():
+            return labels

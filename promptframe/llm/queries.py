@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, pii, sharding, stream_dedup
+from . import langid, minhash, packing, pii, sharding, stream_dedup
 from .common import documents
 
 
@@ -12,6 +12,10 @@ def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op2_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir)).drop("rid", "first")
+
+
 def op4_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -29,7 +33,7 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op4_rank_profiles, op5_boosted_candidates, op8_stream_dedup, op10_hash_tree)}
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_tensored_minhash, op4_rank_profiles, op5_boosted_candidates, op8_stream_dedup, op10_hash_tree)}
 
 ORACLES = {
     "op8_stream_dedup": """
