@@ -7,10 +7,11 @@ root of what independent tables need.  Two texts of similarity 0.8 share a table
 probability ``(1 - (1 - 0.8**ROWS)**GROUPS)**2 = 0.9994``, and most share many.
 
 1. Rows with the same shingle set are one class; its first row stands for it.
-2. In every table each bucket links its members to a pivot, drawn per
-   bucket (a star, never all pairs), and each link is confirmed on the full sets.
-3. Buckets whose members are still in several components are not given up:
-   their members meet in an exact prefix join.  With the shingles in one global
+2. In every table each bucket links its members to its pivot, the first in one
+   order of all rows (a star, never all pairs), and each link is confirmed on the full
+   sets; after the first tables, only links across components are looked at.
+3. Buckets whose members besides the pivot are still in several components are not
+   given up: those meet in an exact prefix join.  With the shingles in one global
    order (rare ones first, by a sketch of fixed size; any order is exact), two sets
    of similarity t share a shingle among the first ``n - ceil(t n) + 1``.  Only pairs
    across components are made, and confirmed the same way.
@@ -146,7 +147,7 @@ def _prefix_pairs(open_docs: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
     def prefixes(batches):
         for batch in batches:
-            rid, label, n, token = [], [], [], []
+            rid, label, n, at, token = [], [], [], [], []
             for r, c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 s = np.frombuffer(s.as_buffer(), np.uint64)
                 s = s[np.lexsort((s, shared.value[(s & mask).astype(np.int64)]))]
@@ -155,20 +156,32 @@ def _prefix_pairs(open_docs: DataFrame, sets: DataFrame, percent: int) -> DataFr
                 rid += [r] * size
                 label += [c] * size
                 n += [len(s)] * size
+                at += range(size)
             yield pa.RecordBatch.from_pydict({
                 "rid": pa.array(rid, pa.int64()), "label": pa.array(label, pa.int64()), "n": pa.array(n, pa.int64()),
+                "at": pa.array(at, pa.int64()),
                 "token": pa.array(np.concatenate(token) if token else np.zeros(0, np.int64))})
 
     index = materialise(rows.select("rid", "label", "shingles").mapInArrow(
-        prefixes, "rid long, label long, n long, token long"), "minhash-prefix")
+        prefixes, "rid long, label long, n long, at long, token long"), "minhash-prefix")
     mixed = index.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     index = index.join(mixed.select("token"), "token")
     x, y = index.alias("x"), index.alias("y")
-    near = (F.col("x.label") < F.col("y.label")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    # Before this shingle at most min(at) are shared, after it at most as many as both have left.
+    most = (F.least("x.at", "y.at") + 1
+            + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1)
+    near = ((F.col("x.label") < F.col("y.label"))
+            & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)))
     return (x.join(y, (F.col("x.token") == F.col("y.token")) & near)
             .select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct())
 
 
+def _labelled(rows: DataFrame, col: str, labels: DataFrame) -> DataFrame:
+    """``rows`` with the component of ``col`` (itself if it has no link) as ``<col>_label``."""
+    own = labels.select(F.col("node").alias(col), F.col("label").alias("__label"))
+    return (rows.join(own, col, "left").withColumn(f"{col}_label", F.coalesce("__label", col)).drop("__label"))
+
+
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """Per row: rid (the row's number), doc_id, n_shingles, component_id, kept, first (one row of each component).
@@ -186,26 +199,37 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     heads = materialise(marks.select("rid", "groups").join(classes.select(F.col("first.rid").alias("rid")), "rid"),
                         "minhash-heads")
 
-    keys = F.expr(f"""flatten(transform(slice(groups, 1, {GROUPS}), x ->
-                      transform(slice(groups, {GROUPS + 1}, {GROUPS}), y -> xxhash64(x, y))))""")
-    table = heads.select("rid", F.explode(keys).alias("key"))
-    draw = F.struct(F.xxhash64("key", "rid").alias("h"), "rid")
-    buckets = (table.groupBy("key").agg(F.min(draw).alias("pivot"), F.count(F.lit(1)).alias("members"))
+    keys = F.expr(f"""flatten(transform(slice(groups, 1, {GROUPS}), (x, i) ->
+                      transform(slice(groups, {GROUPS + 1}, {GROUPS}), (y, j) ->
+                      named_struct('key', xxhash64(x, y), 'first', i = j))))""")
+    table = heads.select("rid", F.explode(keys).alias("k")).select("rid", "k.key", "k.first")
+    # One order of all rows gives a large group few pivots, the same in most of its buckets.
+    buckets = (table.groupBy("key").agg(F.min(F.struct(F.xxhash64("rid").alias("h"), "rid")).alias("pivot"),
+                                        F.count(F.lit(1)).alias("members"))
                .where("members > 1").select("key", F.col("pivot.rid").alias("pivot")))
     members = materialise(table.join(buckets, "key"), "minhash-members")
-    stars = materialise(members.where("rid != pivot").select(
-        F.least("rid", "pivot").alias("a"), F.greatest("rid", "pivot").alias("b")).distinct(), "minhash-stars")
     involved = members.select("rid").distinct()
     sets = materialise(rows.select("rid", "text").join(involved, "rid").select("rid", "text").mapInArrow(
         _sets(size), "rid long, shingles binary"), "minhash-sets")
-    edges = materialise(_confirm(stars, sets, percent), "minhash-edges")
+
+    def stars(found: DataFrame) -> DataFrame:
+        return found.where("rid != pivot").select(
+            F.least("rid", "pivot").alias("a"), F.greatest("rid", "pivot").alias("b")).distinct()
+
+    # First the stars of GROUPS tables join most of what belongs together; of the others only links across are left.
+    edges = materialise(_confirm(stars(members.where("first")), sets, percent), "minhash-edges")
+    labels = components(edges)
+    across = _labelled(_labelled(members.where("not first"), "rid", labels), "pivot", labels)
+    rest = materialise(_confirm(stars(across.where("rid_label != pivot_label")), sets, percent), "minhash-edges")
+    edges = edges.union(rest)
     labels = components(edges)
 
-    labelled = (members.select("key", "rid").join(labels, F.col("rid") == F.col("node"), "left")
-                .select("key", "rid", F.coalesce("label", "rid").alias("label")))
-    several = (labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    # A bucket's pivot has met all its members; what is left are pairs of other members across components.
+    others = materialise(_labelled(members.where("rid != pivot").select("key", "rid"), "rid", labels),
+                         "minhash-others")
+    several = (others.groupBy("key").agg(F.min("rid_label").alias("lo"), F.max("rid_label").alias("hi"))
                .where("lo < hi").select("key"))
-    open_docs = labelled.join(several, "key").select("rid", "label").distinct()
+    open_docs = others.join(several, "key").select("rid", F.col("rid_label").alias("label")).distinct()
     more = materialise(_confirm(_prefix_pairs(open_docs, sets, percent), sets, percent), "minhash-more")
     if not more.isEmpty():
         labels = components(edges.union(more))
