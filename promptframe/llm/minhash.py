@@ -14,7 +14,8 @@ probability ``(1 - (1 - 0.8**ROWS)**GROUPS)**2 = 0.9994``, and most share many.
    given up: those meet in an exact prefix join.  With the shingles in one global
    order (rare ones first, by a sketch of fixed size; any order is exact), two sets
    of similarity t share a shingle among the first ``n - ceil(t n) + 1``.  Only pairs
-   across components are made, and confirmed the same way.
+   across components are made; a positional bound and a parity bitmap, both exact,
+   leave out pairs that cannot be similar enough, and the others are confirmed the same way.
 
 Defined results: a text without a word (or null) has no shingle and no link; a
 text with fewer words than a shingle has one, of all its words; repeated rows
@@ -43,6 +44,8 @@ _TIMES = _RNG.integers(0, 1 << 63, 2 * GROUPS * ROWS, dtype=np.uint64) * np.uint
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Counters of the shingle frequency sketch: at most this many rows reach the driver.
 SKETCH = 1 << 18
+#: Bits of the parity bitmap that bounds two sets' difference from below.
+PARITIES = 1024
 
 
 def shingle_sets(column: pa.Array, size: int):
@@ -66,6 +69,12 @@ def shingle_sets(column: pa.Array, size: int):
                 yield first + row, np.zeros(0, np.uint64)
 
 
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls into each of ``PARITIES`` classes, as longs."""
+    odd = np.bincount((shingles >> np.uint64(40) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def minhashes(shingles: np.ndarray) -> np.ndarray:
     out = np.full(len(_FLIP), np.uint64(0xFFFFFFFFFFFFFFFF))
     for i in range(0, len(shingles), 1 << 15):
@@ -147,7 +156,7 @@ def _prefix_pairs(open_docs: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
     def prefixes(batches):
         for batch in batches:
-            rid, label, n, at, token = [], [], [], [], []
+            rid, label, n, at, token, bits = [], [], [], [], [], []
             for r, c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 s = np.frombuffer(s.as_buffer(), np.uint64)
                 s = s[np.lexsort((s, shared.value[(s & mask).astype(np.int64)]))]
@@ -157,21 +166,26 @@ def _prefix_pairs(open_docs: DataFrame, sets: DataFrame, percent: int) -> DataFr
                 label += [c] * size
                 n += [len(s)] * size
                 at += range(size)
+                bits += [_parities(s)] * size
             yield pa.RecordBatch.from_pydict({
                 "rid": pa.array(rid, pa.int64()), "label": pa.array(label, pa.int64()), "n": pa.array(n, pa.int64()),
-                "at": pa.array(at, pa.int64()),
+                "at": pa.array(at, pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64())),
                 "token": pa.array(np.concatenate(token) if token else np.zeros(0, np.int64))})
 
     index = materialise(rows.select("rid", "label", "shingles").mapInArrow(
-        prefixes, "rid long, label long, n long, at long, token long"), "minhash-prefix")
+        prefixes, "rid long, label long, n long, at long, bits array<long>, token long"), "minhash-prefix")
     mixed = index.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     index = index.join(mixed.select("token"), "token")
     x, y = index.alias("x"), index.alias("y")
     # Before this shingle at most min(at) are shared, after it at most as many as both have left.
     most = (F.least("x.at", "y.at") + 1
             + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1)
+    # Every shingle of one set alone flips one parity, so the differing parities are at most those shingles.
+    flips = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(PARITIES // 64)),
+                F.lit(0))
     near = ((F.col("x.label") < F.col("y.label"))
-            & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)))
+            & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most))
+            & (flips * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n"))))
     return (x.join(y, (F.col("x.token") == F.col("y.token")) & near)
             .select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct())
 
