@@ -132,3 +132,20 @@ def words(flat: np.ndarray, starts: np.ndarray):
 def signed(a: np.ndarray) -> np.ndarray:
     """64-bit hashes as Spark longs."""
     return a.view(np.int64) if a.flags.c_contiguous else np.ascontiguousarray(a).view(np.int64)
+
+
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``first[0], first[0] + 1, ...`` (``size[0]`` numbers), then those of the next, and so on."""
+    stop = np.cumsum(size)
+    total = int(stop[-1]) if len(stop) else 0
+    return np.repeat(first - (stop - size), size) + np.arange(total)
+
+
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Overlapping or touching intervals as one, in order."""
+    if not len(start):
+        return start, end
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+    return start[new], end[np.append(new[1:], len(start)) - 1]

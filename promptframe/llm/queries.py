@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, packing, pii, sharding, stream_dedup
+from . import langid, minhash, packing, pii, sharding, stream_dedup, suffix
 from .common import documents
 
 
@@ -29,11 +29,16 @@ def op8_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("id as doc_id", "keep_id", "group_size", "kept", "digest as text_sha256")
 
 
+def op9_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir)).drop("rid")
+
+
 def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_tensored_minhash, op4_rank_profiles, op5_boosted_candidates, op8_stream_dedup, op10_hash_tree)}
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_tensored_minhash, op4_rank_profiles, op5_boosted_candidates, op8_stream_dedup,
+                                  op9_prefix_doubling, op10_hash_tree)}
 
 ORACLES = {
     "op8_stream_dedup": """
