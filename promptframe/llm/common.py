@@ -20,11 +20,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
 
     Cuts lineage in a way that survives a lost executor, and lets a result
-    that is used more than once be computed once.
+    that is used more than once be computed once.  The shuffles that led to it are
+    then done with; Spark removes their files once the driver has collected its
+    garbage, which is asked for here, so that a job of many steps holds one step's
+    shuffle files and not all.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,9 +15,11 @@ bring equal pairs together and rerank what is not unique:
 2. The others are paired with the rank of the bytes that follow, up to ``LENGTH``.  A pair
    that occurs again covers its bytes; neighbouring anchors cover all but the edges of a
    repeat.
-3. *Positions at the edges.*  Windows that reach beyond what is covered, and the windows
-   at the same places of the anchors with the same rank elsewhere, are ranked position by
-   position, by pairs again; what occurs twice is covered.
+3. *Edges.*  Windows that reach beyond what is covered, and the windows at the same places
+   of the anchors with the same rank elsewhere, are taken ``CELL`` places at a time: a
+   cell whose common core has a unique rank drops out, one whose whole extent occurs
+   again is covered, by pairs again.
+4. Only in cells where a repeat ends is every position ranked by itself.
 
 The result equals ranking all positions, at a fraction of the rows.
 
@@ -43,6 +45,7 @@ from .common import materialise
 LENGTH = 200
 FIRST = 64
 GRAM = 16
+CELL = 16
 
 
 def _list(values: list[np.ndarray], kind) -> pa.Array:
@@ -83,11 +86,12 @@ def _open_ranges(length: int):
     """Per document: each anchor's places (anchor minus window start) that reach beyond what is covered."""
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("rid", "pos", "lo", "hi", "r1", "near", "far")}
+            out: dict[str, list] = {k: [] for k in ("rid", "pos", "lo", "hi", "r1", "near", "far", "full")}
             for rid, found in zip(batch.column(0).to_pylist(), batch.column(1)):
                 f = found.values
                 pos, lo, hi = (f.field(c).to_numpy() for c in ("pos", "lo", "hi"))
-                covered = pos[f.field("full").to_numpy(zero_copy_only=False)]
+                full = f.field("full").to_numpy(zero_copy_only=False)
+                covered = pos[full]
                 start, end = merged(covered, covered + length)
                 window = ranges(lo, hi - lo + 1)
                 place = np.repeat(pos, hi - lo + 1) - window
@@ -100,9 +104,49 @@ def _open_ranges(length: int):
                 out["near"].append(np.minimum.reduceat(np.where(beyond, place, 1 << 40), first))
                 out["far"].append(np.maximum.reduceat(np.where(beyond, place, -1), first))
                 out["rid"].append(np.full(len(pos), rid))
-                for c, v in (("pos", pos), ("lo", lo), ("hi", hi), ("r1", f.field("r1").to_numpy())):
+                for c, v in (("pos", pos), ("lo", lo), ("hi", hi), ("r1", f.field("r1").to_numpy()), ("full", full)):
                     out[c].append(v)
-            yield pa.RecordBatch.from_pydict({k: _list(v, np.int64) for k, v in out.items()})
+            yield pa.RecordBatch.from_pydict({k: _list(v, bool if k == "full" else np.int64) for k, v in out.items()})
+    return run
+
+
+def _cells(length: int):
+    """Rank pairs of the asked-for cells of each document.
+
+    A cell is ``CELL`` neighbouring places of an anchor.  Its core is what all its windows
+    share, its whole what they cover together (null at a document's edge).
+    """
+    def run(batches):
+        for batch in batches:
+            rids, asked = batch.column(0).to_numpy(), batch.column(2)
+            for row, flat, starts in text_blocks(batch.column(1)):
+                sums = byte_prefix_sums(flat)
+                lists = [asked[row + i].values for i in range(len(starts) - 1)]
+                size = [len(f) for f in lists]
+                pos, lo, hi, first, last, near, far = (
+                    np.concatenate([f.field(c).to_numpy() for f in lists])
+                    for c in ("pos", "lo", "hi", "first", "last", "near", "far"))
+                doc = np.repeat(np.arange(len(size)), size)
+                low, high = (pos - last) // CELL, (pos - first) // CELL
+                n = high - low + 1
+                cell = ranges(low, n)
+                pos, lo, hi, near, far, doc = (np.repeat(v, n) for v in (pos, lo, hi, near, far, doc))
+                begin = starts[doc]
+                core = begin + pos - cell * CELL  # the window of the cell's first place starts here
+                whole = core - (CELL - 1)
+                inside = (whole >= begin) & (core + length <= starts[doc + 1])
+                whole = np.where(inside, whole, core)
+                stop = np.where(inside, core + length, core)
+                yield pa.RecordBatch.from_pydict({
+                    "rid": pa.array(rids[row + doc]),
+                    "lo": pa.array(np.maximum(lo, pos - cell * CELL - CELL + 1)),
+                    "hi": pa.array(np.minimum(hi, pos - cell * CELL)),
+                    "start": pa.array(core - begin),
+                    "r1": pa.array(signed(span_hash(sums, core, core + FIRST))),
+                    "r2": pa.array(signed(span_hash(sums, core + FIRST, core + length - CELL + 1))),
+                    "w1": pa.array(signed(span_hash(sums, whole, core)), mask=~inside),
+                    "w2": pa.array(signed(span_hash(sums, core, stop)), mask=~inside),
+                    "mine": pa.array((cell * CELL <= far) & (cell * CELL + CELL - 1 >= near))})
     return run
 
 
@@ -110,29 +154,28 @@ def _windows(length: int):
     """Rank pairs of the asked-for windows of each document; ``mine`` where the document itself needs to know."""
     def run(batches):
         for batch in batches:
-            rids = batch.column(0).to_pylist()
-            asked = batch.column(2)
+            rids, asked = batch.column(0).to_numpy(), batch.column(2)
             for row, flat, starts in text_blocks(batch.column(1)):
                 sums = byte_prefix_sums(flat)
-                rid, at, mine = [], [], []
-                for i in range(len(starts) - 1):
-                    f = asked[row + i].values
-                    first, last, near, far, pos = (f.field(c).to_numpy() for c in ("first", "last", "near", "far", "pos"))
-                    window = ranges(first, last - first + 1)
-                    place = np.repeat(pos, last - first + 1) - window
-                    at.append(window + starts[i])
-                    rid.append(np.full(len(window), rids[row + i]))
-                    mine.append((place >= np.repeat(near, last - first + 1)) & (place <= np.repeat(far, last - first + 1)))
-                at = np.concatenate(at)
-                doc = np.searchsorted(starts, at, "right") - 1
+                lists = [asked[row + i].values for i in range(len(starts) - 1)]
+                doc = np.repeat(np.arange(len(lists)), [len(f) for f in lists])
+                lo, hi, mine = (np.concatenate([f.field(c).to_numpy(zero_copy_only=False) for f in lists])
+                                for c in ("lo", "hi", "mine"))
+                n = hi - lo + 1
+                window, doc, mine = ranges(lo, n), np.repeat(doc, n), np.repeat(mine, n)
+                at = window + starts[doc]
                 yield pa.RecordBatch.from_pydict({
-                    "rid": pa.array(np.concatenate(rid)), "pos": pa.array(at - starts[doc]),
+                    "rid": pa.array(rids[row + doc]), "pos": pa.array(window),
                     "r1": pa.array(signed(span_hash(sums, at, at + FIRST))),
-                    "r2": pa.array(signed(span_hash(sums, at + FIRST, at + length))),
-                    "mine": pa.array(np.concatenate(mine))})
+                    "r2": pa.array(signed(span_hash(sums, at + FIRST, at + length))), "mine": pa.array(mine)})
     return run
 
 
+def _again(rows: DataFrame, *rank: str) -> DataFrame:
+    """The ranks that occur more than once."""
+    return rows.groupBy(*rank).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*rank)
+
+
 def _removed(length: int, with_text: bool):
     def run(batches):
         for batch in batches:
@@ -170,8 +213,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     ``docs`` must be a table read from files (its row numbers are then stable).
     """
-    if length <= FIRST + GRAM:
-        raise ValueError(f"length must be over {FIRST + GRAM}")
+    if length <= FIRST + GRAM + CELL:
+        raise ValueError(f"length must be over {FIRST + GRAM + CELL}")
     ship_package(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).alias("text"))
@@ -179,32 +222,49 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     # Round 1: ranks of FIRST bytes at the anchors; unique ones drop out.
     anchors = texts.mapInArrow(_anchors(length), "rid long, pos long, lo long, hi long, r1 long, r2 long")
-    again = anchors.groupBy("r1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r1")
-    anchors = materialise(anchors.join(again, "r1"), "doubling-1")
+    anchors = materialise(anchors.join(_again(anchors, "r1"), "r1"), "doubling-1")
 
     # Round 2: pairs of ranks up to ``length`` bytes.
-    pairs = (anchors.where("r2 is not null").groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-             .select("r1", "r2", F.lit(True).alias("full")))
+    pairs = _again(anchors.where("r2 is not null"), "r1", "r2").withColumn("full", F.lit(True))
     anchors = anchors.join(pairs, ["r1", "r2"], "left").withColumn("full", F.coalesce("full", F.lit(False)))
-    anchors = materialise(anchors.select("rid", "pos", "lo", "hi", "r1", "full"), "doubling-2")
-    covered = anchors.where("full").select("rid", "pos")
+    found_rows = F.collect_list(F.struct("pos", "lo", "hi", "r1", "full")).alias("found")
+    edges = anchors.groupBy("rid").agg(found_rows).mapInArrow(
+        _open_ranges(length), "rid long, pos long, lo long, hi long, r1 long, near long, far long, full boolean")
+    edges = materialise(edges, "doubling-2")
+    covered = edges.where("full").select("rid", "pos")
 
-    # Round 3: positions at the edges, and the same places of the anchors of the same rank.
-    by_doc = anchors.groupBy("rid").agg(F.collect_list(F.struct("pos", "lo", "hi", "r1", "full")).alias("found"))
-    edges = materialise(by_doc.mapInArrow(
-        _open_ranges(length), "rid long, pos long, lo long, hi long, r1 long, near long, far long"), "doubling-edges")
+    # Round 3: cells of places at the edges, and the same places of the anchors of the same rank.
     wanted = (edges.where("far >= 0").groupBy("r1")
               .agg(F.min("near").alias("want_near"), F.max("far").alias("want_far")))
     asked = (edges.join(wanted, "r1")
              .withColumn("first", F.greatest("lo", F.col("pos") - F.col("want_far")))
              .withColumn("last", F.least("hi", F.col("pos") - F.col("want_near"))).where("first <= last")
-             .groupBy("rid").agg(F.collect_list(F.struct("first", "last", "near", "far", "pos")).alias("asked")))
+             .groupBy("rid").agg(F.collect_list(
+                 F.struct("first", "last", "near", "far", "pos", "lo", "hi")).alias("asked")))
+    cells = materialise(texts.join(asked, "rid").select("rid", "text", "asked").mapInArrow(
+        _cells(length), "rid long, lo long, hi long, start long, r1 long, r2 long, w1 long, w2 long, mine boolean"),
+        "doubling-3")
+    # Two anchors of a text may stand for the same extent: another place must have it.
+    place = F.struct("rid", "start")
+    wholes = (cells.where("w1 is not null").groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+              .where("a < b").select("w1", "w2", F.lit(True).alias("full")))
+    cells = (cells.join(_again(cells, "r1", "r2"), ["r1", "r2"]).join(wholes, ["w1", "w2"], "left")
+             .withColumn("full", F.coalesce("full", F.lit(False))).drop("w1", "w2"))
+    cells = materialise(cells, "doubling-4")
+    ends = F.explode(F.array(F.col("start"), F.col("start") - (CELL - 1))).alias("pos")
+    covered = covered.union(cells.where("full").select("rid", ends))
+
+    # Round 4: single positions in the cells where a repeat ends.
+    wanted = cells.where("mine and not full").select("r1", "r2").distinct()
+    asked = (cells.join(wanted, ["r1", "r2"])
+             .groupBy("rid").agg(F.collect_list(
+                 F.struct("lo", "hi", F.expr("mine and not full").alias("mine"))).alias("asked")))
     windows = materialise(texts.join(asked, "rid").select("rid", "text", "asked").mapInArrow(
-        _windows(length), "rid long, pos long, r1 long, r2 long, mine boolean"), "doubling-3")
-    twice = windows.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r1", "r2")
+        _windows(length), "rid long, pos long, r1 long, r2 long, mine boolean"), "doubling-5")
+    twice = _again(windows, "r1", "r2")
     found = covered.union(windows.where("mine").join(twice, ["r1", "r2"]).select("rid", "pos"))
 
-    found = found.groupBy("rid").agg(F.collect_list("pos").alias("found"))
+    found = materialise(found.groupBy("rid").agg(F.collect_list("pos").alias("found")), "doubling-found")
     schema = "rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return (rows.join(found, "rid", "left").select("rid", "doc_id", "text", "found")
             .mapInArrow(_removed(length, with_text), schema + ", kept_text string" * with_text))
