@@ -42,7 +42,7 @@ def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES):
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if not pa.types.is_large_string(column.type):
+    if not (pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)):
         column = column.cast(pa.large_string())
     n = len(column)
     if not n:
@@ -51,7 +51,7 @@ def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES):
     data = column.buffers()[2]
     flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     if column.null_count:  # a null's slot may hold bytes
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_large_binary(column.type) else "")
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + n + 1]
         data = column.buffers()[2]
         flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -149,3 +149,22 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end = start[order], np.maximum.accumulate(end[order])
     new = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
     return start[new], end[np.append(new[1:], len(start)) - 1]
+
+
+def pack(batches, keep: tuple[str, ...] = ("rid",)):
+    """The columns ``keep`` and the text after them, compressed one by one for a shuffle, as ``packed``."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        packed = [squeeze(t.as_buffer()) if t.is_valid else None for t in batch.column(len(keep))]
+        cols = {c: batch.column(i) for i, c in enumerate(keep)}
+        yield pa.RecordBatch.from_pydict(cols | {"packed": pa.array(packed, pa.binary())})
+
+
+def unpack(column: pa.Array) -> pa.Array:
+    """The bytes of texts that :func:`pack` compressed."""
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    return pa.array([expand(p.as_buffer()) if p.is_valid else None for p in column], pa.large_binary())

@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from promptframe.session import ship_package
 
-from .blocks import byte_prefix_sums, merged, ranges, signed, sliding_min, span_hash, text_blocks
-from .common import materialise
+from .blocks import byte_prefix_sums, merged, pack, ranges, signed, sliding_min, span_hash, text_blocks, unpack
+from .common import drop_table, materialise
 
 LENGTH = 200
 FIRST = 64
@@ -119,7 +119,7 @@ def _cells(length: int):
     def run(batches):
         for batch in batches:
             rids, asked = batch.column(0).to_numpy(), batch.column(2)
-            for row, flat, starts in text_blocks(batch.column(1)):
+            for row, flat, starts in text_blocks(unpack(batch.column(1))):
                 sums = byte_prefix_sums(flat)
                 lists = [asked[row + i].values for i in range(len(starts) - 1)]
                 size = [len(f) for f in lists]
@@ -155,7 +155,7 @@ def _windows(length: int):
     def run(batches):
         for batch in batches:
             rids, asked = batch.column(0).to_numpy(), batch.column(2)
-            for row, flat, starts in text_blocks(batch.column(1)):
+            for row, flat, starts in text_blocks(unpack(batch.column(1))):
                 sums = byte_prefix_sums(flat)
                 lists = [asked[row + i].values for i in range(len(starts) - 1)]
                 doc = np.repeat(np.arange(len(lists)), [len(f) for f in lists])
@@ -167,7 +167,8 @@ def _windows(length: int):
                 yield pa.RecordBatch.from_pydict({
                     "rid": pa.array(rids[row + doc]), "pos": pa.array(window),
                     "r1": pa.array(signed(span_hash(sums, at, at + FIRST))),
-                    "r2": pa.array(signed(span_hash(sums, at + FIRST, at + length))), "mine": pa.array(mine)})
+                    "r2": pa.array((span_hash(sums, at + FIRST, at + length) >> np.uint64(32)).astype(np.uint32)
+                                   .view(np.int32)), "mine": pa.array(mine)})
     return run
 
 
@@ -181,7 +182,7 @@ def _removed(length: int, with_text: bool):
         for batch in batches:
             size, gone, spans, digest, texts = [], [], [], [], []
             found = batch.column(3)
-            for row, flat, starts in text_blocks(batch.column(2)):
+            for row, flat, starts in text_blocks(unpack(batch.column(2))):
                 for i in range(len(starts) - 1):
                     raw = flat[starts[i]:starts[i + 1]]
                     f = found[row + i].values
@@ -219,10 +220,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).alias("text"))
     texts = rows.select("rid", "text")
+    packed = texts.mapInArrow(pack, "rid long, packed binary")
 
     # Round 1: ranks of FIRST bytes at the anchors; unique ones drop out.
     anchors = texts.mapInArrow(_anchors(length), "rid long, pos long, lo long, hi long, r1 long, r2 long")
-    anchors = materialise(anchors.join(_again(anchors, "r1"), "r1"), "doubling-1")
+    anchors_1 = anchors = materialise(anchors.join(_again(anchors, "r1"), "r1"), "doubling-1")
 
     # Round 2: pairs of ranks up to ``length`` bytes.
     pairs = _again(anchors.where("r2 is not null"), "r1", "r2").withColumn("full", F.lit(True))
@@ -231,6 +233,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     edges = anchors.groupBy("rid").agg(found_rows).mapInArrow(
         _open_ranges(length), "rid long, pos long, lo long, hi long, r1 long, near long, far long, full boolean")
     edges = materialise(edges, "doubling-2")
+    drop_table(anchors_1)
     covered = edges.where("full").select("rid", "pos")
 
     # Round 3: cells of places at the edges, and the same places of the anchors of the same rank.
@@ -241,7 +244,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
              .withColumn("last", F.least("hi", F.col("pos") - F.col("want_near"))).where("first <= last")
              .groupBy("rid").agg(F.collect_list(
                  F.struct("first", "last", "near", "far", "pos", "lo", "hi")).alias("asked")))
-    cells = materialise(texts.join(asked, "rid").select("rid", "text", "asked").mapInArrow(
+    cells_3 = cells = materialise(packed.join(asked, "rid").select("rid", "packed", "asked").mapInArrow(
         _cells(length), "rid long, lo long, hi long, start long, r1 long, r2 long, w1 long, w2 long, mine boolean"),
         "doubling-3")
     # Two anchors of a text may stand for the same extent: another place must have it.
@@ -251,6 +254,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     cells = (cells.join(_again(cells, "r1", "r2"), ["r1", "r2"]).join(wholes, ["w1", "w2"], "left")
              .withColumn("full", F.coalesce("full", F.lit(False))).drop("w1", "w2"))
     cells = materialise(cells, "doubling-4")
+    drop_table(cells_3)
     ends = F.explode(F.array(F.col("start"), F.col("start") - (CELL - 1))).alias("pos")
     covered = covered.union(cells.where("full").select("rid", ends))
 
@@ -259,12 +263,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     asked = (cells.join(wanted, ["r1", "r2"])
              .groupBy("rid").agg(F.collect_list(
                  F.struct("lo", "hi", F.expr("mine and not full").alias("mine"))).alias("asked")))
-    windows = materialise(texts.join(asked, "rid").select("rid", "text", "asked").mapInArrow(
-        _windows(length), "rid long, pos long, r1 long, r2 long, mine boolean"), "doubling-5")
+    windows = materialise(packed.join(asked, "rid").select("rid", "packed", "asked").mapInArrow(
+        _windows(length), "rid long, pos long, r1 long, r2 int, mine boolean"), "doubling-5")
     twice = _again(windows, "r1", "r2")
     found = covered.union(windows.where("mine").join(twice, ["r1", "r2"]).select("rid", "pos"))
 
     found = materialise(found.groupBy("rid").agg(F.collect_list("pos").alias("found")), "doubling-found")
     schema = "rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return (rows.join(found, "rid", "left").select("rid", "doc_id", "text", "found")
+    ids = rows.select("rid", "doc_id", "text").mapInArrow(
+        lambda batches: pack(batches, ("rid", "doc_id")), "rid long, doc_id long, packed binary")
+    return (ids.join(found, "rid", "left").select("rid", "doc_id", "packed", "found")
             .mapInArrow(_removed(length, with_text), schema + ", kept_text string" * with_text))
