@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, packing, pii, sharding, stream_dedup, suffix
+from promptframe.session import table
+
+from . import chaining, decontaminate, langid, minhash, packing, pii, quality, sharding, stream_dedup, suffix
 from .common import documents
 
 
@@ -16,6 +18,10 @@ def op2_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir)).drop("rid", "first")
 
 
+def op3_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaked_documents(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op4_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -24,6 +30,14 @@ def op5_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(documents(spark, sf_dir))
 
 
+def op6_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.fuzzy_passages(documents(spark, sf_dir))
+
+
+def op7_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op8_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stream_dedup.dedup_decisions(documents(spark, sf_dir))
     return found.selectExpr("id as doc_id", "keep_id", "group_size", "kept", "digest as text_sha256")
@@ -37,7 +51,8 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_tensored_minhash, op4_rank_profiles, op5_boosted_candidates, op8_stream_dedup,
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_tensored_minhash, op3_latent_decontamination, op4_rank_profiles, op5_boosted_candidates, op6_collinear_chains, op7_cotrained_quality,
+                                  op8_stream_dedup,
                                   op9_prefix_doubling, op10_hash_tree)}
 
 ORACLES = {
