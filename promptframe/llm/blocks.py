@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C13 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -25,7 +25,7 @@ class _Powers:
 
     def get(self, n: int):
         if len(self.up) < n:
-            size = max(n, 2 * BLOCK_BYTES)
+            size = max(n, 4 * BLOCK_BYTES)
             up, down = np.full(size, _BASE), np.full(size, _INVERSE)
             up[0] = down[0] = 1
             self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)

@@ -151,7 +151,7 @@ def _cells(length: int):
 
 
 def _windows(length: int):
-    """Rank pairs of the asked-for windows of each document; ``mine`` where the document itself needs to know."""
+    """Rank pairs of the asked-for windows of each document, with their place where the document itself needs to know."""
     def run(batches):
         for batch in batches:
             rids, asked = batch.column(0).to_numpy(), batch.column(2)
@@ -165,10 +165,10 @@ def _windows(length: int):
                 window, doc, mine = ranges(lo, n), np.repeat(doc, n), np.repeat(mine, n)
                 at = window + starts[doc]
                 yield pa.RecordBatch.from_pydict({
-                    "rid": pa.array(rids[row + doc]), "pos": pa.array(window),
+                    "rid": pa.array(rids[row + doc], mask=~mine), "pos": pa.array(window, mask=~mine),
                     "r1": pa.array(signed(span_hash(sums, at, at + FIRST))),
                     "r2": pa.array((span_hash(sums, at + FIRST, at + length) >> np.uint64(32)).astype(np.uint32)
-                                   .view(np.int32)), "mine": pa.array(mine)})
+                                   .view(np.int32))})
     return run
 
 
@@ -234,7 +234,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         _open_ranges(length), "rid long, pos long, lo long, hi long, r1 long, near long, far long, full boolean")
     edges = materialise(edges, "doubling-2")
     drop_table(anchors_1)
-    covered = edges.where("full").select("rid", "pos")
 
     # Round 3: cells of places at the edges, and the same places of the anchors of the same rank.
     wanted = (edges.where("far >= 0").groupBy("r1")
@@ -256,7 +255,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     cells = materialise(cells, "doubling-4")
     drop_table(cells_3)
     ends = F.explode(F.array(F.col("start"), F.col("start") - (CELL - 1))).alias("pos")
-    covered = covered.union(cells.where("full").select("rid", ends))
+    covered = materialise(edges.where("full").select("rid", "pos").union(cells.where("full").select("rid", ends)),
+                          "doubling-covered")
+    drop_table(edges)
 
     # Round 4: single positions in the cells where a repeat ends.
     wanted = cells.where("mine and not full").select("r1", "r2").distinct()
@@ -264,9 +265,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
              .groupBy("rid").agg(F.collect_list(
                  F.struct("lo", "hi", F.expr("mine and not full").alias("mine"))).alias("asked")))
     windows = materialise(packed.join(asked, "rid").select("rid", "packed", "asked").mapInArrow(
-        _windows(length), "rid long, pos long, r1 long, r2 int, mine boolean"), "doubling-5")
+        _windows(length), "rid long, pos long, r1 long, r2 int"), "doubling-5")
     twice = _again(windows, "r1", "r2")
-    found = covered.union(windows.where("mine").join(twice, ["r1", "r2"]).select("rid", "pos"))
+    found = covered.union(windows.where("rid is not null").join(twice, ["r1", "r2"]).select("rid", "pos"))
 
     found = materialise(found.groupBy("rid").agg(F.collect_list("pos").alias("found")), "doubling-found")
     schema = "rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
