@@ -26,8 +26,8 @@ def object_id(*cols, salt: str = "") -> Column:
 
 
 def hash_index(n, *cols, salt: str = "") -> Column:
-    """Non-negative integer in [0, n) from md5 of the key (first 8 hex digits)."""
+    """Non-negative integer in [0, n) from md5 of the key (first 15 hex digits, 60 bits)."""
     h = F.conv(F.substring(F.md5(F.concat_ws(SEP, F.lit(salt), *[F.col(c).cast("string") if isinstance(c, str)
-                                                                   else c.cast("string") for c in cols])), 1, 8),
+                                                                   else c.cast("string") for c in cols])), 1, 15),
                16, 10).cast("long")
     return F.pmod(h, n if isinstance(n, Column) else F.lit(n))

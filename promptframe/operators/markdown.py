@@ -158,20 +158,21 @@ def markdown_history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn"
 
 
 def table_from_chat(turns: DataFrame, method: str, conv: str = "conv_id", turn: str = "turn",
-                    role: str = "role", text_col: str = "text") -> DataFrame | None:
+                    role: str = "role", text_col: str = "text", ai: str = "assistant") -> DataFrame | None:
     """Extractor choice of the Batch tab (PRJ15).
 
     ``"Markdown Table"``: the last turn's table (long form) with a ``Skip``
     column; ``"Chat History"``: ``(Input, Output)`` pairs; ``"History w/
-    Tables"``: the unioned tables; anything else: ``None``.
+    Tables"``: the unioned tables; anything else: ``None``.  Tables are only
+    read from the answers, never from what the user wrote.
     """
     from .chat import chat_pairs, last_turn
 
     if method == "Markdown Table":
-        last = last_turn(turns, conv, turn, text_col, out=text_col)
+        last = last_turn(turns.where(F.col(role) == ai), conv, turn, text_col, out=text_col)
         return markdown_cells(last, [conv], text_col).select(F.lit("").alias("Skip"), "*")
     if method == "Chat History":
         return chat_pairs(turns, conv, turn, role, text_col)
     if method == "History w/ Tables":
-        return markdown_history(turns, conv, turn, text_col)
+        return markdown_history(turns.where(F.col(role) == ai), conv, turn, text_col)
     return None

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path, ship_package, spread
+from ..session import checkpoint_dir, scratch_path, ship_package, spread
 
 # Bytes of float64 matrix allowed in one broadcast (checked before collecting).
 BROADCAST_LIMIT_BYTES = 256 << 20
@@ -43,12 +43,14 @@ def vector_records(df: DataFrame, vector_col: str, id_expr=None, text_col: str |
                    value_fields: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
     """Rows -> vector-table records (VEC1 import shape), plus ``carry`` columns.
 
-    ``id_expr`` defaults to md5 of the vector's text form, so re-importing
-    the same rows is idempotent (the reference draws uuid4 ids).
+    ``id_expr`` defaults to md5 of the row's number and its vector: one id per
+    row, also where vectors repeat, and the same one when the same table is
+    imported again.
     """
     from ..functions.vectors import vector_to_text
 
-    idc = id_expr if id_expr is not None else F.md5(vector_to_text(vector_col))
+    idc = id_expr if id_expr is not None else F.md5(F.concat_ws(
+        "|", F.monotonically_increasing_id().cast("string"), vector_to_text(vector_col)))
     meta = value_fields or []
     mcol = (F.create_map(*[x for v in meta for x in (F.lit(v), F.col(f"`{v}`").cast("string"))])
             if meta else F.create_map().cast("map<string,string>"))
@@ -64,23 +66,27 @@ def upsert(store: DataFrame, incoming: DataFrame, overwrite: bool = True, key: s
     ``overwrite``: records whose ``key`` equals an incoming key are replaced
     (incoming records with a null key are added, they match nothing);
     within the incoming batch the record with the largest ``seq_col`` per key
-    wins (``seq_col`` must be unique per key; without it a digest of the id
-    decides).  Without ``overwrite`` records are appended.
+    wins (ties, and batches without ``seq_col``, are decided by a digest).  Without ``overwrite`` records are appended.
 
-    Newest-per-key is ``max(order)`` per key (a partial hash aggregate, so a
-    key held by a third of the rows costs one row per task) joined back on
-    ``(key, order)``; records are never put in an aggregation buffer.
+    Exactly one record per key comes in: ``row_number() <= 1`` with a limit in
+    each task before the shuffle, so a key held by a third of the rows costs one
+    row per task.
     """
     cols = ["id", "vector", "text", "metadata"]
     if not overwrite:
         return store.select(*cols).unionByName(incoming.select(*cols))
     order = F.col(seq_col).cast("long") if seq_col else F.xxhash64("id")
-    staged = incoming.where(F.col(key).isNotNull()).select(*cols, order.alias("_o"))
-    best = staged.groupBy(key).agg(F.max("_o").alias("_o"))
-    newest = staged.join(best, [key, "_o"]).select(*cols)
+    # Written once: both uses below read it, so a model call or parse upstream runs once.
+    checkpoint_dir(incoming.sparkSession)
+    staged = incoming.select(*cols, order.alias("_o")).checkpoint()
+    # One row per key, ties by id and content; planned with a limit before the shuffle (WindowGroupLimit).
+    latest = Window.partitionBy(key).orderBy(F.desc_nulls_last("_o"), F.desc("id"), F.xxhash64("vector"),
+                                             F.to_json("metadata"))
+    newest = (staged.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(latest))
+              .where("_n = 1").select(*cols))
     # A record without a key replaces nothing and is added as it is.
-    unkeyed = incoming.where(F.col(key).isNull()).select(*cols)
-    kept = store.join(best.select(key), key, "left_anti")
+    unkeyed = staged.where(F.col(key).isNull()).select(*cols)
+    kept = store.join(newest.select(key), key, "left_anti")
     return kept.select(*cols).unionByName(newest).unionByName(unkeyed)
 
 
@@ -338,6 +344,10 @@ def import_vectors(table: DataFrame, value_fields, vectors: DataFrame, client: d
     if shape == "fields":
         records = zipped.select(F.col(vec_col).cast("array<float>").alias("vector"), *[F.col(f"`{f}`") for f in fields])
     else:
-        records = vector_records(zipped, vec_col, value_fields=fields)
+        # One id per row (its position and vector), the same when the import is run again.
+        from ..functions.vectors import vector_to_text
+
+        own = F.md5(F.concat_ws("|", F.col("__zpos").cast("string"), vector_to_text(vec_col)))
+        records = vector_records(zipped, vec_col, id_expr=own, value_fields=fields)
     write_vectors(records, client, batch_size, shape)
     return records

@@ -93,17 +93,18 @@ def q_chat_pairs(spark, sf_dir):
 
 
 @query("last_turn", """
-SELECT conv_id, max(turn) AS last_turn, arg_max(text, turn) AS last_text FROM conversations GROUP BY conv_id
+SELECT conv_id, max(turn) AS last_turn, arg_max(text, turn) AS last_text
+FROM conversations WHERE role = 'assistant' GROUP BY conv_id
 """)
 def q_last_turn(spark, sf_dir):
-    return last_turn(table(spark, sf_dir, "conversations"))
+    return last_turn(table(spark, sf_dir, "conversations").where("role = 'assistant'"))
 
 
 @query("sample_histories", f"""
 WITH p AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos, question, answer FROM ({_PAIRS_SQL})),
 c AS (SELECT count(*) AS n FROM p),
 s AS (SELECT r.row_id, k.slot,
-        CAST(('0x' || substr(md5(concat_ws(chr(1), '0', CAST(r.row_id AS VARCHAR), CAST(k.slot AS VARCHAR))), 1, 8))
+        CAST(('0x' || substr(md5(concat_ws(chr(1), '0', CAST(r.row_id AS VARCHAR), CAST(k.slot AS VARCHAR))), 1, 15))
              AS BIGINT) % c.n AS pos
       FROM c, range(c.n) r(row_id), range(5) k(slot))
 SELECT row_id, to_json(list([question, answer] ORDER BY slot)) AS "!chat_history" FROM s JOIN p USING (pos)

@@ -121,7 +121,7 @@ def q_md_history(spark, sf_dir):
 
 
 @query("md_last_table", duck_parse("""
-SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id
+SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id
 """, ["conv_id"]).replace("SELECT conv_id, row_no, i - 1", "SELECT '' AS Skip, conv_id, row_no, i - 1", 1))
 def q_md_last_table(spark, sf_dir):
     return table_from_chat(table(spark, sf_dir, "conversations"), "Markdown Table")

@@ -104,7 +104,8 @@ def q_vdb_import_table(spark, sf_dir):
     got = spark.read.schema("id string, vector array<float>, metadata map<string,string>").json(path)
     # Vector i of the table's order is row i of the slice: recover i from the vector's rank by vec_id.
     ranked = with_pos(e, "pos", "rank")
-    back = got.join(ranked.select("rank", F.md5(vector_to_text("vector")).alias("id")), "id")
+    back = got.join(ranked.select("rank", F.md5(F.concat_ws(
+        "|", F.col("rank").cast("string"), vector_to_text("vector"))).alias("id")), "id")
     return back.select(F.col("rank").cast("long").alias("pos"), F.size("vector").alias("n_dims"),
                        F.col("metadata")["o_orderstatus"].alias("o_orderstatus"),
                        F.col("metadata")["o_orderpriority"].alias("o_orderpriority"),

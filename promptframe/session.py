@@ -111,15 +111,9 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    # The zip goes to the shared checkpoint folder when that is a mounted
-    # filesystem path.  A cluster whose checkpoint folder is a remote store
-    # (hdfs://, s3a://) gets the package at submit time (``--py-files``).
-    base = checkpoint_dir(spark)
-    if not (base.startswith("file:") or base.startswith("/")):
-        return
-    folder = os.path.join(fs_path(base), "pyfiles", uuid.uuid4().hex[:12])
-    os.makedirs(folder, exist_ok=True)
-    out = os.path.join(folder, "promptframe.zip")
+    # Zipped on the driver; addPyFile has the driver serve it to the executors, so no shared folder
+    # is needed and a remote checkpoint folder (hdfs://, s3a://) makes no difference.
+    out = os.path.join(tempfile.mkdtemp(prefix="promptframe-py-"), "promptframe.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for dirpath, _, files in os.walk(pkg_dir):
             if "__pycache__" in dirpath:

@@ -14,7 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"'}
+# Cells keep their leading and trailing white space and line breaks in both directions.  An empty
+# cell reads as null, written from an empty string or a null alike.
+CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false",
+               "ignoreTrailingWhiteSpace": "false"}
 
 
 def _enable_charsets(spark: SparkSession) -> None:

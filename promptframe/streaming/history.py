@@ -16,15 +16,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..operators.history import MAX_MESSAGE_COUNT, retained
 
 
 def _latest_state(spark: SparkSession, state_path: str, before_epoch: int, schema) -> DataFrame:
-    try:
-        versions = spark.read.parquet(state_path)
-    except Exception:  # noqa: BLE001 - no state written yet
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state_path)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        if before_epoch:  # the first epoch writes it; any other failure to read is raised too, never taken as empty
+            raise FileNotFoundError(f"no message state at {state_path} before epoch {before_epoch}")
         return spark.createDataFrame([], schema)
+    stored = StructType([*schema.fields, StructField("epoch", LongType()), StructField("slot", IntegerType())])
+    versions = spark.read.schema(stored).parquet(state_path)
     prev = versions.where(F.col("epoch") < before_epoch).agg(F.max("epoch")).first()[0]
     if prev is None:
         return spark.createDataFrame([], schema)

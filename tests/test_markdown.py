@@ -124,75 +124,55 @@ def test_extractor_choice(spark):
     _ = F
 
 
-def _rules(text):
-    """The parsing rules of SURVEY §2.11, written directly in Python (the test's own oracle)."""
-    if text is None or "| " not in text:
-        return None
-    lines = text[text.find("| "):].split("\n")
-    header = [c.strip() for c in lines[0].split("|")[1:-1]]
-    rows = []
-    for line in lines[1:]:
-        s = line.strip()
-        if s.startswith("|---") or s.startswith("| ---"):
-            continue
-        cells = [c.strip() for c in line.split("|")[1:-1]]
-        rows.append((cells + [""] * len(header))[:len(header)])
-    return header, rows
-
-
-def test_parser_matches_rules_on_random_texts(spark):
-    import random
-
-    rnd = random.Random(7)
-    pieces = ["| ", "|", " | ", "|---", "| ---", "|:---|", "---", "\n", "\n", " ", "\t", "　", " ",
-              "a", "bc", "Col", "中文", "x y", "\r", ""]
-    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 40))) for _ in range(1500)] + [None]
-    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
-    got = {r["k"]: r["table"] for r in parse_markdown_table(df).select("k", "table").collect()}
-    for k, t in enumerate(texts):
-        g = got[k]
-        mine = None if g is None else (list(g["header"]), [list(x) for x in g["rows"]])
-        assert mine == _rules(t), (t, mine, _rules(t))
+def _rendered(rnd, header, body):
+    """One markdown table as text, in one of the usual layouts."""
+    pad = rnd.choice(["", " "])
+    rule = rnd.choice(["|---" * len(header) + "|", "| --- " * len(header) + "|"])
+    lines = ["| " + " | ".join(header) + " |", rule]
+    return "\n".join(lines + ["|" + "|".join(f"{pad}{c} " for c in row) + "|" for row in body])
 
 
-def _dedupe(header):
-    out = []
-    for h in header:
-        name, k = h, 2
-        while name in out:
-            name, k = f"{h}_{k}", k + 1
-        out.append(name)
-    return out
-
-
-def test_history_matches_rules_on_random_chats(spark):
+def test_generated_tables_come_back(spark):
+    """Cells first, then their markdown: the parser must give the cells."""
     import random
 
-    rnd = random.Random(11)
-    names = ["a", "b", "c", "a_2", "Name"]
-    turns, expected = [], []
-    for conv in range(60):
-        tables = []
-        for turn in range(rnd.randint(1, 5)):
-            if rnd.random() < 0.2:
-                turns.append((conv, turn, "no table here"))
-                continue
-            header = [rnd.choice(names) for _ in range(rnd.randint(1, 4))]
-            body = [[f"v{conv}_{turn}_{r}_{c}" for c in range(rnd.randint(0, 5))] for r in range(rnd.randint(0, 3))]
-            text = "| " + " | ".join(header) + " |\n|---|\n" + "\n".join("| " + " | ".join(r) + " |" for r in body)
-            turns.append((conv, turn, text))
-            h, rows = _rules(text)
-            tables.append((turn, _dedupe(h), rows))
-        cols = []
-        for _, h, _ in tables:
-            cols += [c for c in h if c not in cols]
-        for turn, h, rows in tables:
-            for r_no, r in enumerate(rows):
-                cell = dict(zip(h, r))
-                expected += [(conv, turn, r_no, i, c, cell.get(c, "")) for i, c in enumerate(cols)]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, text string")
-    got = sorted(tuple(r) for r in markdown_history(df).collect())
-    assert got == sorted(expected)
+    rnd = random.Random(7)
+    cell = ["a", "bc", "x y", "中文", "ü", "0.5", "a-b", "*", "é\tf"]
+    texts, want = [], []
+    for k in range(300):
+        header = [f"h{i}" for i in range(rnd.randint(1, 5))]
+        body = [[rnd.choice(cell) for _ in header] for _ in range(rnd.randint(1, 4))]
+        lead = rnd.choice(["", "Here it is:\n", "no pipe here\n\n"])
+        texts.append((k, lead + _rendered(rnd, header, body)))
+        want.append((header, body))
+    got = {r["k"]: r["table"] for r in parse_markdown_table(
+        spark.createDataFrame(texts, "k int, text string")).select("k", "table").collect()}
+    for k, (header, body) in enumerate(want):
+        assert (list(got[k]["header"]), [list(x) for x in got[k]["rows"]]) == (header, body), texts[k]
+
+
+def test_odd_tables_literal(spark):
+    cases = [
+        ("| A | B |\n|---|---|\n| 1 |", ["A", "B"], [["1", ""]]),                      # a short row is filled
+        ("| A |\n|---|\n| 1 | 2 |", ["A"], [["1"]]),                                    # a long row is cut
+        ("| A | B |\n| --- | --- |\n|  | x |", ["A", "B"], [["", "x"]]),
+        ("text before | A | B |\n|---|---|\n| 1 | 2 |", ["A", "B"], [["1", "2"]]),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "k int, text string")
+    got = {r["k"]: r["table"] for r in parse_markdown_table(df).select("k", "table").collect()}
+    for i, (_, header, body) in enumerate(cases):
+        assert (list(got[i]["header"]), [list(x) for x in got[i]["rows"]]) == (header, body)
+    none = spark.createDataFrame([(0, "no table"), (1, None), (2, "a|b")], "k int, text string")
+    assert all(r["table"] is None for r in parse_markdown_table(none).select("table").collect())
+
+
+def test_history_ignores_user_turns(spark):
+    turns = spark.createDataFrame([
+        (1, 0, "user", "| U |\n|---|\n| mine |"), (1, 1, "assistant", "| A |\n|---|\n| x |"),
+        (1, 2, "user", "| V |\n|---|\n| last |")], "conv_id long, turn long, role string, text string")
+    got = [(r["col_name"], r["cell"]) for r in table_from_chat(turns, "History w/ Tables").collect()]
+    assert got == [("A", "x")]
+    assert [r["cell"] for r in table_from_chat(turns, "Markdown Table").collect()] == ["x"]
 
 
 def test_null_conversation_id_is_kept(spark):
