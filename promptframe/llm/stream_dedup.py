@@ -28,7 +28,13 @@ from promptframe.session import scratch_path
 
 from .common import materialise, text_or_empty
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; with many state partitions the space that RocksDB would set aside for each one's
+#: log files (some MB) outgrows the state itself, so nothing is set aside.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 ENTRY = "digest string, id long, locator long"
 
 
@@ -50,18 +56,19 @@ def fold(stream: DataFrame) -> DataFrame:
 
 def run_state(spark: SparkSession, entries_path: str, checkpoint: str) -> None:
     """Fold all files below ``entries_path`` that are new since the last run into the state at ``checkpoint``."""
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_CONF}
+    for key, value in STATE_CONF.items():
+        spark.conf.set(key, value)
     try:
         query = (fold(spark.readStream.schema(ENTRY).parquet(entries_path)).writeStream.outputMode("update")
                  .format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(provider)
-        else:
-            spark.conf.set(provider, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
