@@ -19,12 +19,14 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+import urllib.error
+import urllib.parse
 import urllib.request
 from concurrent.futures import ThreadPoolExecutor
 
 CHAT_CLIENTS: dict[str, type] = {}
 EMBEDDERS: dict[str, type] = {}
-_CACHE: dict[str, object] = {}
+_CACHE: dict[tuple[int, str], object] = {}
 
 
 def chat_client(name):
@@ -42,7 +44,8 @@ def embedder(name):
 
 
 def _build(registry: dict, opts: dict):
-    key = json.dumps(opts, sort_keys=True, default=str)
+    # A chat client and an embedder may have the same options: each registry has its own instances.
+    key = id(registry), json.dumps(opts, sort_keys=True, default=str)
     if key not in _CACHE:
         o = dict(opts)
         kind = o.pop("type")
@@ -135,22 +138,23 @@ class AppendSuffixGenerator:
 
 
 def _post_json(url: str, body: dict, headers: dict, timeout: float, retries: int):
+    """POST with retries of what may pass later: no answer, 408, 429 and 5xx; other answers are final."""
     data = json.dumps(body).encode("utf-8")
-    last = None
     for attempt in range(retries + 1):
         try:
             req = urllib.request.Request(url, data=data, headers={"Content-Type": "application/json", **headers})
             with urllib.request.urlopen(req, timeout=timeout) as r:
                 return json.loads(r.read().decode("utf-8"))
         except Exception as e:  # noqa: BLE001 - retried, then re-raised
-            last = e
+            final = isinstance(e, urllib.error.HTTPError) and e.code < 500 and e.code not in (408, 429)
+            if final or attempt == retries:
+                raise
             time.sleep(min(2 ** attempt, 30))
-    raise last
 
 
 @chat_client("openai")
 class OpenAIChatClient(_ThreadedBatch):
-    """OpenAI-compatible ``/chat/completions`` (also Azure / OpenRouter style gateways).
+    """OpenAI-compatible ``/chat/completions`` (also OpenRouter style gateways).
 
     ``temperature`` 0 is sent as given; options pass through unchanged.
     """
@@ -162,14 +166,36 @@ class OpenAIChatClient(_ThreadedBatch):
         self.model, self.base_url, self.api_key = model, base_url.rstrip("/"), api_key
         self.timeout, self.retries, self.concurrency, self.params = request_timeout, max_retries, concurrency, params
 
+    def endpoint(self):
+        return f"{self.base_url}/chat/completions", {"Authorization": f"Bearer {self.api_key}"} if self.api_key else {}
+
     def invoke(self, messages):
         body = {"model": self.model, "messages": [{"role": self.ROLE.get(m["role"], m["role"]),
                                                    "content": m["content"]} for m in messages], **self.params}
-        headers = {"Authorization": f"Bearer {self.api_key}"} if self.api_key else {}
-        out = _post_json(f"{self.base_url}/chat/completions", body, headers, self.timeout, self.retries)
+        url, headers = self.endpoint()
+        out = _post_json(url, body, headers, self.timeout, self.retries)
         return out["choices"][0]["message"]["content"]
 
 
+def _azure_url(base_url: str, deployment: str, action: str, api_version: str) -> str:
+    quote = urllib.parse.quote
+    return f"{base_url}/openai/deployments/{quote(deployment)}/{action}?api-version={quote(api_version)}"
+
+
+@chat_client("azure-openai")
+class AzureOpenAIChatClient(OpenAIChatClient):
+    """Azure OpenAI chat: the deployment is part of the path, the key goes in an ``api-key`` header."""
+
+    def __init__(self, deployment: str, base_url: str, api_version: str, api_key: str = "", model: str | None = None,
+                 **params):
+        super().__init__(model or deployment, base_url=base_url, api_key=api_key, **params)
+        self.deployment, self.api_version = deployment, api_version
+
+    def endpoint(self):
+        return (_azure_url(self.base_url, self.deployment, "chat/completions", self.api_version),
+                {"api-key": self.api_key})
+
+
 @chat_client("langserve")
 class LangServeClient:
     """Remote runnable: POST ``{url}/batch`` with ``{"inputs": [...]}``."""
@@ -230,13 +256,29 @@ class OpenAIEmbedder:
         self.model, self.base_url, self.api_key = model, base_url.rstrip("/"), api_key
         self.timeout, self.retries = request_timeout, max_retries
 
+    def endpoint(self):
+        return f"{self.base_url}/embeddings", {"Authorization": f"Bearer {self.api_key}"} if self.api_key else {}
+
     def embed(self, texts):
-        headers = {"Authorization": f"Bearer {self.api_key}"} if self.api_key else {}
-        out = _post_json(f"{self.base_url}/embeddings", {"model": self.model, "input": list(texts)}, headers,
-                         self.timeout, self.retries)
+        url, headers = self.endpoint()
+        out = _post_json(url, {"model": self.model, "input": list(texts)}, headers, self.timeout, self.retries)
         return [d["embedding"] for d in sorted(out["data"], key=lambda d: d["index"])]
 
 
+@embedder("azure-openai")
+class AzureOpenAIEmbedder(OpenAIEmbedder):
+    """Azure OpenAI embeddings (see :class:`AzureOpenAIChatClient`)."""
+
+    def __init__(self, deployment: str, base_url: str, api_version: str, api_key: str = "", model: str | None = None,
+                 **params):
+        super().__init__(model or deployment, base_url=base_url, api_key=api_key, **params)
+        self.deployment, self.api_version = deployment, api_version
+
+    def endpoint(self):
+        return (_azure_url(self.base_url, self.deployment, "embeddings", self.api_version),
+                {"api-key": self.api_key})
+
+
 # ------------------------------------------------------------ vector stores
 #
 # A store client takes one batch: ``write(list[dict], key) -> None``, where

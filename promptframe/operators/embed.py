@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package, spread
+from ..session import checkpoint_dir, ship_package, spread
 
 
 def _embed_mapper(key_col, out, opts, batch_size):
@@ -63,6 +63,32 @@ def embed_table(df: DataFrame, key_field: str, value_fields: str | list[str], em
     return emb.select("Vector", *[F.col(f"`{v}`") for v in values])
 
 
+def embed_import(df: DataFrame, key_field: str, value_fields: str | list[str], embedder: dict, client: dict, start=None,
+                 end=None, order_by=None, batch_size: int = 1, shape: str = "records", id_field: str | None = None) -> DataFrame:
+    """Embed the key field of rows ``[start, end)`` and write them to a store, in one call (EMB3).
+
+    Every row is one record, also where texts repeat: the id is the digest of
+    ``id_field`` if one is named, else of the row's number in the embedded table
+    and its vector.  The embedded rows go to a checkpoint before their two uses, the
+    store and the returned records, so the model is called once per batch.  A vector stays on its row, so no
+    count check is needed.  ``shape`` as in ``import_vectors``.
+    """
+    from ..sources.vectorstore import write_vectors
+    from .vectors import vector_records
+
+    values = [v.strip() for v in value_fields.split(",")] if isinstance(value_fields, str) else list(value_fields)
+    carried = list(dict.fromkeys(values + ([id_field] if id_field else [])))
+    checkpoint_dir(df.sparkSession)
+    emb = embed_table(df, key_field, carried, embedder, start, end, order_by, batch_size).checkpoint()
+    if shape == "fields":
+        records = emb.select(F.col("Vector").alias("vector"), *[F.col(f"`{v}`") for v in values])
+    else:
+        own = F.md5(F.col(f"`{id_field}`").cast("string")) if id_field else None
+        records = vector_records(emb, "Vector", id_expr=own, value_fields=values)
+    write_vectors(records, client, batch_size, shape)
+    return records
+
+
 def embed_text(spark, text: str, embedder: dict):
     """One text -> its vector (EMB2), via the same distributed path."""
     df = spark.createDataFrame([(text,)], "text string")

@@ -60,7 +60,7 @@ def _run_batches(items, client, batch_size, on_error, first_index):
                 try:
                     out[i + j] = client.invoke(item)
                 except Exception as e2:  # noqa: BLE001 - recorded per row
-                    out[i + j], status[i + j], error[i + j] = "", "error", f"{type(e2).__name__}: {e2}"[:1000]
+                    out[i + j], status[i + j], error[i + j] = "", "error", f"{type(e2).__name__}: {e2}"
                 elapsed[i + j] = int((time.perf_counter() - t1) * 1000)
     return out, status, error, elapsed
 

@@ -304,13 +304,27 @@ def knn_search(queries: DataFrame, store: DataFrame, k: int = 3, q_id: str = "q_
     return spark.read.parquet(out_path)
 
 
+def with_content(hits: DataFrame, store: DataFrame, s_id: str = "id", columns: tuple[str, ...] = ("text", "metadata")) -> DataFrame:
+    """Search hits with what was found: ``columns`` of the store's records (VEC5, VEC6).
+
+    Joined on the id of the final hits, at most ``k`` rows per query; ids are taken to be
+    unique in the store.  A hit whose record has a null id keeps its rank without content.
+    """
+    found = store.select(F.col(s_id).alias("__found"), *[F.col(f"`{c}`") for c in columns])
+    return hits.join(found, F.col("s_id") == F.col("__found"), "left").drop("__found")
+
+
 def hits_json(hits: DataFrame, pretty: bool = False, q_id: str = "q_id", out: str = "hits") -> DataFrame:
     """Search hits as one JSON list per query, best first (JS2).
 
-    The list per query holds at most ``k`` hits, so the group is bounded.
+    The list per query holds at most ``k`` hits, so the group is bounded.  Hits of
+    ``with_content`` show their text and metadata too.
     ``pretty`` indents the JSON as the reference's display does.
     """
-    items = F.array_sort(F.collect_list(F.struct("rank", F.col("s_id").alias("id"), "score")))
+    shown = [c for c in ("text", "metadata") if c in hits.columns]
+    # Sorted by rank alone: a map cannot be compared.
+    items = F.array_sort(F.collect_list(F.struct("rank", F.col("s_id").alias("id"), "score", *shown)),
+                         lambda a, b: a["rank"] - b["rank"])
     opts = {"pretty": "true"} if pretty else {}
     return hits.groupBy(q_id).agg(F.to_json(items, opts).alias(out))
 

@@ -12,7 +12,7 @@ from ..functions.tokens import TOKEN_PATTERN
 from ..functions.vectors import parse_vector_text, vector_to_text
 from ..operators import vectors as V
 from ..operators.cluster import cluster_vectors, write_back
-from ..operators.embed import embed_rows, embed_table
+from ..operators.embed import embed_import, embed_rows, embed_table
 from ..operators.positional import slice_rows, with_pos
 from ..session import scratch_path, table
 from ..sources.vectorstore import write_vectors
@@ -217,6 +217,46 @@ def q_embed_search(spark, sf_dir):
     return hits.select("q_id", "rank", "s_id", F.round("score", 6).alias("score"))
 
 
+@query("search_content", f"""
+WITH n AS ({_DUCK_UNIT}),
+p AS (SELECT a.vec_id AS q_id, b.vec_id AS s_id,
+        CASE WHEN a.nrm * b.nrm = 0 THEN 0.0 ELSE list_inner_product(a.e, b.e) / (a.nrm * b.nrm) END AS score
+      FROM n a, n b),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, s_id) AS rank FROM p)
+SELECT q_id, CAST(rank AS INTEGER) AS rank, s_id, 'item ' || s_id AS text, CAST(e.label AS VARCHAR) AS label
+FROM r JOIN embeddings e ON e.vec_id = r.s_id WHERE rank <= {K}
+""")
+def q_search_content(spark, sf_dir):
+    """Search hits with the text and the metadata of the records found."""
+    e = table(spark, sf_dir, "embeddings").withColumn("name", F.concat(F.lit("item "), F.col("vec_id").cast("string")))
+    store = V.vector_records(e, "embedding", id_expr=F.col("vec_id"), text_col="name", value_fields=["label"],
+                             carry=["vec_id"])
+    hits = V.knn_search(e.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("vector")), store, k=K,
+                        s_id="vec_id")
+    found = V.with_content(hits, store, "vec_id")
+    return found.select("q_id", "rank", "s_id", "text", F.col("metadata")["label"].alias("label"))
+
+
+@query("embed_import", f"""
+SELECT md5(CAST(d.doc_id AS VARCHAR)) AS id, CAST(d.doc_id AS VARCHAR) AS doc_id, d.lang AS lang, {DIM} AS n_dims,
+       coalesce(h.buckets, 0) AS buckets, h.weight
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS buckets, round(sum(x), 4) AS weight
+                            FROM ({_duck_hashing("SELECT doc_id, text FROM documents", "doc_id")}) GROUP BY doc_id) h
+USING (doc_id)
+""")
+def q_embed_import(spark, sf_dir):
+    """Embed the documents and import them in one call; read back what the store received, repeated texts included."""
+    path = scratch_path(spark, "embed-import")
+    embed_import(table(spark, sf_dir, "documents"), "text", "doc_id, lang", HASHING,
+                 {"type": "jsonl-folder", "path": path}, batch_size=32, id_field="doc_id")
+    got = spark.read.schema("id string, vector array<float>, metadata map<string,string>").json(path)
+    used = F.filter("vector", lambda x: x != 0)
+    weight = F.aggregate(used, F.lit(0.0), lambda total, x: total + x.cast("double"))
+    return got.select("id", F.col("metadata")["doc_id"].alias("doc_id"), F.col("metadata")["lang"].alias("lang"),
+                      F.size("vector").alias("n_dims"), F.size(used).cast("long").alias("buckets"),
+                      F.when(F.size(used) > 0, F.round(weight, 4)).alias("weight"))
+
+
 @query("vec_parse_text", """
 SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, CAST(embedding[i] AS DOUBLE) AS x
 FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)

@@ -83,7 +83,11 @@ class VectorStoreWriter(DataSourceWriter):
 
 
 class VectorStoreDataSource(DataSource):
-    """``format("vectorstore")``: options ``client`` (JSON), ``batchSize``, ``shape``."""
+    """``format("vectorstore")``: options ``clientSecret`` or ``client`` (JSON), ``batchSize``, ``shape``.
+
+    ``write_vectors`` uses ``clientSecret``: the JSON may hold an API key, and Spark blanks out
+    option values whose name says so in plans and event logs.
+    """
 
     @classmethod
     def name(cls):
@@ -99,7 +103,7 @@ class VectorStoreDataSource(DataSource):
         size = int(self.options.get("batchSize", 100))
         if size < 1:
             raise ValueError("batchSize must be >= 1")
-        return VectorStoreWriter(json.loads(self.options["client"]), size, shape, names)
+        return VectorStoreWriter(json.loads(self.options.get("clientSecret") or self.options["client"]), size, shape, names)
 
 
 def register(spark) -> None:
@@ -112,5 +116,5 @@ def write_vectors(df, client: dict, batch_size: int = 100, shape: str = "records
 
     ship_package(df.sparkSession)
     register(df.sparkSession)
-    (df.write.format("vectorstore").mode("append").option("client", json.dumps(client))
+    (df.write.format("vectorstore").mode("append").option("clientSecret", json.dumps(client))
      .option("batchSize", int(batch_size)).option("shape", shape).save())

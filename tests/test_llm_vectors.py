@@ -232,3 +232,70 @@ def test_import_vectors_count_check_writes_nothing(spark):
     V.import_vectors(t, "name", vecs, {"type": "jsonl-folder", "path": path}, start=3, end=5, order_by="k")
     back = {r["vector"][0]: r["metadata"]["name"] for r in spark.read.json(path).collect()}
     assert back == {1.0: "n3", 2.0: "n4"}
+
+
+def test_embed_import_calls_the_model_once_and_keeps_repeated_texts(spark, tmp_path, monkeypatch):
+    from promptframe.operators import embed as E
+
+    calls = spark.sparkContext.accumulator(0)
+    mapper = E._embed_mapper
+
+    def counted(*args):
+        inner = mapper(*args)
+
+        def run(batches):
+            for out in inner(batches):
+                calls.add(len(out))
+                yield out
+        return run
+
+    monkeypatch.setattr(E, "_embed_mapper", counted)
+    df = spark.createDataFrame([(1, "same text"), (2, "same text"), (3, ""), (4, None)], "k int, t string")
+    path = str(tmp_path / "store")
+    records = E.embed_import(df, "t", "k", {"type": "hashing", "dim": 8}, {"type": "jsonl-folder", "path": path})
+    stored = spark.read.schema("id string, vector array<float>, metadata map<string,string>").json(path)
+    got = rows(stored, "id", F.col("metadata")["k"])
+    assert len({r[0] for r in got}) == 4 and sorted(r[1] for r in got) == ["1", "2", "3", "4"]
+    assert got == rows(records, "id", F.col("metadata")["k"])
+    assert calls.value == 4
+
+
+def test_hits_carry_text_and_metadata(spark):
+    store = spark.createDataFrame([("a", [1.0, 0.0], "first", {"n": "1"}), ("b", [0.0, 1.0], None, None)],
+                                  "id string, vector array<float>, text string, metadata map<string,string>")
+    queries = spark.createDataFrame([("q", [1.0, 0.1])], "q_id string, vector array<float>")
+    hits = V.with_content(V.knn_search(queries, store, k=2), store)
+    assert [(r.s_id, r.text, r.metadata) for r in hits.orderBy("rank").collect()] == [("a", "first", {"n": "1"}),
+                                                                                        ("b", None, None)]
+    shown = V.hits_json(hits).first()["hits"]
+    assert '"text":"first"' in shown and '"metadata":{"n":"1"}' in shown
+
+
+def test_azure_requests_and_final_errors(monkeypatch):
+    import urllib.error
+
+    from promptframe.operators import clients as C
+
+    sent = []
+
+    def post(url, body, headers, timeout, retries):
+        sent.append((url, headers))
+        return {"choices": [{"message": {"content": "ok"}}], "data": [{"index": 0, "embedding": [1.0]}]}
+
+    opts = {"deployment": "d1", "base_url": "https://x.example/", "api_version": "2023-05-15", "api_key": "k"}
+    tried = []
+
+    def refuse(req, timeout):
+        tried.append(req.full_url)
+        raise urllib.error.HTTPError(req.full_url, 401, "no", {}, None)
+
+    monkeypatch.setattr(C.urllib.request, "urlopen", refuse)
+    with pytest.raises(urllib.error.HTTPError):
+        C._post_json("https://x.example", {}, {}, 1, 3)
+    assert len(tried) == 1
+    monkeypatch.setattr(C, "_post_json", post)
+    assert C.make_chat_client({"type": "azure-openai", **opts}).invoke([{"role": "human", "content": "hi"}]) == "ok"
+    assert C.make_embedder({"type": "azure-openai", **opts}).embed(["a"]) == [[1.0]]
+    base = "https://x.example/openai/deployments/d1"
+    assert sent == [(f"{base}/chat/completions?api-version=2023-05-15", {"api-key": "k"}),
+                    (f"{base}/embeddings?api-version=2023-05-15", {"api-key": "k"})]
