@@ -1,18 +1,19 @@
 """Operator 3: benchmark decontamination by latent semantic retrieval.
 
 The benchmark's passages are TF-IDF vectors over ``TERMS`` hashed terms; the
-document frequencies come from all documents.  A randomised SVD (Halko,
-Martinsson, Tropp), its products with the passage matrix made by Spark, gives
-``RANK`` latent dimensions.  Every document is searched in windows of ``WINDOW``
-words, half a window apart: a window is folded into the latent space, and passages
-with a cosine of ``COSINE`` or more are candidates.  A candidate counts if the longest
+document frequencies come from all documents.  Every ``INDEX_BLOCK`` passages have a
+latent space of their own by a randomised SVD (Halko, Martinsson, Tropp): its rank is
+doubled from ``RANK`` on until every passage of the block keeps ``ENERGY`` of its squared
+norm.  Every document is searched in windows of ``WINDOW`` words, half a window apart: a
+window is folded into the latent space and normalised there, as the passages are, and
+passages with a cosine of ``COSINE`` or more are candidates.  A candidate counts if the longest
 common subsequence of words, in the window's surroundings, holds ``COVER`` of
 the passage, and if enough of its answer is there in order (``ANSWER``;
 without an answer column the passage's last sentence), so paraphrases that keep most
 words are found and texts on the same matter are not.
 
-What is broadcast is bounded: the projection (``TERMS * RANK``) and the index of the
-passages in blocks of ``INDEX_BLOCK``; a larger benchmark takes more scans.
+What is broadcast is bounded: ``SCAN_BLOCKS`` latent spaces of ``INDEX_BLOCK`` passages,
+over the terms that occur in them; a larger benchmark takes more scans.
 
 Defined results: null or empty texts and passages match nothing; repeated rows
 are judged each; a null id stays null; empty tables give empty results; other columns ride along in
@@ -21,6 +22,8 @@ are judged each; a null id stays null; empty tables give empty results; other co
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +41,12 @@ WINDOW = 32
 PASSAGE = 64
 COSINE = 0.35
 COVER, ANSWER = 0.65, 0.5
-INDEX_BLOCK = 50_000
+#: Share of every passage's squared norm that its latent space keeps, at least.
+ENERGY = 0.95
+#: Passages of one latent space, and latent spaces of one scan.
+INDEX_BLOCK, SCAN_BLOCKS = 256, 8
+#: Candidates checked at a time.
+CHECK = 4096
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -106,58 +114,69 @@ def _weights(raw: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return slot, w / max(np.sqrt((w * w).sum()), 1e-12)
 
 
-def fit_projection(passages: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
-    """The top right singular vectors (TERMS x rank) of the passage matrix, by two distributed products."""
-    spark = passages.sparkSession
-    width = rank + OVERSAMPLE
-    shared_idf = spark.sparkContext.broadcast(idf)
+def fit_projection(weights: list, rank: int = RANK, energy: float = ENERGY, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The slots that occur in the passages, and the top right singular vectors over them (slots x rank).
 
-    def sketch(batches):  # A^T (A omega), the rows of slots that occur
-        omega = np.random.Generator(np.random.PCG64(seed)).standard_normal((TERMS, width)).astype(np.float32)
-        out = np.zeros((TERMS, width))
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                slot, w = _weights(raw, shared_idf.value)
-                out[slot] += w[:, None] * (w @ omega[slot])
-        at = np.flatnonzero(np.abs(out).sum(axis=1))
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(at, pa.int64()),
-                                          "v": pa.array(list(out[at]), pa.list_(pa.float64()))})
-
-    def summed(df: DataFrame, size: int) -> list:
-        each = [F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(size)]
-        return df.groupBy("slot").agg(*each).collect()  # at most TERMS rows
-
-    y = np.zeros((TERMS, width))
-    for r in summed(passages.select("words").mapInArrow(sketch, "slot long, v array<double>"), width):
-        y[r[0]] = r[1:]
-    q, _ = np.linalg.qr(y)
-    shared_q = spark.sparkContext.broadcast(q.astype(np.float32))
-
-    def gram(batches):  # (A Q)^T (A Q)
-        out = np.zeros((width, width))
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                slot, w = _weights(raw, shared_idf.value)
-                c = w @ shared_q.value[slot]
-                out += np.outer(c, c)
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(np.arange(width)),
-                                          "v": pa.array(list(out), pa.list_(pa.float64()))})
-
-    g = np.zeros((width, width))
-    for r in summed(passages.select("words").mapInArrow(gram, "slot long, v array<double>"), width):
-        g[r[0]] = r[1:]
-    values, vectors = np.linalg.eigh(g)
-    top = vectors[:, np.argsort(-values)[:rank]][:, np.sort(-values)[:rank] < -1e-9]
-    return (q @ top).astype(np.float32)
+    ``weights`` are the rows of one block as pairs (slots, values); the rank grows until every row keeps ``energy``.
+    """
+    slots = np.unique(np.concatenate([slot for slot, _ in weights]))
+    matrix = np.zeros((len(weights), len(slots)))
+    for row, (slot, w) in zip(matrix, weights):
+        row[np.searchsorted(slots, slot)] = w
+    norms = (matrix * matrix).sum(axis=1)
+    random = np.random.Generator(np.random.PCG64(seed))
+    while True:
+        width = min(rank + OVERSAMPLE, len(slots))
+        q, _ = np.linalg.qr(matrix.T @ (matrix @ random.standard_normal((len(slots), width))))
+        c = matrix @ q
+        values, vectors = np.linalg.eigh(c.T @ c)
+        order = np.argsort(-values)[:rank]
+        top = vectors[:, order[values[order] > 1e-9]]
+        kept = c @ top
+        if rank >= min(matrix.shape) or ((kept * kept).sum(axis=1) >= energy * norms).all():
+            return slots, q @ top
+        rank *= 2
+
+
+def _space(rows: list, idf: np.ndarray, rank: int, energy: float) -> tuple:
+    """One block of passages as the search needs it; its words are numbered from 1, 0 is any other word."""
+    weights = [_weights(r["words"], idf) for r in rows]
+    slots, folded = fit_projection(weights, rank, energy)
+    at = np.full(TERMS, -1, np.int32)
+    at[slots] = np.arange(len(slots), dtype=np.int32)
+    index = np.stack([w @ folded[at[slot]] for slot, w in weights])
+    index /= np.maximum(np.linalg.norm(index, axis=1, keepdims=True), 1e-9)
+    tokens = [np.frombuffer(r["words"], np.uint64) for r in rows]
+    vocabulary = np.unique(np.concatenate(tokens))
+    has = np.zeros((len(rows), len(vocabulary) + 1), bool)
+    for i, t in enumerate(tokens):
+        has[i, np.searchsorted(vocabulary, t) + 1] = True
+    return (at, (folded * idf[slots][:, None]).astype(np.float32), index.astype(np.float32), vocabulary, has,
+            [r["item_id"] for r in rows], tokens, [r["answer"] for r in rows])
+
+
+def _folded_windows(slot: np.ndarray, at: np.ndarray, folded: np.ndarray, begin: np.ndarray, joined: np.ndarray):
+    """The windows in the latent space, of length one; a window without a known word is zero."""
+    sums = np.zeros((len(begin), folded.shape[1]), np.float32)
+    known = at[slot]
+    use = np.flatnonzero(known >= 0)
+    if len(use):
+        # Sums over half windows of the folded rows of known words; a window is two of them.
+        part = np.searchsorted(begin, use, "right") - 1
+        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        for lo in range(0, len(edge), CHECK):
+            hi = min(lo + CHECK, len(edge))
+            stop = edge[hi] if hi < len(edge) else len(use)
+            sums[part[edge[lo:hi]]] = np.add.reduceat(folded[known[use[edge[lo]:stop]]], edge[lo:hi] - edge[lo])
+        sums[:-1] += np.where(joined[:-1, None], sums[1:], 0)
+    norm = np.sqrt(np.einsum("ij,ij->i", sums, sums))
+    return sums / np.maximum(norm, 1e-9)[:, None]
 
 
 def _search(shared, cosine: float, cover: float, answer: float):
     half = WINDOW // 2
 
     def run(batches):
-        idf, folded, index, items, tokens, tails = shared.value
-        squares = (idf * idf).astype(np.float32)
-        known = np.abs(folded).sum(axis=1) > 0
         for batch in batches:
             out: list[tuple] = []
             for row, flat, starts in text_blocks(batch.column(1)):
@@ -169,34 +188,34 @@ def _search(shared, cosine: float, cover: float, answer: float):
                 steps = -(-size // half)
                 begin = np.concatenate([at[i] + half * np.arange(n) for i, n in enumerate(steps)]).astype(np.int64)
                 doc = np.repeat(np.arange(len(size)), steps)
-                # Sums over half windows of the folded rows of known words; a window is two of them.
-                use = np.flatnonzero(known[slot])
-                part = np.searchsorted(begin, use, "right") - 1
-                sums = np.zeros((len(begin), folded.shape[1]), np.float32)
-                if len(use):
-                    edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                    for lo in range(0, len(edge), 4096):
-                        hi = min(lo + 4096, len(edge))
-                        stop = edge[hi] if hi < len(edge) else len(use)
-                        sums[part[edge[lo:hi]]] = np.add.reduceat(folded[slot[use[edge[lo]:stop]]], edge[lo:hi] - edge[lo])
-                norm = np.add.reduceat(squares[slot], begin)
                 joined = np.concatenate([doc[1:] == doc[:-1], [False]])
-                sums[:-1] += np.where(joined[:-1, None], sums[1:], 0)
-                norm[:-1] += np.where(joined[:-1], norm[1:], 0)
-                near = (sums / np.sqrt(np.maximum(norm, 1e-9))[:, None]) @ index.T
-                w, p = np.nonzero(near >= cosine)
-                for i, j in zip(w.tolist(), p.tolist()):
-                    first, last = int(at[doc[i]]), int(at[doc[i] + 1])
-                    want = tokens[j]
-                    lo = max(first, int(begin[i]) - len(want))
-                    there = h[lo:min(last, int(begin[i]) + WINDOW + len(want))]
-                    share = lcs(want, there) / len(want)
-                    if share < cover:
-                        continue
-                    tail = tails[j]
-                    if tail and lcs(want[len(want) - tail:], there) < answer * tail:
-                        continue
-                    out.append((row + int(doc[i]), items[j], float(near[i, j]), share))
+                for slots, folded, index, vocabulary, has, items, tokens, tails in shared.value:
+                    near = _folded_windows(slot, slots, folded, begin, joined) @ index.T
+                    w, p = np.nonzero(near >= cosine)
+                    length = np.asarray([len(t) for t in tokens])
+                    low = np.maximum(at[doc[w]], begin[w] - length[p])
+                    high = np.minimum(at[doc[w] + 1], begin[w] + WINDOW + length[p])
+                    number = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+                    number = np.where(vocabulary[number] == h, number + 1, 0)
+                    # No subsequence is longer than the words of the surroundings that the passage has at all.
+                    enough = np.zeros(len(w), bool)
+                    span = np.arange(WINDOW + 2 * PASSAGE)
+                    for k in range(0, len(w), CHECK):
+                        c = slice(k, k + CHECK)
+                        place = low[c, None] + span
+                        inside = place < high[c, None]
+                        there = np.where(inside, number[np.minimum(place, len(h) - 1)], 0)
+                        enough[c] = has[p[c, None], there].sum(axis=1) >= cover * length[p[c]] - 1e-9
+                    for k in np.flatnonzero(enough).tolist():
+                        i, j = int(w[k]), int(p[k])
+                        want, there = tokens[j], h[low[k]:high[k]]
+                        share = lcs(want, there) / len(want)
+                        if share < cover:
+                            continue
+                        tail = tails[j]
+                        if tail and lcs(want[len(want) - tail:], there) < answer * tail:
+                            continue
+                        out.append((row + int(doc[i]), items[j], float(near[i, j]), share))
             rows = np.asarray([r[0] for r in out], np.int64)
             yield pa.RecordBatch.from_pydict({
                 "rid": batch.column(0).take(pa.array(rows)), "item_id": pa.array([r[1] for r in out], pa.int64()),
@@ -207,7 +226,7 @@ def _search(shared, cosine: float, cover: float, answer: float):
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                bench_text: str = "text", answer_col: str | None = None, rank: int = RANK, cosine: float = COSINE,
-               cover: float = COVER, answer: float = ANSWER) -> DataFrame:
+               cover: float = COVER, answer: float = ANSWER, energy: float = ENERGY) -> DataFrame:
     """Per document and benchmark item found in it: rid (the row's number), item_id, cosine, lcs_share.
 
     ``docs`` must be a table read from files (its row numbers are then stable).
@@ -217,26 +236,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     given = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
     passages = materialise(
         benchmark.select(F.col(item_col).cast("long"), F.col(bench_text), given.alias("answer"))
-        .mapInArrow(_passages, "item_id long, words binary, answer long")
-        .withColumn("block", (F.monotonically_increasing_id() / INDEX_BLOCK).cast("long")), "bench-passages")
+        .mapInArrow(_passages, "item_id long, words binary, answer long"), "bench-passages")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"))
     schema = "rid long, item_id long, cosine double, lcs_share double"
     idf = document_frequencies(docs, text_col)
-    folded = fit_projection(passages, idf, rank)
     found = spark.createDataFrame([], schema)
-    # A passage block is bounded by INDEX_BLOCK rows of at most PASSAGE words; each is one scan of the documents.
-    for (block,) in passages.select("block").distinct().sort("block").collect():
-        own = passages.where(F.col("block") == block).toArrow().to_pylist()
-        own.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["words"]))
-        index = np.zeros((len(own), folded.shape[1]), np.float32)
-        for i, r in enumerate(own):
-            slot, w = _weights(r["words"], idf)
-            index[i] = w @ folded[slot]
-        index /= np.maximum(np.linalg.norm(index, axis=1, keepdims=True), 1e-9)
-        shared = spark.sparkContext.broadcast((
-            idf, (folded * idf[:, None]).astype(np.float32), index, [r["item_id"] for r in own],
-            [np.frombuffer(r["words"], np.uint64) for r in own], [r["answer"] for r in own]))
-        found = found.union(rows.mapInArrow(_search(shared, cosine, cover, answer), schema))
+    own = passages.sort("item_id", "words", "answer").toLocalIterator()
+    # The spaces of one scan are bounded by SCAN_BLOCKS * INDEX_BLOCK passages of at most PASSAGE words.
+    while spaces := [_space(b, idf, rank, energy)
+                     for _ in range(SCAN_BLOCKS) if (b := list(itertools.islice(own, INDEX_BLOCK)))]:
+        found = found.union(rows.mapInArrow(_search(spark.sparkContext.broadcast(spaces), cosine, cover, answer), schema))
     return found.groupBy("rid", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs_share").alias("lcs_share"))
 
 
