@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptframe.llm import decontaminate, langid, minhash, packing, stream_dedup
-from promptframe.llm.common import materialise
+from promptframe.llm.common import materialise, numbered
 from promptframe.session import table
 
 
@@ -37,8 +37,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = minhash.near_duplicates(docs, size=5).where("first").select(F.col("rid").alias("__rid"))
-    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
-    return numbered.join(kept, "__rid", "left_semi").select(*[docs[c] for c in docs.columns])
+    return numbered(docs, "__rid").join(kept, "__rid", "left_semi").select(*[docs[c] for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

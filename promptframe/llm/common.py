@@ -41,6 +41,22 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs``, a table read from Parquet files, with the rows' numbers in a column ``name``.
+
+    A number is the file's place among the table's paths and the row's place in its file, so every
+    scan gives a row the same one, however the files are split among tasks.
+    """
+    place = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    paths = sorted(r[0] for r in place.select("__file").distinct().collect())  # one row for each file
+    if len(paths) < 2:
+        return place.withColumn(name, F.col("__row")).drop("__file", "__row")
+    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "__place long, __path string")
+    return (place.join(F.broadcast(files), F.col("__file") == F.col("__path"))
+            .withColumn(name, F.shiftleft("__place", 40) + F.col("__row"))
+            .drop("__file", "__row", "__place", "__path"))
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

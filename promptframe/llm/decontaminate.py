@@ -33,7 +33,7 @@ from promptframe.session import ship_package
 
 from .align import lcs
 from .blocks import text_blocks, words
-from .common import materialise
+from .common import materialise, numbered
 
 TERMS = 1 << 15
 RANK, OVERSAMPLE = 128, 8
@@ -229,7 +229,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                cover: float = COVER, answer: float = ANSWER, energy: float = ENERGY) -> DataFrame:
     """Per document and benchmark item found in it: rid (the row's number), item_id, cosine, lcs_share.
 
-    ``docs`` must be a table read from files (its row numbers are then stable).
+    ``docs`` must be a table read from Parquet files (see :func:`numbered`).
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -237,7 +237,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     passages = materialise(
         benchmark.select(F.col(item_col).cast("long"), F.col(bench_text), given.alias("answer"))
         .mapInArrow(_passages, "item_id long, words binary, answer long"), "bench-passages")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"))
+    rows = numbered(docs, "__rid").select(F.col("__rid").alias("rid"), F.col(text_col).alias("text"))
     schema = "rid long, item_id long, cosine double, lcs_share double"
     idf = document_frequencies(docs, text_col)
     found = spark.createDataFrame([], schema)
@@ -251,12 +251,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
 def leaked_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """find_leaks with the documents' ids: doc_id, item_id, cosine, lcs_share."""
-    ids = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"))
+    ids = numbered(docs, "__rid").select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"))
     return find_leaks(docs, benchmark, **options).join(ids, "rid").drop("rid")
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item was found, with all their columns."""
     gone = find_leaks(docs, benchmark, **options).select(F.col("rid").alias("__rid")).distinct()
-    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
-    return numbered.join(gone, "__rid", "left_anti").select(*[docs[c] for c in docs.columns])
+    return numbered(docs, "__rid").join(gone, "__rid", "left_anti").select(*[docs[c] for c in docs.columns])

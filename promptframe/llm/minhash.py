@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from promptframe.session import ship_package
 
 from .blocks import mix, signed, text_blocks, words
-from .common import components, materialise
+from .common import components, materialise, numbered
 
 WORDS = 4
 PERCENT = 80
@@ -200,11 +200,11 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
                     text_col: str = "text") -> DataFrame:
     """Per row: rid (the row's number), doc_id, n_shingles, component_id, kept, first (one row of each component).
 
-    ``docs`` must be a table read from files (its row numbers are then stable).
+    ``docs`` must be a table read from Parquet files (see :func:`numbered`).
     """
     spark = docs.sparkSession
     ship_package(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"),
+    rows = numbered(docs, "__rid").select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).alias("text"))
     marks = materialise(rows.mapInArrow(
         _signatures(size), "rid long, doc_id long, n long, k1 long, k2 long, groups array<long>"), "minhash-marks")

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from promptframe.session import ship_package
 
 from .blocks import byte_prefix_sums, merged, pack, ranges, signed, sliding_min, span_hash, text_blocks, unpack
-from .common import drop_table, materialise
+from .common import drop_table, materialise, numbered
 
 LENGTH = 200
 FIRST = 64
@@ -212,12 +212,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                    with_text: bool = False) -> DataFrame:
     """Per row: rid (the row's number), doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text).
 
-    ``docs`` must be a table read from files (its row numbers are then stable).
+    ``docs`` must be a table read from Parquet files (see :func:`numbered`).
     """
     if length <= FIRST + GRAM + CELL:
         raise ValueError(f"length must be over {FIRST + GRAM + CELL}")
     ship_package(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"),
+    rows = numbered(docs, "__rid").select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).alias("text"))
     texts = rows.select("rid", "text")
     packed = texts.mapInArrow(pack, "rid long, packed binary")
