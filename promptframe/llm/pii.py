@@ -9,8 +9,10 @@ and the spans above them are added.
 
 Training needs no labels: the base matches of a bounded sample of documents
 (``TRAIN_DOCS``, by hash) are rewritten into the looser forms in their own
-context (positives), and other candidates of the same documents, and base matches with
-changed digits, are the negatives.
+context (positives).  Negatives are wrong for certain: cards without their check digit, and in
+the place of the others dates, versions, order numbers, lists of numbers and plain words.  Loose
+candidates of the documents themselves may be right, so they are in neither class; the stated
+precision is against the negatives.
 
 Defined results: a null text is empty and has no span; repeated rows are
 treated alike; with too few base matches to learn from, no span is added;
@@ -103,6 +105,7 @@ _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[({<]? ?(?:at|AT) ?[\])}>]? ?[
                       r"(?: ?(?:[\[({<] ?)?(?:dot|DOT|\.)(?: ?[\])}>])? ?[A-Za-z0-9-]{2,63}){1,3}")
 _SPELLED_CUE = re.compile(r"[\[({< ](?:dot|DOT)[\])}> ]|[\[({<] ?(?:at|AT) ?[\])}>]")
 _NUMBER = re.compile(r"[+(]?[0-9](?:[\x20()./_:\[\]-]{0,3}[0-9]){6,24}")
+_GROUPS = re.compile(r"[0-9]+(?:[\x20()./_:\[\]-]{1,3}[0-9]+){3,}")
 _SECRET = re.compile(r"([A-Za-z_][A-Za-z0-9_.-]{1,40})[\x20\t]?[=:][\x20\t]?[\"']?([A-Za-z0-9+/_=-]{16,200})")
 
 
@@ -120,9 +123,12 @@ def candidates(text: str) -> list[Span]:
             out.append(("card", m.start(), m.end()))
         elif n >= 7:
             out.append(("phone", m.start(), m.end()))
-        groups = _DIGITS.findall(m.group())
-        if len(groups) == 4 and all(map(_small, groups)):
-            out.append(("ip", m.start(), m.end()))
+    for m in _GROUPS.finditer(text):
+        parts = list(_DIGITS.finditer(text, m.start(), m.end()))
+        gaps = [text[a.end():b.start()] for a, b in zip(parts, parts[1:])]
+        for i in range(len(parts) - 3):  # among more than four numbers those with one separator
+            if (len(parts) == 4 or len(set(gaps[i:i + 3])) == 1) and all(_small(p.group()) for p in parts[i:i + 4]):
+                out.append(("ip", parts[i].start(), parts[i + 3].end()))
     out += [("secret", m.start(2), m.end(2)) for m in _SECRET.finditer(text)]
     return sorted(set(out))
 
@@ -181,6 +187,25 @@ def _spoiled(s: str, draw: int) -> str:
     return re.sub("[0-9]", lambda m: str((int(m.group()) * 7 + m.start() * (draw % 5 + 1) + 3) % 10), s)
 
 
+def _wrong(kind: str, s: str, lead: str, draw: int) -> tuple[str, str]:
+    """Text before, and a form that is not of the kind, in the place of a base match."""
+    n = zlib.crc32(f"{draw} {s}".encode("utf-8", "replace"))
+    away = lead[:20] + (" order ", " version ", " chapter ", " total ")[n % 4]  # beyond what speaks of the match
+    day, month, year, clock = n % 28 + 1, n // 28 % 12 + 1, 1990 + n // 336 % 40, f"{n % 24:02}:{n // 24 % 60:02}"
+    if kind == "email":
+        a, b, c = (re.findall("[A-Za-z]{2,}", lead) + ["look", "us", "it"])[:3]
+        return away, f"{a} at {b} dot {c}"
+    if kind == "ip":
+        parts = [str(n // 3 ** i % (30, 256)[i % 2]) for i in range(4)]
+        return (away, lead)[n // 4 % 2], (" ", "/", "-", "_")[n // 8 % 4].join(parts)
+    if kind == "card":
+        return lead, _loosened(kind, _spoiled(s, draw), draw)
+    digits = str(n * 7919 + 10 ** 14)
+    return ((lead, f"{year}-{month:02}-{day:02} {clock}"), (lead, f"{day:02}.{month:02}.{year}"),
+            (lead, f"{n % 20}.{n % 13}.{n % 90000 + 10000}.{n % 9000 + 1000}"), (away, digits[-(7 + n % 9):]),
+            (lead, f"{digits[-3:]}-{digits[:4]}"), (lead, " ".join(digits[-(8 + n % 7):])))[n // 7 % 6]
+
+
 def training_rows(text: str | None) -> list[tuple[str, float, list[float]]]:
     """(kind, label, features) from one document."""
     if not text:
@@ -190,16 +215,15 @@ def training_rows(text: str | None) -> list[tuple[str, float, list[float]]]:
     for kind, s, e in base:
         for wrong in (False, True):
             form = _loosened(kind, text[s:e], draw)
-            if wrong:
-                if kind == "email":
-                    continue
-                form = _spoiled(form, draw)
             lead, tail = text[max(0, s - 60):s], text[e:e + 40]
+            if wrong:
+                lead, form = _wrong(kind, text[s:e], lead, draw)
             snippet = lead + form + tail
             for c in candidates(snippet):
                 if c[0] == kind and c[1] <= len(lead) + 1 and c[2] >= len(lead) + len(form) - 1:
-                    label = 0.0 if wrong and not (kind == "ip" and features(snippet, c)[8]) else 1.0
-                    out.append((kind, label, features(snippet, c)))
+                    x = features(snippet, c)
+                    if not (wrong and kind == "card" and x[7]):  # turned, and yet with a right check digit
+                        out.append((kind, float(not wrong), x))
         draw += 1
     for c in candidates(text):
         if c[0] == "secret":  # a long value given to a name that says so
@@ -207,8 +231,10 @@ def training_rows(text: str | None) -> list[tuple[str, float, list[float]]]:
             named = any(w in text[max(0, c[1] - 44):c[1]].lower() for w in _CUES["secret"])
             mixed = any(x.isdigit() for x in value) and any(x.isalpha() for x in value)
             out.append(("secret", float(named and mixed), features(text, c)))
-        elif not any(k == c[0] and s < c[2] and c[1] < e for k, s, e in base):
-            out.append((c[0], 0.0, features(text, c)))
+        elif c[0] == "card" and not any(s < c[2] and c[1] < e for _, s, e in base):
+            x = features(text, c)
+            if not x[7]:
+                out.append(("card", 0.0, x))
     return out
 
 
