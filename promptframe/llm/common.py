@@ -63,24 +63,27 @@ def text_or_empty(col: str = "text"):
 
 def number(df: DataFrame, group: str, order: list[str], spread: str, name: str,
            rows_per_task: int = NUMBER_ROWS) -> DataFrame:
-    """Gapless numbers from 0 within each ``group``, without one window per group.
+    """Gapless numbers from 0 within each ``group``, without one window per large group.
 
-    A group is cut into buckets by the 64-bit hash in ``spread`` (a stored
-    column, so that every reading sees the same one); a bucket's offset is the
-    sum of the buckets before it, from a table of one row per (group, bucket),
-    whose size follows ``rows / rows_per_task``.
+    A group of more than ``rows_per_task`` rows is cut into buckets by the 64-bit hash in
+    ``spread`` (a stored column, so that every reading sees the same one); a bucket's offset is the sum of
+    the buckets before it.  The tables of large groups and of their buckets have at most
+    ``2 * rows / rows_per_task`` rows, however many groups there are; other groups need none.
     """
-    buckets = max(1, -(-df.count() // rows_per_task))
-    df = df.withColumn("__part", F.pmod(F.col(spread), F.lit(buckets)))
-    sizes = df.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    large = (df.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+             .where(F.col("__n") > rows_per_task)
+             .select("__g", F.ceil(F.col("__n") / rows_per_task).alias("__buckets")))
+    part = F.when(F.col("__buckets").isNull(), F.lit(0)).otherwise(F.pmod(F.col(spread), F.col("__buckets")))
+    df = df.join(F.broadcast(large), F.col(group).eqNullSafe(F.col("__g")), "left").withColumn("__part", part)
+    sizes = df.where(F.col("__buckets").isNotNull()).groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col(group).alias("__g"), F.col("__part").alias("__p"),
-                          F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    starts = sizes.select(F.col(group).alias("__h"), F.col("__part").alias("__p"),
+                          F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start_at"))
     within = Window.partitionBy(group, "__part").orderBy(*order, spread)
     ranked = df.withColumn("__rank", F.row_number().over(within) - 1)
-    return (ranked.join(starts, (F.col(group) == F.col("__g")) & (F.col("__part") == F.col("__p")))
-            .withColumn(name, (F.col("__start") + F.col("__rank")).cast("long"))
-            .drop("__part", "__rank", "__g", "__p", "__start"))
+    return (ranked.join(F.broadcast(starts), F.col(group).eqNullSafe(F.col("__h")) & (F.col("__part") == F.col("__p")), "left")
+            .withColumn(name, (F.coalesce("__start_at", F.lit(0)) + F.col("__rank")).cast("long"))
+            .drop("__part", "__rank", "__g", "__buckets", "__h", "__p", "__start_at"))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
