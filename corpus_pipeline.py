@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptframe.llm import decontaminate, langid, minhash, packing, stream_dedup
-from promptframe.llm.common import materialise, numbered
+from promptframe.llm.common import materialise, quoted, with_rows
 from promptframe.session import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = langid.fit(docs)
     # The predictions get columns beside the documents' own, whatever those are called.
-    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    own = [F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)]
     text = f"c{docs.columns.index('text')}"
     kept = langid.predict_languages(docs.select(*own), profiles, text).where(F.col("lang_pred") != langid.UNKNOWN)
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
@@ -36,8 +36,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = minhash.near_duplicates(docs, size=5).where("first").select(F.col("rid").alias("__rid"))
-    return numbered(docs, "__rid").join(kept, "__rid", "left_semi").select(*[docs[c] for c in docs.columns])
+    return with_rows(docs, minhash.near_duplicates(docs, size=5).where("first"), "rid", "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

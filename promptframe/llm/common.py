@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptframe.session import scratch_path, table
@@ -41,20 +41,38 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs``, a table read from Parquet files, with the rows' numbers in a column ``name``.
+def numbered(docs: DataFrame, name: str, **columns: Column) -> DataFrame:
+    """``columns`` of ``docs``, a table read from Parquet files, after the rows' numbers in a column ``name``.
 
-    A number is the file's place among the table's paths and the row's place in its file, so every
-    scan gives a row the same one, however the files are split among tasks.
+    A number is the file's place among the table's files and the row's place in its file, so every
+    scan gives a row the same one, however the files are split among tasks.  Only what is asked for is
+    selected, under the names given here, so the table's own names (``_metadata`` included) cannot clash.
+    Files are told apart by a hash of their path: the driver gets 8 bytes a file.
     """
-    place = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    paths = sorted(r[0] for r in place.select("__file").distinct().collect())  # one row for each file
-    if len(paths) < 2:
-        return place.withColumn(name, F.col("__row")).drop("__file", "__row")
-    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "__place long, __path string")
-    return (place.join(F.broadcast(files), F.col("__file") == F.col("__path"))
-            .withColumn(name, F.shiftleft("__place", 40) + F.col("__row"))
-            .drop("__file", "__row", "__place", "__path"))
+    meta = docs.metadataColumn("_metadata")
+    place = docs.select(F.xxhash64(meta["file_path"]).alias("__file"), meta["row_index"].alias("__row"),
+                        *[c.alias(n) for n, c in columns.items()])
+    files = docs.select(F.xxhash64(meta["file_path"]).alias("__file"), meta["file_path"].alias("__path"))
+    found = files.groupBy("__file").agg(F.min("__path") != F.max("__path")).collect()  # one row for each file
+    if any(r[1] for r in found):
+        raise ValueError("two files of the table have one hash")
+    if len(found) < 2:
+        return place.select(F.col("__row").alias(name), *columns)
+    places = docs.sparkSession.createDataFrame(list(enumerate(sorted(r[0] for r in found))), "__place long, __hash long")
+    return (place.join(F.broadcast(places), F.col("__file") == F.col("__hash"))
+            .select((F.shiftleft("__place", 40) + F.col("__row")).alias(name), *columns))
+
+
+def with_rows(docs: DataFrame, rows: DataFrame, number: str, how: str) -> DataFrame:
+    """The rows of ``docs`` whose number is (``left_semi``) or is not (``left_anti``) in ``rows``, columns unchanged."""
+    own = {f"c{i}": F.col(quoted(c)) for i, c in enumerate(docs.columns)}
+    kept = numbered(docs, "__number", **own).join(rows.select(F.col(number).alias("__number")), "__number", how)
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def quoted(name: str) -> str:
+    """A column's name as a plain name, dots and backquotes included."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def text_or_empty(col: str = "text"):

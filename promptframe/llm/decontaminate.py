@@ -33,7 +33,7 @@ from promptframe.session import ship_package
 
 from .align import lcs
 from .blocks import text_blocks, words
-from .common import materialise, numbered
+from .common import materialise, numbered, quoted, with_rows
 
 TERMS = 1 << 15
 RANK, OVERSAMPLE = 128, 8
@@ -69,7 +69,7 @@ def _frequencies(batches):
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Inverse document frequency by slot, over all documents (at most TERMS + 1 rows reach the driver)."""
-    rows = (docs.select(text_col).mapInArrow(_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect())
+    rows = (docs.select(F.col(quoted(text_col))).mapInArrow(_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect())
     counts, total = np.zeros(TERMS), 0
     for slot, n in rows:
         if slot < 0:
@@ -237,7 +237,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     passages = materialise(
         benchmark.select(F.col(item_col).cast("long"), F.col(bench_text), given.alias("answer"))
         .mapInArrow(_passages, "item_id long, words binary, answer long"), "bench-passages")
-    rows = numbered(docs, "__rid").select(F.col("__rid").alias("rid"), F.col(text_col).alias("text"))
+    rows = numbered(docs, "rid", text=F.col(quoted(text_col)))
     schema = "rid long, item_id long, cosine double, lcs_share double"
     idf = document_frequencies(docs, text_col)
     found = spark.createDataFrame([], schema)
@@ -251,11 +251,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
 def leaked_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """find_leaks with the documents' ids: doc_id, item_id, cosine, lcs_share."""
-    ids = numbered(docs, "__rid").select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"))
+    ids = numbered(docs, "rid", doc_id=F.col(quoted(id_col)).cast("long"))
     return find_leaks(docs, benchmark, **options).join(ids, "rid").drop("rid")
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item was found, with all their columns."""
-    gone = find_leaks(docs, benchmark, **options).select(F.col("rid").alias("__rid")).distinct()
-    return numbered(docs, "__rid").join(gone, "__rid", "left_anti").select(*[docs[c] for c in docs.columns])
+    return with_rows(docs, find_leaks(docs, benchmark, **options).select("rid").distinct(), "rid", "left_anti")

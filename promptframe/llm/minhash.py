@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from promptframe.session import ship_package
 
 from .blocks import mix, signed, text_blocks, words
-from .common import components, materialise, numbered
+from .common import components, materialise, numbered, quoted
 
 WORDS = 4
 PERCENT = 80
@@ -204,8 +204,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     """
     spark = docs.sparkSession
     ship_package(spark)
-    rows = numbered(docs, "__rid").select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"),
-                       F.col(text_col).alias("text"))
+    rows = numbered(docs, "rid", doc_id=F.col(quoted(id_col)).cast("long"), text=F.col(quoted(text_col)))
     marks = materialise(rows.mapInArrow(
         _signatures(size), "rid long, doc_id long, n long, k1 long, k2 long, groups array<long>"), "minhash-marks")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from promptframe.session import scratch_path
 
-from .common import materialise, numbered, text_or_empty
+from .common import materialise, numbered, quoted, text_or_empty, with_rows
 
 #: State on disk; with many state partitions the space that RocksDB would set aside for each one's
 #: log files (some MB) outgrows the state itself, so nothing is set aside.
@@ -43,9 +43,8 @@ def arrivals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     ``docs`` must be a table read from Parquet files (see :func:`numbered`).
     """
-    return numbered(docs, "__locator").select(F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("digest"),
-                                              F.col(id_col).cast("long").alias("id"),
-                                              F.col("__locator").alias("locator"))
+    own = {"digest": F.sha2(text_or_empty(quoted(text_col)).cast("binary"), 256), "id": F.col(quoted(id_col)).cast("long")}
+    return numbered(docs, "locator", **own).select("digest", "id", "locator")
 
 
 def fold(stream: DataFrame) -> DataFrame:
@@ -96,7 +95,7 @@ def dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = materialise(seen.join(state, "digest"), "dedup-found")
     hits = found.where("group_size > 1")
     # Full bytes: each hit's text against the retained one's.  All texts are shuffled once; after that only hits.
-    texts = numbered(docs, "__locator").select(F.col("__locator").alias("locator"), text_or_empty(text_col).alias("__text"))
+    texts = numbered(docs, "locator", __text=text_or_empty(quoted(text_col)))
     hits = materialise(hits.join(texts, "locator"), "dedup-hits")
     retained = hits.where("locator = keep_locator").select("keep_locator", F.col("__text").alias("__kept"))
     compared = hits.join(retained, "keep_locator").withColumn("__same", F.col("__text") == F.col("__kept"))
@@ -125,5 +124,4 @@ def regroup(found: DataFrame, compared: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = dedup_decisions(docs, id_col, text_col).where("kept").select(F.col("locator").alias("__locator"))
-    return numbered(docs, "__locator").join(kept, "__locator", "left_semi").select(*[docs[c] for c in docs.columns])
+    return with_rows(docs, dedup_decisions(docs, id_col, text_col).where("kept"), "locator", "left_semi")

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from promptframe.session import ship_package
 
 from .blocks import byte_prefix_sums, merged, pack, ranges, signed, sliding_min, span_hash, text_blocks, unpack
-from .common import drop_table, materialise, numbered
+from .common import drop_table, materialise, numbered, quoted
 
 LENGTH = 200
 FIRST = 64
@@ -217,8 +217,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     if length <= FIRST + GRAM + CELL:
         raise ValueError(f"length must be over {FIRST + GRAM + CELL}")
     ship_package(docs.sparkSession)
-    rows = numbered(docs, "__rid").select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"),
-                       F.col(text_col).alias("text"))
+    rows = numbered(docs, "rid", doc_id=F.col(quoted(id_col)).cast("long"), text=F.col(quoted(text_col)))
     texts = rows.select("rid", "text")
     packed = texts.mapInArrow(pack, "rid long, packed binary")
 

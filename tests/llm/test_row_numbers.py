@@ -7,6 +7,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from promptframe.llm import chaining, decontaminate, minhash, stream_dedup, suffix
@@ -36,7 +37,7 @@ def test_numbers_do_not_depend_on_splits(spark, docs):
     seen = []
     for k in (0, 1):
         _split(spark, k)
-        seen.append({r["doc_id"]: r["n"] for r in numbered(docs, "n").collect()})
+        seen.append({r["doc_id"]: r["n"] for r in numbered(docs, "n", doc_id=F.col("doc_id")).collect()})
     assert seen[0] == seen[1] and len(set(seen[0].values())) == 65
 
 
