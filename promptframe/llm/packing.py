@@ -271,13 +271,17 @@ def cut_documents(docs: DataFrame, cap: int = CAP, tokenizer_path: str | None =
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
-    """``x >= 0`` that minimises ``|a x - b|``, by active sets."""
+    """``x >= 0`` that minimises ``|a x - b|``, by active sets.
+
+    ``a`` is wide (thousands of patterns, some hundred bins): gradients go by the residual and only the
+    active columns' products are formed, so no matrix of patterns by patterns exists.
+    """
     n = a.shape[1]
     x, active = np.zeros(n), np.zeros(n, bool)
-    gram, proj = a.T @ a, a.T @ b
-    tolerance = 1e-9 * max(1.0, float(np.abs(proj).max(initial=0)))
+    tolerance = 1e-9 * max(1.0, float(np.abs(b @ a).max(initial=0)))
     for _ in range(rounds or 4 * a.shape[0]):
-        gain = proj - gram @ x
+        at = np.flatnonzero(active)
+        gain = (b - a[:, at] @ x[at]) @ a
         gain[active] = -np.inf
         j = int(np.argmax(gain))
         if gain[j] <= tolerance:
@@ -285,7 +289,8 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
         active[j] = True
         while True:
             at = np.flatnonzero(active)
-            z = np.linalg.lstsq(gram[np.ix_(at, at)], proj[at], rcond=1e-12)[0]
+            some = a[:, at]
+            z = np.linalg.lstsq(some.T @ some, some.T @ b, rcond=1e-12)[0]
             if (z > 0).all():
                 x[:] = 0
                 x[at] = z
