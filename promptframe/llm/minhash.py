@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from promptframe.session import ship_package
 
-from .blocks import mix, signed, text_blocks, words
+from .blocks import mix, ranges, signed, text_blocks, words
 from .common import components, materialise, numbered, quoted
 
 WORDS = 4
@@ -46,6 +46,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 SKETCH = 1 << 18
 #: Bits of the parity bitmap that bounds two sets' difference from below.
 PARITIES = 1024
+#: A pair that shares one of so many shingles just before another common one has met there already.
+BEFORE = 8
 
 
 def shingle_sets(column: pa.Array, size: int):
@@ -156,12 +158,14 @@ def _prefix_pairs(open_docs: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
     def prefixes(batches):
         for batch in batches:
-            rid, label, n, at, token, bits = [], [], [], [], [], []
+            rid, label, n, at, token, bits, before, known = [], [], [], [], [], [], [], []
             for r, c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 s = np.frombuffer(s.as_buffer(), np.uint64)
                 s = s[np.lexsort((s, shared.value[(s & mask).astype(np.int64)]))]
                 size = len(s) - -(-percent * len(s) // 100) + 1
                 token.append(signed(s[:size].copy()))
+                known.append(np.minimum(np.arange(size), BEFORE))
+                before.append(token[-1][ranges(np.arange(size) - known[-1], known[-1])])
                 rid += [r] * size
                 label += [c] * size
                 n += [len(s)] * size
@@ -170,10 +174,13 @@ def _prefix_pairs(open_docs: DataFrame, sets: DataFrame, percent: int) -> DataFr
             yield pa.RecordBatch.from_pydict({
                 "rid": pa.array(rid, pa.int64()), "label": pa.array(label, pa.int64()), "n": pa.array(n, pa.int64()),
                 "at": pa.array(at, pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64())),
+                "before": pa.ListArray.from_arrays(
+                    np.concatenate([[0], *known]).cumsum().astype(np.int32),
+                    np.concatenate(before) if before else np.zeros(0, np.int64)),
                 "token": pa.array(np.concatenate(token) if token else np.zeros(0, np.int64))})
 
     index = materialise(rows.select("rid", "label", "shingles").mapInArrow(
-        prefixes, "rid long, label long, n long, at long, bits array<long>, token long"), "minhash-prefix")
+        prefixes, "rid long, label long, n long, at long, bits array<long>, before array<long>, token long"), "minhash-prefix")
     mixed = index.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     index = index.join(mixed.select("token"), "token")
     x, y = index.alias("x"), index.alias("y")
@@ -185,7 +192,9 @@ def _prefix_pairs(open_docs: DataFrame, sets: DataFrame, percent: int) -> DataFr
                 F.lit(0))
     near = ((F.col("x.label") < F.col("y.label"))
             & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most))
-            & (flips * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n"))))
+            & (flips * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n")))
+            # A pair that shares one of the shingles just before meets there: similar ones meet at their first common one.
+            & ~F.arrays_overlap(F.col("x.before"), F.col("y.before")))
     return (x.join(y, (F.col("x.token") == F.col("y.token")) & near)
             .select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct())
 
