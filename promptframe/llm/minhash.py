@@ -9,7 +9,8 @@ probability ``(1 - (1 - 0.8**ROWS)**GROUPS)**2 = 0.9994``, and most share many.
 1. Rows with the same shingle set are one class; its first row stands for it.
 2. In every table each bucket links its members to its pivot, the first in one
    order of all rows (a star, never all pairs), and each link is confirmed on the full
-   sets; after the first tables, only links across components are looked at.
+   sets; after the first tables, only links across components are looked at, and buckets
+   still in several components get other pivots for a few turns.
 3. Buckets whose members besides the pivot are still in several components are not
    given up: those meet in an exact prefix join.  With the shingles in one global
    order (rare ones first, by a sketch of fixed size; any order is exact), two sets
@@ -46,6 +47,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 SKETCH = 1 << 18
 #: Bits of the parity bitmap that bounds two sets' difference from below.
 PARITIES = 1024
+#: Orders that give the buckets still in several components another pivot.
+TURNS = 4
 #: A pair that shares one of so many shingles just before another common one has met there already.
 BEFORE = 8
 
@@ -246,7 +249,21 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     edges = edges.union(rest)
     labels = components(edges)
 
-    # A bucket's pivot has met all its members; what is left are pairs of other members across components.
+    # Further pivots in other orders, for buckets still in several components: each links most of what is left across.
+    for turn in range(1, TURNS + 1):
+        own = _labelled(members.select("key", "rid"), "rid", labels)
+        pivots = (own.groupBy("key").agg(F.min("rid_label").alias("lo"), F.max("rid_label").alias("hi"),
+                                         F.min(F.struct(F.xxhash64(F.lit(turn), "rid").alias("h"), "rid",
+                                                        F.col("rid_label").alias("label"))).alias("p"))
+                  .where("lo < hi").select("key", F.col("p.rid").alias("pivot"), F.col("p.label").alias("pivot_label")))
+        across = own.join(pivots, "key").where("rid_label != pivot_label")
+        found = materialise(_confirm(stars(across), sets, percent), "minhash-edges")
+        if found.isEmpty():
+            break
+        edges = edges.union(found)
+        labels = components(edges)
+
+    # A bucket's first pivot has met all its members; what is left are pairs of other members across components.
     others = materialise(_labelled(members.where("rid != pivot").select("key", "rid"), "rid", labels),
                          "minhash-others")
     several = (others.groupBy("key").agg(F.min("rid_label").alias("lo"), F.max("rid_label").alias("hi"))
