@@ -1,12 +1,12 @@
 """Clustering of vector rows (CLU1-CLU3).
 
 The reference runs scikit-learn spectral clustering (RBF affinity, gamma 1)
-on one machine.  The distributed counterpart is Spark ML's Power Iteration
+on one machine.  ``method='spectral'`` is its distributed counterpart over the full affinity, linear in the
+rows (see ``spectral``).  ``method='pic'`` is Spark ML's Power Iteration
 Clustering, a spectral method on a sparse affinity graph: each vector is
 linked to its ``n_neighbors`` nearest vectors (exact kNN, see
 ``vectors.knn_search``) with weight ``exp(-gamma * |x - y|^2)``, each
-undirected edge fed once.  ``method='kmeans'`` uses Spark ML KMeans instead
-(the scalable choice for very large tables).  Labels cannot equal
+undirected edge fed once.  ``method='kmeans'`` uses Spark ML KMeans instead.  Labels cannot equal
 scikit-learn's number for number; they are deterministic for a given input
 (the graph's split is fixed by its size, and clusters are numbered by their smallest member id).
 """
@@ -18,6 +18,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spectral import LANDMARKS, spectral_clusters
+
 # Edges per partition of the affinity graph handed to Power Iteration Clustering.
 EDGES_PER_PARTITION = 4_000_000
 
@@ -27,11 +29,11 @@ class ClusterGuard(Exception):
 
 
 def cluster_vectors(df: DataFrame, id_col: str, vec_col: str, clusters: int = 10, label_base: int = 0,
-                    method: str = "pic", n_neighbors: int = 10, gamma: float = 1.0, max_iter: int = 20,
-                    seed: int = 0, out: str = "Cluster") -> DataFrame:
+                    method: str = "spectral", n_neighbors: int = 10, gamma: float = 1.0, max_iter: int = 20,
+                    seed: int = 0, out: str = "Cluster", landmarks: int = LANDMARKS) -> DataFrame:
     """``id, out`` with labels in ``[label_base, label_base + clusters)``.
 
-    ``id_col`` must be an integer key for ``method='pic'``.
+    ``id_col`` must be an integer key.  A row without a vector gets a null label.
     Raises ``ClusterGuard`` for <= 1 row or fewer rows than clusters (CLU2).
     """
     n = df.count()
@@ -48,8 +50,12 @@ def cluster_vectors(df: DataFrame, id_col: str, vec_col: str, clusters: int = 10
         model = KMeans(k=clusters, seed=seed, maxIter=max_iter).fit(feats)
         assigned = model.transform(feats).select("id", F.col("prediction").alias("cluster"))
         return _numbered(assigned, assigned.select("id"), id_col, label_base, out)
+    if method == "spectral":
+        every = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vector"))
+        assigned = spectral_clusters(every.where("vector is not null"), clusters, gamma, landmarks, seed)
+        return _numbered(assigned, every.select("id"), id_col, label_base, out)
     if method != "pic":
-        raise ValueError("method must be 'pic' or 'kmeans'")
+        raise ValueError("method must be 'spectral', 'pic' or 'kmeans'")
     from pyspark.ml.clustering import PowerIterationClustering
 
     from .vectors import knn_search
@@ -109,7 +115,7 @@ def write_back(df: DataFrame, labels: DataFrame, start: int, end: int, field: st
 
 def cluster_table(df: DataFrame, vectors: DataFrame | None, vec_col: str = "vector", field: str = "Cluster",
                   clusters: int = 10, label_base: int = 0, start: int = 0, end: int | None = None,
-                  recreate: bool = False, order_by=None, vec_order=None, method: str = "pic", **options) -> DataFrame:
+                  recreate: bool = False, order_by=None, vec_order=None, method: str = "spectral", **options) -> DataFrame:
     """Cluster a vector table and write the labels into rows ``[start, end)`` of ``df`` (CLU1-CLU3 in one call).
 
     Guards, in the reference's order, raise ``ClusterGuard`` (the caller keeps
@@ -118,7 +124,7 @@ def cluster_table(df: DataFrame, vectors: DataFrame | None, vec_col: str = "vect
     Vectors are numbered by ``vec_order`` (default: the ``pos`` column that
     ``format("npy")`` gives, else their input order); vector ``i`` labels row
     ``start + i`` of ``df`` under ``order_by``.  ``options`` go to
-    ``cluster_vectors`` (``n_neighbors``, ``gamma``, ``max_iter``, ``seed``).
+    ``cluster_vectors`` (``gamma``, ``landmarks``, ``n_neighbors``, ``max_iter``, ``seed``).
     """
     from .positional import with_pos
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import TOKEN_PATTERN
 from ..functions.vectors import parse_vector_text, vector_to_text
 from ..operators import vectors as V
-from ..operators.cluster import cluster_vectors, write_back
+from ..operators.cluster import ClusterGuard, cluster_vectors, write_back
 from ..operators.embed import embed_import, embed_rows, embed_table
 from ..operators.positional import slice_rows, with_pos
 from ..session import scratch_path, table
@@ -271,7 +271,65 @@ def q_vec_parse_text(spark, sf_dir):
 @query("cluster_rows")
 def q_cluster_rows(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return cluster_vectors(e, "vec_id", "embedding", clusters=10, label_base=0, method="pic", n_neighbors=10)
+    return cluster_vectors(e, "vec_id", "embedding", clusters=10, label_base=0)
+
+
+@query("cluster_summary", """
+SELECT count(*) AS rows, count(*) AS labelled, least(10, count(*)) AS clusters, 0 AS least_label, 9 AS greatest_label,
+       true AS numbered_by_first_member, min(vec_id) AS first_member FROM embeddings
+""")
+def q_cluster_summary(spark, sf_dir):
+    """What holds of any clustering of the table: every row has a label, all are used, numbered by their first member."""
+    labels = q_cluster_rows(spark, sf_dir)
+    first = labels.groupBy("Cluster").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("Cluster", "first", "n")))  # one entry a cluster
+    return first.agg(ordered.alias("c")).select(
+        F.aggregate("c", F.lit(0).cast("long"), lambda t, c: t + c["n"]).alias("rows"),
+        F.aggregate("c", F.lit(0).cast("long"), lambda t, c: t + F.when(c["Cluster"].isNotNull(), c["n"]).otherwise(F.lit(0))
+                    ).alias("labelled"),
+        F.size("c").cast("long").alias("clusters"), F.array_min(F.transform("c", lambda c: c["Cluster"])).alias("least_label"),
+        F.array_max(F.transform("c", lambda c: c["Cluster"])).alias("greatest_label"),
+        (F.array_sort(F.transform("c", lambda c: c["first"])) == F.transform("c", lambda c: c["first"]))
+        .alias("numbered_by_first_member"), F.array_min(F.transform("c", lambda c: c["first"])).alias("first_member"))
+
+
+@query("cluster_groups", """
+SELECT vec_id, CAST(5 + dense_rank() OVER (ORDER BY first) - 1 AS INTEGER) AS "Cluster"
+FROM (SELECT vec_id, min(vec_id) OVER (PARTITION BY label) AS first FROM embeddings)
+""")
+def q_cluster_groups(spark, sf_dir):
+    """Every label's vectors moved to a corner of their own: the clusters are the labels."""
+    corner = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == F.col("label"), 4.0).otherwise(0.0))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(
+        corner, F.transform("embedding", lambda x: x.cast("double"))).alias("vector"))
+    return cluster_vectors(e, "vec_id", "vector", clusters=10, label_base=5, landmarks=200)
+
+
+@query("cluster_guards", """
+SELECT 'one row' AS given, 'Input dataframe or embeddings file is empty' AS refused
+UNION ALL SELECT 'fewer rows than clusters', 'The number of clusters should be less than the number of data points'
+UNION ALL SELECT 'labels of another count', 'The number of vectors and data points should be the same'
+UNION ALL SELECT 'rows ' || count(*), NULL FROM embeddings
+""")
+def q_cluster_guards(spark, sf_dir):
+    """The guards in order (CLU2), each on the embeddings table, and the call that passes them."""
+    e = table(spark, sf_dir, "embeddings")
+    n = e.count()
+    one = e.where(F.col("vec_id") == e.agg(F.min("vec_id")).first()[0])
+    few = e.where(F.col("vec_id") < e.agg(F.min("vec_id")).first()[0] + 5)
+    out = []
+    for given, call in (("one row", lambda: cluster_vectors(one, "vec_id", "embedding")),
+                        ("fewer rows than clusters", lambda: cluster_vectors(few, "vec_id", "embedding")),
+                        ("labels of another count", lambda: write_back(e, e.select(
+                            F.col("vec_id").alias("pos"), "label"), 0, n + 1, "Cluster", order_by="vec_id")),
+                        (f"rows {n}", lambda: write_back(e, e.select(F.col("vec_id").alias("pos"), "label"), 0, n, "Cluster",
+                                                         order_by="vec_id"))):
+        try:
+            call()
+            out.append((given, None))
+        except ClusterGuard as refused:
+            out.append((given, str(refused)))
+    return spark.createDataFrame(out, "given string, refused string")
 
 
 WB_START, WB_END = 100, 400
