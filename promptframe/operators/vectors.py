@@ -15,8 +15,9 @@ side, broadcast after a size check:
   and a final ``row_number() <= k`` per query sees at most ``k`` rows per task;
 * else the table fits: broadcast the table, stream the queries; every task
   emits final answers, no shuffle at all;
-* else: the queries are processed in broadcast-sized chunks, one job each,
-  appended to a table in the shared checkpoint folder (same exact result).
+* else: tiles of both sides meet in one lazy join (``ivf.knn_tiled``, same exact result).
+
+Approximate search over an inverted file is in ``ivf``.
 
 No pair set is ever materialised: rows leave a task only as top-k.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir, scratch_path, ship_package, spread
+from ..session import checkpoint_dir, ship_package, spread
 
 # Bytes of float64 matrix allowed in one broadcast (checked before collecting).
 BROADCAST_LIMIT_BYTES = 256 << 20
@@ -277,31 +278,12 @@ def knn_search(queries: DataFrame, store: DataFrame, k: int = 3, q_id: str = "q_
                                                     (types[1], types[0])), out_schema)
         # Every task holds whole queries: its ranks are final, no shuffle.
         return part.select("q_id", "rank", "s_id", "score")
-    # Both sides large: chunk the queries; each chunk is one exact pass.  The
-    # query side stays persisted until every chunk has been collected.
-    chunk_rows = max(1, broadcast_limit // (max(dim, 1) * 8))
-    n_chunks = -(-nq // chunk_rows)
-    from .positional import _keyable, _keyed_plan, _keyed_pos, with_pos
-
-    if _keyable(q, [q_id]):
-        plan = _keyed_plan(q, [q_id], None)
-
-        def chunk(c):
-            return _keyed_pos(q, [q_id], "__qpos", plan, (c * chunk_rows, (c + 1) * chunk_rows))
-    else:
-        staged = with_pos(q, None, "__qpos")
-
-        def chunk(c):
-            return staged.where((F.col("__qpos") >= c * chunk_rows) & (F.col("__qpos") < (c + 1) * chunk_rows))
-    out_path = scratch_path(spark, "knn")
-    for c in range(n_chunks):
-        bc = spark.sparkContext.broadcast(_collect_side(chunk(c), q_id, q_vec))
-        part = spread(s).mapInPandas(_stream_mapper(bc, s_id, s_vec, k, metric, gamma, exclude_self, False, types),
-                                     out_schema)
-        finish(part).write.mode("append").parquet(out_path)
-        bc.unpersist()
+    # Both sides large: tiles of both meet in one lazy join.
     q.unpersist()
-    return spark.read.parquet(out_path)
+    from .ivf import knn_tiled
+
+    return knn_tiled(queries, s, k, q_id, q_vec, s_id, s_vec, metric, gamma, exclude_self, ns,
+                     max(1, broadcast_limit // (max(dim, 1) * 8)))
 
 
 def with_content(hits: DataFrame, store: DataFrame, s_id: str = "id", columns: tuple[str, ...] = ("text", "metadata")) -> DataFrame:

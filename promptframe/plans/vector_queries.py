@@ -12,11 +12,12 @@ from ..functions.tokens import TOKEN_PATTERN
 from ..functions.vectors import parse_vector_text, vector_to_text
 from ..operators import vectors as V
 from ..operators.cluster import ClusterGuard, cluster_vectors, write_back
+from ..operators.ivf import build_ivf, knn_tiled, search_ivf
 from ..operators.embed import embed_import, embed_rows, embed_table
 from ..operators.positional import slice_rows, with_pos
 from ..session import scratch_path, table
 from ..sources.vectorstore import write_vectors
-from .registry import query
+from .registry import ORACLES, query
 
 DIM = 64
 HASHING = {"type": "hashing", "dim": DIM}
@@ -179,6 +180,36 @@ def q_vdb_search(spark, sf_dir):
     return hits.select("q_id", "rank", "s_id", F.round("score", 6).alias("score"))
 
 
+@query("vdb_search_lists", ORACLES["vdb_search"])
+def q_vdb_search_lists(spark, sf_dir):
+    """The inverted file with every list visited: the exact result."""
+    e = table(spark, sf_dir, "embeddings")
+    index = build_ivf(e, s_id="vec_id", s_vec="embedding")
+    hits = search_ivf(index, e.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("vector")), K,
+                      nprobe=len(index.centres))
+    return hits.select("q_id", "rank", "s_id", F.round("score", 6).alias("score"))
+
+
+@query("vdb_search_tiled", ORACLES["vdb_search"])
+def q_vdb_search_tiled(spark, sf_dir):
+    """Exact search with neither side broadcast."""
+    e = table(spark, sf_dir, "embeddings")
+    hits = knn_tiled(e.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("vector")), e, K, s_id="vec_id",
+                     s_vec="embedding", part_rows=200)
+    return hits.select("q_id", "rank", "s_id", F.round("score", 6).alias("score"))
+
+
+@query("vdb_search_nearest", """
+SELECT vec_id AS q_id, 1 AS rank, vec_id AS s_id FROM embeddings
+""")
+def q_vdb_search_nearest(spark, sf_dir):
+    """Default lists and visits: every vector, moved a little, finds the one it came from."""
+    e = table(spark, sf_dir, "embeddings")
+    moved = F.transform("embedding", lambda x, i: x + 0.02 * F.cos(i + F.col("vec_id")))
+    index = build_ivf(e, s_id="vec_id", s_vec="embedding")
+    return search_ivf(index, e.select(F.col("vec_id").alias("q_id"), moved.alias("vector")), 1).drop("score")
+
+
 @query("search_json", f"""
 WITH n AS ({_DUCK_UNIT}),
 p AS (SELECT a.vec_id AS q_id, b.vec_id AS s_id,
