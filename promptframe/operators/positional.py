@@ -8,15 +8,14 @@ sort key (or, without a key, the frozen input order).
 ``with_pos`` never funnels rows through one task (a global ``row_number()``
 window would).
 
-*With a key* (unique, plain column names): bucket bounds are fixed once on
-the driver from a bounded sample sorted by Spark; one pass reading only the
-key columns counts rows per bucket; a row's position is its bucket's offset
-(prefix sum over the bucket counts, a literal array) plus its
-``row_number()`` inside the bucket.  The bounds are constants, so every
-re-evaluation (a retried task, a lost executor) gives the same positions
-without a checkpoint, and a slice only reads the buckets that overlap it (for
-a single key the range is a parquet-pushable predicate).  Buckets are
-quantiles of a unique key, so none is hot.
+*With a key*: Spark's range partitioning samples the key once and deals the rows out in
+order; every partition is sorted and written as one file of a table in the shared
+checkpoint folder.  A row's position is its file's offset plus its row index in the file, which Parquet
+readers know, so no window and no second shuffle follow, and one small aggregate gives the rows of each file.
+Ties and nulls are split evenly as well: after the key rows go by a digest of all their columns and
+by the partition they came from, so neither a key that many rows share nor many equal rows stand in one partition.
+The input is evaluated twice (sample, write) whatever is done with the result, there is no bound on
+the number of partitions, and a slice reads only the files it overlaps.
 
 *Without a key*: the input is checkpointed to the shared checkpoint folder,
 which freezes partition contents and order; positions are the partition's
@@ -25,20 +24,13 @@ offset plus ``monotonically_increasing_id`` minus the partition's base.
 
 from __future__ import annotations
 
-import math
+import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
-
-# Target rows per bucket and the bucket-count cap (the bucket expression is a
-# binary search tree of comparisons, ~log2(buckets) per row).
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 2048
-SAMPLE_PER_BUCKET = 40
-
+from ..session import checkpoint_dir, scratch_path
 
 def _cols(order_by) -> list:
     if order_by is None:
@@ -48,94 +40,60 @@ def _cols(order_by) -> list:
     return list(order_by)
 
 
-def _surrogate(df: DataFrame, name: str):
-    """(comparison column, literal builder) for a key column, or None if unsupported."""
-    dt = df.schema[name].dataType
-    c = F.col(f"`{name}`")
-    if isinstance(dt, T.TimestampType):
-        # Python gets LTZ values in the process's local zone; compare microseconds.
-        return F.unix_micros(c), lambda v: F.lit(v).cast("long")
-    if isinstance(dt, T.TimestampNTZType):
-        return c, lambda v: F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz")
-    if isinstance(dt, (T.DateType, T.StringType, T.BooleanType, T.BinaryType, T.DecimalType, T.ByteType,
-                       T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)):
-        return c, lambda v: F.lit(v).cast(dt)
-    return None
-
-
-def _bucket_tree(cmp_cols, bound_lits, lo, hi):
-    """Bucket index in [lo, hi]: bucket i holds keys in [bound[i-1], bound[i])."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(_less(cmp_cols, bound_lits[mid]), _bucket_tree(cmp_cols, bound_lits, lo, mid)) \
-        .otherwise(_bucket_tree(cmp_cols, bound_lits, mid + 1, hi))
-
-
-def _less(cmp_cols, lits):
-    """``key < bound`` with nulls first, as in ``ORDER BY key`` (struct comparison already does so)."""
-    if len(cmp_cols) == 1:
-        return cmp_cols[0].isNull() | (cmp_cols[0] < lits[0])
-    return F.struct(*cmp_cols) < F.struct(*lits)
-
-
-def _keyed_plan(df: DataFrame, keys: list[str], num_buckets: int | None):
-    """Sample bounds, bucket expression and per-bucket offsets for ``keys``."""
-    sur = [_surrogate(df, k) for k in keys]
-    cmp_cols = [s[0] for s in sur]
-    spark = df.sparkSession
-    total = df.count()
-    n = num_buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                           math.ceil(total / ROWS_PER_BUCKET))
-    n = max(1, min(n, MAX_BUCKETS, total or 1))
-    bounds = []
-    if n > 1:
-        frac = min(1.0, n * SAMPLE_PER_BUCKET / total)
-        probe = df.select(*[c.alias(f"_k{i}") for i, c in enumerate(cmp_cols)])
-        probe = probe.where(F.greatest(*[F.col(f"_k{i}").isNull() for i in range(len(keys))]) == F.lit(False)) \
-            if len(keys) > 1 else probe.where(F.col("_k0").isNotNull())
-        sample = [tuple(r) for r in probe.sample(False, frac, seed=17).orderBy(*probe.columns).collect()]
-        m = len(sample)
-        for i in range(1, n):
-            if m == 0:
-                break
-            b = sample[min(m - 1, i * m // n)]
-            if not bounds or b != bounds[-1]:
-                bounds.append(b)
-    lits = [[sur[j][1](b[j]) for j in range(len(keys))] for b in bounds]
-    bucket = _bucket_tree(cmp_cols, lits, 0, len(bounds)) if bounds else F.lit(0)
-    counts = {r[0]: r[1] for r in df.select(bucket.alias("_b")).groupBy("_b").count().collect()}
-    offsets, acc = [], 0
-    for b in range(len(bounds) + 1):
-        offsets.append(acc)
-        acc += counts.get(b, 0)
-    return {"total": total, "bounds": bounds, "lits": lits, "cmp": cmp_cols, "bucket": bucket,
-            "offsets": offsets, "counts": [counts.get(b, 0) for b in range(len(bounds) + 1)]}
-
-
-def _keyed_pos(df: DataFrame, keys: list[str], pos_col: str, plan: dict, rng: tuple[int, int] | None = None):
-    out = df.withColumn("__b", plan["bucket"])
-    if rng is not None:
-        s, e = rng
-        need = [b for b, (o, c) in enumerate(zip(plan["offsets"], plan["counts"])) if o < e and o + c > s]
-        if not need:
-            return out.where(F.lit(False)).select(F.lit(0).cast("long").alias(pos_col), *df.columns)
-        lo, hi = need[0], need[-1]
-        cond = (F.col("__b") >= lo) & (F.col("__b") <= hi)
-        if len(keys) == 1:
-            # Same range as a plain predicate on the key: pushed to the scan.
-            c = plan["cmp"][0]
-            if lo > 0:
-                cond = cond & (c >= plan["lits"][lo - 1][0])
-            if hi < len(plan["bounds"]):
-                cond = cond & _less([c], plan["lits"][hi])
-        out = out.where(cond)
-    w = Window.partitionBy("__b").orderBy(*[F.col(f"`{k}`") for k in keys])
-    offset = F.element_at(F.array(*[F.lit(o) for o in plan["offsets"]]).cast("array<long>"), F.col("__b") + 1)
-    res = out.select((offset + F.row_number().over(w) - 1).alias(pos_col), *[F.col(f"`{c}`") for c in df.columns])
-    if rng is not None:
-        res = res.where((F.col(pos_col) >= rng[0]) & (F.col(pos_col) < rng[1]))
-    return res
+def _hashable(kind: T.DataType) -> bool:
+    """Whether Spark hashes values of a type (maps and variants it does not)."""
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType, T.NullType))
+
+
+class _Ordered:
+    """``df`` in the order of its keys as a written table, with the offset of each of its files."""
+
+    def __init__(self, df: DataFrame, keys: list, num_partitions: int | None):
+        spark = df.sparkSession
+        self.fields = df.schema.fields
+        own = [c for c, f in zip(df.columns, self.fields) if _hashable(f.dataType)]
+        digest = F.xxhash64(*[F.col(f"`{c}`") for c in own]) if own else F.lit(0).cast("long")
+        order = [F.col(f"`{k}`") if isinstance(k, str) else k for k in keys] + [F.col("__digest"), F.col("__from")]
+        staged = df.withColumn("__digest", digest).withColumn("__from", F.spark_partition_id())
+        staged = staged.repartitionByRange(num_partitions, *order) if num_partitions else staged.repartitionByRange(*order)
+        # Parquet holds no untyped nulls and not every name: columns go by number, untyped ones as strings.
+        stored = [F.col(f"`{f.name}`").cast("string" if isinstance(f.dataType, T.NullType) else f.dataType).alias(f"c{i}")
+                  for i, f in enumerate(self.fields)]
+        path = scratch_path(spark, "ordered")
+        written = staged.sortWithinPartitions(*order).select(*stored)
+        written.write.parquet(path)
+        self.rows = spark.read.schema(written.schema).parquet(path)
+        meta = self.rows.metadataColumn("_metadata")
+        self.rows = self.rows.select("*", meta["file_name"].alias("__file"), meta["row_index"].alias("__row"))
+        # One file a partition, named by the partition's number.
+        counts = self.rows.groupBy("__file").count().collect()
+        self.files, at = [], 0
+        for name, n in sorted(counts, key=lambda r: int(re.match(r"part-(\d+)", r[0]).group(1))):
+            self.files.append((name, at, n))
+            at += n
+        self.total = at
+
+    def positions(self, pos_col: str, start: int = 0, end: int | None = None) -> DataFrame:
+        """The rows with positions in [start, end), from the files that hold them."""
+        end = self.total if end is None else end
+        spark = self.rows.sparkSession
+        some = [(name, at) for name, at, n in self.files if at < end and at + n > start]
+        rows = self.rows
+        if len(some) < len(self.files):
+            rows = rows.where(F.col("__file").isin([name for name, _ in some]))
+        # One row for each partition of the ordered table.
+        offsets = spark.createDataFrame(some, "__name string, __at long")
+        placed = rows.join(F.broadcast(offsets), F.col("__file") == F.col("__name"))
+        pos = F.col("__at") + F.col("__row")
+        if some and (start > some[0][1] or end < self.total):
+            placed = placed.where((pos >= start) & (pos < end))
+        own = [(F.lit(None) if isinstance(f.dataType, T.NullType) else F.col(f"c{i}")).alias(f.name)
+               for i, f in enumerate(self.fields)]
+        return placed.select(pos.alias(pos_col), *own)
 
 
 def _frozen_pos(df: DataFrame, pos_col: str):
@@ -155,26 +113,19 @@ def _frozen_pos(df: DataFrame, pos_col: str):
     return staged.select((offset + F.monotonically_increasing_id() - base).alias(pos_col), "*"), total
 
 
-def _keyable(df: DataFrame, keys) -> bool:
-    return bool(keys) and all(isinstance(k, str) and k in df.columns and _surrogate(df, k) for k in keys)
-
-
 def with_pos(df: DataFrame, order_by=None, pos_col: str = "pos", num_partitions: int | None = None,
              return_count: bool = False):
-    """Add a 0-based ``pos`` column: the row's rank under ``order_by``.
+    """Add a 0-based ``pos`` column: the row's rank under ``order_by`` (columns or sort expressions).
 
-    ``order_by`` should be a unique key (ties are broken arbitrarily, as in
-    any sort).  Without it, positions follow the input's current order.
+    Rows of one key are told apart by their other columns' digest, so a repeated key gives the same positions
+    again as long as its rows differ.  Without ``order_by``, positions follow the input's current order.
     Returns the DataFrame, or ``(DataFrame, row_count)`` with ``return_count``.
     """
     keys = _cols(order_by)
-    if _keyable(df, keys):
-        plan = _keyed_plan(df, keys, num_partitions)
-        out, total = _keyed_pos(df, keys, pos_col, plan), plan["total"]
+    if keys:
+        table = _Ordered(df, keys, num_partitions)
+        out, total = table.positions(pos_col), table.total
     else:
-        if keys:
-            n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            df = df.repartitionByRange(max(1, n), *keys).sortWithinPartitions(*keys)
         out, total = _frozen_pos(df, pos_col)
     return (out, total) if return_count else out
 
@@ -189,12 +140,12 @@ def slice_rows(df: DataFrame, start=None, end=None, order_by=None, pos_col: str
                keep_pos: bool = True) -> DataFrame:
     """Rows ``[start, end)`` by position (PRJ1); an end past the last row is clamped.
 
-    With a key only the buckets overlapping the slice are read and numbered.
+    With a key only the files of the ordered table that overlap the slice are read.
     """
     keys = _cols(order_by)
-    if _keyable(df, keys):
-        plan = _keyed_plan(df, keys, None)
-        out = _keyed_pos(df, keys, pos_col, plan, slice_bounds(plan["total"], start, end))
+    if keys:
+        table = _Ordered(df, keys, None)
+        out = table.positions(pos_col, *slice_bounds(table.total, start, end))
     else:
         staged, total = with_pos(df, order_by, pos_col, return_count=True)
         s, e = slice_bounds(total, start, end)
