@@ -11,6 +11,7 @@ from ..operators.chat import chat_pairs
 from ..session import scratch_path, ship_package, table
 from ..sources import npy, xlsx
 from ..sources.csv import read_csv, read_csv_detected, write_csv
+from ..sources.csv_ranges import read_csv_ranges
 from ..sources.dump import dump
 from .registry import query
 
@@ -51,6 +52,34 @@ def q_src_detect_encoding(spark, sf_dir):
     return read_csv_detected(spark, root, schema="key bigint, text string")
 
 
+@query("src_csv_ranges", "SELECT conv_id, turn, role, text || chr(10) || '\"' || role || '\", said' AS text FROM conversations")
+def q_src_csv_ranges(spark, sf_dir):
+    """Turns with line breaks, quotes and commas in their cells, read back in ranges."""
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(
+        "text", F.lit('\n"'), "role", F.lit('", said')).alias("text"))
+    path = write_csv(conv.coalesce(1), scratch_path(spark, "csv-ranges"))
+    return _typed(read_csv_ranges(spark, path, glob="*.csv"), {"conv_id": "bigint", "turn": "bigint", "role": "string",
+                                                               "text": "string"})
+
+
+#: Everyday sentences; a character set is decided by which of its rows a file's characters lie in.
+SENTENCES = {"gbk": "我们在这里讨论如何处理客户的问题", "big5": "我們在這裡討論如何處理客戶的問題",
+             "shift_jis": "お客様からのご質問にお答えするために", "utf-8": "préféré – naïve"}
+
+
+@query("src_charsets", " UNION ALL ".join(
+    f"SELECT c_custkey AS key, '{text} ' || c_name AS text, '{name}' AS encoding FROM customer"
+    for name, text in SENTENCES.items()))
+def q_src_charsets(spark, sf_dir):
+    """One folder with files in four character sets, each read in the set that was found for it."""
+    c = table(spark, sf_dir, "customer")
+    root = scratch_path(spark, "csv-charsets")
+    for name, text in SENTENCES.items():
+        said = c.select(F.col("c_custkey").alias("key"), F.concat(F.lit(f"{text} "), "c_name").alias("text"))
+        write_csv(said, f"{root}/{name}", encoding=name)
+    return read_csv_detected(spark, root, schema="key bigint, text string")
+
+
 @query("src_xlsx", "SELECT * FROM customer")
 def q_src_xlsx(spark, sf_dir):
     ship_package(spark)

@@ -1,11 +1,9 @@
 """CSV in detected encodings (SRC1, SRC2, SNK1, SRC5).
 
-The reference runs a character-set detector over each uploaded file and
-reads ISO-8859-1 as GBK.  Here a directory of files is classified in one
-Spark job (``binaryFile`` + ``is_valid_utf8``): valid UTF-8 is ``utf-8``,
-anything else ``gbk``; then one CSV read per encoding group.  ``multiLine``
-is on because model outputs hold newlines (it makes each file one split:
-scale comes from many files).  Spark 4 accepts GBK only with
+``read_csv`` is Spark's reader (``multiLine``, as model outputs hold newlines: one file is one task).
+``read_csv_detected`` first decides every file's character set (``charset``) and reads all of them in ranges
+(``csv_ranges``), so one large file is many tasks and every file's columns go by its own header; files in UTF-16, whose
+line feeds are no single bytes, go through Spark's reader.  Spark 4 accepts GBK only with
 ``spark.sql.legacy.javaCharsets=true``, which is set here.
 """
 
@@ -13,6 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .charset import charsets
+from .csv_ranges import read_csv_ranges
 
 # Cells keep their leading and trailing white space and line breaks in both directions.  An empty
 # cell reads as null, written from an empty string or a null alike.
@@ -25,17 +27,11 @@ def _enable_charsets(spark: SparkSession) -> None:
 
 
 def detect_encodings(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """``path, encoding`` per file: ``utf-8`` when the whole file is valid UTF-8, else ``gbk``.
+    """``path, encoding`` per file, decided over every byte (see ``charset``).
 
-    Every byte of every file is tested (``binaryFile`` loads a file as one
-    value, so a file must stay below its 2 GB limit; many files give the
-    parallelism).  Zero-byte files are skipped by Spark's file listing (they
-    hold no rows; the reference detects no encoding).
+    Zero-byte files are skipped by Spark's file listing (they hold no rows; the reference detects no encoding).
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true") \
-        .load(path).select("path", "content")
-    valid = F.is_valid_utf8(F.col("content").cast("string"))
-    return files.select("path", F.when(valid, F.lit("utf-8")).otherwise(F.lit("gbk")).alias("encoding"))
+    return charsets(spark, path, glob)
 
 
 def read_csv(spark: SparkSession, path, schema=None, encoding: str | None = None, infer: bool = False,
@@ -57,20 +53,32 @@ def read_csv(spark: SparkSession, path, schema=None, encoding: str | None = None
 
 def read_csv_detected(spark: SparkSession, path: str, schema=None, glob: str = "*.csv",
                       with_encoding: bool = True) -> DataFrame:
-    """Read every CSV under ``path`` in its detected encoding (SRC1 + SRC2)."""
-    groups = {}
-    for row in detect_encodings(spark, path, glob).collect():   # one row per file, not per record
-        groups.setdefault(row["encoding"], []).append(row["path"])
-    parts = []
-    for enc, paths in sorted(groups.items()):
-        df = read_csv(spark, paths, schema=schema, encoding=enc, infer=schema is None)
-        parts.append(df.withColumn("encoding", F.lit(enc)) if with_encoding else df)
-    if not parts:
+    """Read every CSV under ``path`` in its detected encoding, columns by each file's header (SRC1 + SRC2).
+
+    ``schema`` (a DDL string or a type) names and types the columns; without one all are strings.
+    """
+    found = detect_encodings(spark, path, glob).collect()   # one row per file, not per record
+    if not found:
         raise FileNotFoundError(f"no files matching {glob!r} under {path}")
+    wide = [r["path"] for r in found if r["encoding"].startswith("utf-16")]
+    plain = {r["path"]: r["encoding"] for r in found if r["path"] not in wide}
+    parts = []
+    if plain:
+        got = read_csv_ranges(spark, sorted(plain), {p: e for p, e in plain.items() if e != "utf-8"}, with_file=True)
+        if got.columns:
+            sets = spark.createDataFrame(sorted(plain.items()), "__path string, encoding string")
+            parts.append(got.join(sets, F.col("__file") == F.col("__path")).drop("__file", "__path"))
+    for r in found:
+        if r["path"] in wide:
+            parts.append(read_csv(spark, r["path"], encoding=r["encoding"].upper()).withColumn("encoding", F.lit(r["encoding"])))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    if schema is not None:
+        fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+        out = out.select(*[(F.col(f"`{f.name}`") if f.name in out.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                           for f in fields], "encoding")
+    return out if with_encoding else out.drop("encoding")
 
 
 def write_csv(df: DataFrame, path: str, encoding: str = "utf-8", mode: str = "overwrite") -> str:
