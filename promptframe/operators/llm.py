@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.literals import literal_json
 from ..session import ship_package, spread
 
 RESULT_FIELDS = [T.StructField("status", T.StringType()), T.StructField("error", T.StringType()),
@@ -153,25 +154,31 @@ def chain_batch(df: DataFrame, client: dict, start=None, end=None, order_by=None
     return res.drop("__payload", "status", "error", "elapsed_ms")
 
 
-def bang_columns(df: DataFrame) -> DataFrame:
-    """``!col`` -> ``col`` holding the JSON value parsed from the cell (PRJ9).
+def bang_columns(df: DataFrame, error_col: str | None = None) -> DataFrame:
+    """``!col`` -> ``col`` holding the value spelled in the cell, as JSON or as a Python literal (PRJ9, JS5).
 
-    The value's type is the merge over *every* cell, computed by one
-    distributed aggregate (``schema_of_variant_agg``) for all ``!`` columns
-    together; only that type string reaches the driver.  It is written in the
-    JSON reader's terms (objects as structs, non-integer numbers as doubles)
-    and applied with ``from_json``, which also accepts single-quoted JSON.
+    One parser turns every cell into canonical JSON (``functions.literals``); the value's type is the
+    merge over *every* cell's canonical text, computed by one distributed aggregate (``schema_of_variant_agg``)
+    for all ``!`` columns together, and the value is read from that same text.  Only the type string reaches the driver;
+    it is written in the JSON reader's terms (objects as structs, non-integer numbers as doubles).
     Cells whose shapes conflict (an object here, a list there) or a column
     where nothing parses keep the value as a ``variant``.  Cells that do not
-    parse give null; nothing is ever evaluated as code.
+    parse give null, and ``error_col`` (if named) says why, as a map from column to message, null where all is well;
+    nothing is ever evaluated as code.
     """
     bang = [c for c in df.columns if c.startswith("!")]
     if not bang:
         return df
-    found = df.select(*[F.expr(f"schema_of_variant_agg(try_parse_json(`{c}`))") for c in bang]).first()
+    ship_package(df.sparkSession)
+    read = df.select(*[(literal_json(F.col(f"`{c}`")) if c in bang else F.col(f"`{c}`")).alias(c) for c in df.columns])
+    found = read.select(*[F.expr(f"schema_of_variant_agg(try_parse_json(`{c}`.json))") for c in bang]).first()
     types = {c: _json_ddl(t) for c, t in zip(bang, found)}
-    return df.select(*[F.from_json(F.col(f"`{c}`"), types[c]).alias(c[1:]) if c in types else F.col(f"`{c}`")
-                       for c in df.columns])
+    out = [F.from_json(F.col(f"`{c}`.json"), types[c]).alias(c[1:]) if c in types else F.col(f"`{c}`") for c in df.columns]
+    if error_col:
+        wrong = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(c[1:]).alias("k"), F.col(f"`{c}`.error").alias("v"))
+                                                      for c in bang]), lambda e: e["v"].isNotNull()))
+        out.append(F.when(F.size(wrong) > 0, wrong).alias(error_col))
+    return read.select(*out)
 
 
 def _json_ddl(variant_type: str | None) -> str:

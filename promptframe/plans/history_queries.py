@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog as C
 from ..operators import history as H
+from ..operators.trigrams import build_trigrams, search_messages
 from ..session import table
 from .registry import query
 
@@ -62,6 +63,19 @@ def q_history_filter(spark, sf_dir):
     return H.filter_messages(H.listing(appends(spark, sf_dir), CAP), FILTER)
 
 
+SEARCHED = ["The", "ing on", "é", "secret_key", "lich ", "no such words at all", "QU"]
+
+
+@query("history_search", f"""
+SELECT pattern, doc_id FROM documents, (VALUES {", ".join(f"('{p}')" for p in SEARCHED)}) p(pattern)
+WHERE contains(lower(text), lower(pattern))
+""")
+def q_history_search(spark, sf_dir):
+    """Several patterns over all texts by posting lists; hits are compared exactly."""
+    index = build_trigrams(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return search_messages(index, SEARCHED).withColumnRenamed("id", "doc_id")
+
+
 @query("history_reload", f"""
 SELECT log, string_agg(message, '|' ORDER BY rank) AS messages FROM ({_LIST_SQL}) GROUP BY log
 """)

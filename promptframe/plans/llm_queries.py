@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.llm import bang_columns, call_stats, chain_batch, llm_batch
 from ..operators.metaprompt import optimize_prompts
+from ..operators.positional import infer_roles, project_fields
 from ..session import table
 from .registry import ORACLES, query
 
@@ -84,6 +85,39 @@ def q_bang_columns(spark, sf_dir):
     return bang_columns(e).select("event_id", "event_type", F.col("props.k").alias("k"))
 
 
+@query("bang_literals", """
+SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN c_custkey END AS id, CASE WHEN c_custkey % 3 < 2 THEN 'it''s ' || c_name END AS said,
+       CASE WHEN c_custkey % 3 = 0 THEN true END AS first_flag, CASE WHEN c_custkey % 50 = 3 AND c_custkey % 3 = 1 THEN 1.5 END AS late,
+       c_custkey % 3 = 2 AS wrong
+FROM customer
+""")
+def q_bang_literals(spark, sf_dir):
+    """Cells spelled as Python literals, as JSON and as neither, with a key that few rows have."""
+    key, name = F.col("c_custkey").cast("string"), F.col("c_name")
+    third = F.col("c_custkey") % 3
+    late = F.when(F.col("c_custkey") % 50 == 3, F.lit(', "late": 1.5')).otherwise(F.lit(""))
+    cell = (F.when(third == 0, F.concat(F.lit("{'id': "), key, F.lit(", 'said': 'it\\'s ' \""), name, F.lit("\", 'flags': (True, None,),}")))
+            .when(third == 1, F.concat(F.lit('{"id": '), key, F.lit(', "said": "it\'s '), name, F.lit('", "flags": []'), late, F.lit("}")))
+            .otherwise(F.concat(F.lit("{'id': id_of("), key, F.lit(")}"))))
+    read = bang_columns(table(spark, sf_dir, "customer").select("c_custkey", cell.alias("!cell")), error_col="errors")
+    return read.select("c_custkey", F.col("cell.id").alias("id"), F.col("cell.said").alias("said"),
+                       F.get("cell.flags", F.lit(0)).alias("first_flag"), F.col("cell.late").alias("late"),
+                       F.col("errors").isNotNull().alias("wrong"))
+
+
+@query("infer_roles", """
+SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name || '|' || n_regionkey AS val, 'n_nationkey' AS key_field,
+       'n_name, n_regionkey' AS value_fields FROM (SELECT n_nationkey, n_name, n_regionkey FROM nation)
+""")
+def q_infer_roles(spark, sf_dir):
+    """Key and value fields of a table by its columns alone (PRJ7), and the rows under them."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    key, values = infer_roles(n)
+    rows = project_fields(n, f"{key}, {values}")
+    return rows.select(F.col(key).cast("string").alias("key"), F.concat_ws("|", *[F.col(v).cast("string") for v in rows.columns[1:]]).alias("val"),
+                       F.lit(key).alias("key_field"), F.lit(values).alias("value_fields"))
+
+
 @query("chain_batch", """
 SELECT event_id, event_type AS input, k,
   md5(to_json(struct_pack(event_id := event_id, input := event_type, props := struct_pack(k := k)))) AS output
