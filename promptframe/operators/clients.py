@@ -343,22 +343,22 @@ class MilvusStore:
 class JsonlFolderStore:
     """Recording stand-in: each batch becomes one JSON-lines file under ``path``.
 
-    The file is named by the batch key and written by rename, so a retried
-    task rewrites its own files instead of adding new ones.  ``path`` must be
-    a folder every executor sees (the shared checkpoint folder in the
-    registered query).
+    The file is named by the batch key and appears whole, so a retried task rewrites its own
+    files instead of adding new ones; with ``append`` every write adds a file, as a plain insert would.
+    ``fail_on`` makes batches fail whose key ends with it.  ``path`` is opened by its scheme and must
+    be a folder every executor sees (below the shared checkpoint folder in the registered queries).
     """
 
-    def __init__(self, path: str):
-        self.path = path[5:] if path.startswith("file:") else path
+    def __init__(self, path: str, append: bool = False, fail_on: str | None = None):
+        self.path, self.append, self.fail_on = path.rstrip("/"), append, fail_on
 
     def write(self, rows, key):
-        import os
-
-        os.makedirs(self.path, exist_ok=True)
-        out = os.path.join(self.path, f"batch-{key}.json")
-        tmp = os.path.join(self.path, f".batch-{key}.{os.getpid()}.tmp")   # hidden from readers
-        with open(tmp, "w", encoding="utf-8") as f:
-            for r in rows:
-                f.write(json.dumps(r, ensure_ascii=False) + "\n")
-        os.replace(tmp, out)
+        import uuid
+
+        from ..sources.shared import open_whole
+
+        if self.fail_on is not None and key.endswith(self.fail_on):
+            raise RuntimeError(f"stub failure of batch {key}")
+        once = f"-{uuid.uuid4().hex}" if self.append else ""
+        with open_whole(f"{self.path}/batch-{key}{once}.json") as f:
+            f.write("".join(json.dumps(r, ensure_ascii=False) + "\n" for r in rows).encode("utf-8"))

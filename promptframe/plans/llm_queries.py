@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.chat import chat_prompt
+from ..operators.ledger import call_report, llm_ledger, read_log
 from ..operators.llm import bang_columns, call_stats, chain_batch, llm_batch
 from ..operators.metaprompt import optimize_prompts
 from ..operators.positional import infer_roles, project_fields
-from ..session import table
+from ..session import scratch_path, table
 from .registry import ORACLES, query
 
 FAIL_ON = "#0000001"
@@ -77,6 +79,36 @@ def q_llm_call_stats(spark, sf_dir):
     return stats.select("status", "calls", ((F.col("min_ms") >= 0) & (F.col("avg_ms") >= 0)).alias("timed"))
 
 
+def _ledger(spark, sf_dir, log):
+    rows = _customers(spark, sf_dir).where("Skip = ''").drop("Skip")
+    return llm_ledger(chat_prompt(rows, SYSTEM, USER), "messages", CLIENT, log, ["c_custkey"])
+
+
+@query("llm_ledger")
+def q_llm_ledger(spark, sf_dir):
+    """LLM1 through the call ledger: the answers of a second run over one log, which sends nothing."""
+    log = scratch_path(spark, "ledger")
+    _ledger(spark, sf_dir, log)
+    return _ledger(spark, sf_dir, log).select("c_custkey", "c_name", "c_mktsegment", "Output", "status")
+
+
+@query("llm_ledger_calls", f"""
+SELECT status, count(*) AS calls, count(*) AS keys, true AS timed, 1 AS runs
+FROM (SELECT CASE WHEN contains(c_name, '{FAIL_ON}') THEN 'error' ELSE 'ok' END AS status FROM customer WHERE c_acctbal >= 0)
+GROUP BY ALL
+""")
+def q_llm_ledger_calls(spark, sf_dir):
+    """AGG5, DT3: one record a call with its own start and latency, still one after a second run."""
+    log = scratch_path(spark, "ledger")
+    for _ in range(2):
+        _ledger(spark, sf_dir, log)
+    times = call_report(spark, log).select("status", ((F.col("min_ms") >= 0) & (F.col("seconds") >= 0)).alias("timed"))
+    keys = (read_log(spark, log).where("started_at IS NOT NULL").groupBy("status", "call_key", "run").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("status").agg(F.sum("n").alias("calls"), F.countDistinct("call_key").alias("keys"),
+                                   F.countDistinct("run").alias("runs")))
+    return keys.join(times, "status").select("status", "calls", "keys", "timed", "runs")
+
+
 @query("bang_columns", """
 SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events
 """)
@@ -156,4 +188,4 @@ def q_optimize_prompts(spark, sf_dir):
     return optimize_prompts(prompts, "turn", {"type": "append-suffix"}, {"type": "md5-echo"}, META_SYSTEM,
                             iterations=3)
 
-ORACLES["llm_concurrent"] = ORACLES["llm_batch"]
+ORACLES["llm_concurrent"] = ORACLES["llm_ledger"] = ORACLES["llm_batch"]

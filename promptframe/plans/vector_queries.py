@@ -16,6 +16,7 @@ from ..operators.ivf import build_ivf, knn_tiled, search_ivf
 from ..operators.embed import embed_import, embed_rows, embed_table
 from ..operators.positional import slice_rows, with_pos
 from ..session import scratch_path, table
+from ..sources.staged import commit_vectors, stage_vectors
 from ..sources.vectorstore import write_vectors
 from .registry import ORACLES, query
 
@@ -75,6 +76,29 @@ def q_vdb_sink(spark, sf_dir):
                       F.col("vector")[0].cast("double").alias("x0"))
 
 
+@query("vdb_staged", """
+SELECT 'vec:' || vec_id AS id, CAST(len(embedding) AS INTEGER) AS n_dims, CAST(label AS VARCHAR) AS label, 1 AS times, true AS failed
+FROM embeddings
+""")
+def q_vdb_staged(spark, sf_dir):
+    """Staged batches into a store that adds what it is sent (SNK5): a commit that fails, then one that sends the rest."""
+    staged, path = scratch_path(spark, "vdb-staged"), scratch_path(spark, "vdb-store")
+    stage_vectors(_embedding_records(spark, sf_dir), staged, batch_size=16)
+    store = {"type": "jsonl-folder", "path": path, "append": True}
+    failed = False
+    try:
+        commit_vectors(spark, staged, dict(store, fail_on="2"))
+    except Exception as e:  # noqa: BLE001 - only the planted failure is expected
+        if "stub failure" not in str(e):
+            raise
+        failed = True
+    commit_vectors(spark, staged, store)
+    got = spark.read.schema("id string, vector array<float>, metadata map<string,string>").json(path)
+    return (got.groupBy("id").agg(F.max(F.size("vector")).alias("n_dims"), F.max(F.col("metadata")["label"]).alias("label"),
+                                  F.count(F.lit(1)).cast("int").alias("times"))
+            .withColumn("failed", F.lit(failed)))
+
+
 @query("vdb_sink_fields", """
 SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n_dims, label, CAST(embedding[1] AS DOUBLE) AS x0 FROM embeddings
 """)
