@@ -89,6 +89,26 @@ def q_src_xlsx(spark, sf_dir):
     return _typed(spark.read.format("xlsx").load(path), CUSTOMER_TYPES)
 
 
+@query("src_xlsx_headers", """
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS c_name, CASE WHEN c_custkey % 2 = 1 THEN c_acctbal END AS c_acctbal,
+       c_name || chr(13) || chr(10) || chr(7) || '_x0041_' AS note
+FROM customer
+""")
+def q_src_xlsx_headers(spark, sf_dir):
+    """Workbooks with other columns in another order (SRC3), full sheets and characters that XML cannot hold (SNK2)."""
+    ship_package(spark)
+    xlsx.register(spark)
+    path = scratch_path(spark, "xlsx-headers")
+    note = F.concat("c_name", F.lit("\r\n\x07_x0041_")).alias("note")
+    c = table(spark, sf_dir, "customer")
+    out = {"even": c.where("c_custkey % 2 = 0").select("c_custkey", "c_name", note),
+           "odd": c.where("c_custkey % 2 = 1").select(note, "c_acctbal", "c_custkey")}
+    for name, rows in out.items():
+        rows.write.format("xlsx").option("sheetRows", 500).mode("overwrite").save(f"{path}/{name}")
+    got = xlsx.read_xlsx(spark, path, infer=True)
+    return got.select("c_custkey", "c_name", "c_acctbal", "note")
+
+
 @query("src_vectors", """
 SELECT pos, CAST(i - 1 AS INTEGER) AS i, CAST(embedding[i] AS DOUBLE) AS x FROM (
   SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, embedding, unnest(range(1, len(embedding) + 1)) AS i

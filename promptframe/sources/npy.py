@@ -1,36 +1,52 @@
 """``.npy`` vector matrices as a Spark Python data source (SRC4, SNK4).
 
 Reading splits each file into row ranges of at most ``rowsPerPartition``
-rows (the header gives shape and dtype; tasks memory-map their range), so a
+rows (the header gives shape and dtype; tasks read the bytes of their range), so a
 large matrix is read in parallel.  Output: ``pos`` (global row position,
-files in name order) and ``vector array<float>``.  Writing stores one
-``part-<write>-<partition>.npy`` per partition; write a sorted DataFrame to keep order.
+files in name order) and ``vector array<float>``.  Writing stores each partition as
+``part-<write>-<partition>-<n>.npy`` of at most ``rowsPerFile`` rows; write a sorted DataFrame to keep order.
+Files are opened through the file system their path names (``sources.shared``).
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from .shared import delete_file, list_files, open_fs, open_whole
 
-def _local(path: str) -> str:
-    return path[5:] if path.startswith("file:") else path
 
+def _open(path: str):
+    """A file with the shape, column-major order, dtype and place of its data."""
+    from numpy.lib import format as npf
 
-def list_npy(path: str) -> list[str]:
-    p = _local(path)
-    if os.path.isfile(p):
-        return [p]
-    return sorted(os.path.join(r, f) for r, _, fs in os.walk(p) for f in fs
-                  if f.endswith(".npy") and not f.startswith((".", "_")))
+    fs, inner = open_fs(path)
+    f = fs.open_input_file(inner)
+    version = npf.read_magic(f)
+    read = npf.read_array_header_1_0 if version == (1, 0) else npf.read_array_header_2_0
+    return f, *read(f), f.tell()
 
 
 def npy_rows(path: str) -> int:
+    f, shape, _, _, _ = _open(path)
+    f.close()
+    return int(shape[0]) if shape else 0
+
+
+def npy_block(path: str, start: int, end: int):
+    """Rows ``[start, end)`` of a file; only a column-major file is read beyond them."""
     import numpy as np
 
-    shape = np.load(path, mmap_mode="r").shape      # reads the header only
-    return int(shape[0]) if shape else 0
+    f, shape, by_column, dtype, at = _open(path)
+    with f:
+        if dtype.hasobject:
+            raise ValueError(f"{path} holds Python objects, not numbers")
+        width = int(np.prod(shape[1:], dtype=np.int64))
+        if by_column and len(shape) > 1:
+            f.seek(at)
+            whole = np.frombuffer(f.read(int(shape[0]) * width * dtype.itemsize), dtype)
+            return whole.reshape(shape, order="F")[start:end]
+        f.seek(at + start * width * dtype.itemsize)
+        return np.frombuffer(f.read((end - start) * width * dtype.itemsize), dtype).reshape(end - start, width)
 
 
 class _Range(InputPartition):
@@ -45,7 +61,7 @@ class NpyReader(DataSourceReader):
 
     def partitions(self):
         parts, offset = [], 0
-        for f in list_npy(self.path):
+        for f in list_files(self.path, ".npy"):
             n = npy_rows(f)
             for s in range(0, n, self.rpp):
                 parts.append(_Range(f, s, min(n, s + self.rpp), offset))
@@ -55,50 +71,51 @@ class NpyReader(DataSourceReader):
     def read(self, partition):
         import numpy as np
 
-        m = np.load(partition.path, mmap_mode="r")
-        block = np.asarray(m[partition.start:partition.end], dtype=np.float32)
+        block = np.asarray(npy_block(partition.path, partition.start, partition.end), dtype=np.float32)
         for i, row in enumerate(block):
             yield (partition.offset + partition.start + i, row.reshape(-1).tolist())
 
 
 class _Commit(WriterCommitMessage):
-    def __init__(self, path, rows):
-        self.path, self.rows = path, rows
+    def __init__(self, paths, rows):
+        self.paths, self.rows = paths, rows
 
 
 class NpyWriter(DataSourceWriter):
-    """One ``part-<write>-<partition>.npy`` per non-empty partition.
+    """``part-<write>-<partition>-<n>.npy`` of each non-empty partition.
 
     The write id orders files by write (reading follows name order), and a
-    retried task rewrites its own file through a hidden temporary name.
+    retried task rewrites its own files through hidden temporary names.
     Overwrite removes, at commit, the part files this write did not produce.
     """
 
-    def __init__(self, path, column, overwrite):
-        self.path, self.column, self.overwrite = _local(path), column, overwrite
-        self.write_id = write_id()
+    def __init__(self, path, column, overwrite, rows_per_file):
+        if rows_per_file < 1:
+            raise ValueError("rowsPerFile must be >= 1")
+        self.path, self.column, self.overwrite = path.rstrip("/"), column, overwrite
+        self.rows_per_file, self.write_id = rows_per_file, write_id()
+        open_fs(path)
 
     def write(self, iterator):
+        from itertools import islice
+
         import numpy as np
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
         pid = ctx.partitionId() if ctx else 0
-        rows = [np.asarray(r[self.column], dtype=np.float32) for r in iterator]
-        if not rows:
-            return _Commit(None, 0)
-        os.makedirs(self.path, exist_ok=True)
-        name = f"part-{self.write_id}-{pid:05d}.npy"
-        tmp = os.path.join(self.path, f".{name}.{os.getpid()}.tmp")
-        with open(tmp, "wb") as f:
-            np.save(f, np.stack(rows))
-        out = os.path.join(self.path, name)
-        os.replace(tmp, out)
-        return _Commit(out, len(rows))
+        vectors = (np.asarray(r[self.column], dtype=np.float32) for r in iterator)
+        paths, n = [], 0
+        while rows := list(islice(vectors, self.rows_per_file)):
+            paths.append(f"{self.path}/part-{self.write_id}-{pid:05d}-{len(paths):04d}.npy")
+            with open_whole(paths[-1]) as f:
+                np.save(f, np.stack(rows))
+            n += len(rows)
+        return _Commit(paths, n)
 
     def commit(self, messages):
         if self.overwrite:
-            remove_stale_parts(self.path, {m.path for m in messages if m is not None and m.path})
+            remove_stale_parts(self.path, {p for m in messages if m is not None for p in m.paths}, ".npy")
 
 
 def write_id() -> str:
@@ -109,18 +126,15 @@ def write_id() -> str:
     return f"{time.time_ns():020d}{uuid.uuid4().hex[:6]}"
 
 
-def remove_stale_parts(path: str, keep: set) -> None:
+def remove_stale_parts(path: str, keep: set, suffix: str) -> None:
     """Delete ``part-*`` files under ``path`` that are not in ``keep`` (overwrite commit)."""
-    if not os.path.isdir(path):
-        return
-    for f in os.listdir(path):
-        full = os.path.join(path, f)
-        if f.startswith("part-") and full not in keep:
-            os.remove(full)
+    for f in list_files(path, suffix):
+        if f.rsplit("/", 1)[1].startswith("part-") and f not in keep:
+            delete_file(f)
 
 
 class NpyDataSource(DataSource):
-    """``format("npy")``; options: ``path``, ``rowsPerPartition`` (read), ``column`` (write)."""
+    """``format("npy")``; options: ``path``, ``rowsPerPartition`` (read), ``column`` and ``rowsPerFile`` (write)."""
 
     @classmethod
     def name(cls):
@@ -133,7 +147,8 @@ class NpyDataSource(DataSource):
         return NpyReader(self.options["path"], int(self.options.get("rowsPerPartition", 65536)))
 
     def writer(self, schema, overwrite):
-        return NpyWriter(self.options["path"], self.options.get("column", "vector"), overwrite)
+        return NpyWriter(self.options["path"], self.options.get("column", "vector"), overwrite,
+                         int(self.options.get("rowsPerFile", 1_000_000)))
 
 
 def register(spark) -> None:
