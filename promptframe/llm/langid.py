@@ -88,7 +88,9 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
               .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     # Order of the unsigned n-gram codes, as in ranked().
     order = Window.partitionBy("lang").orderBy(F.desc("n"), F.col("gram") < 0, "gram")
-    return counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).drop("n")
+    # The filter is on the row number itself, so each task forwards a language's first ``size`` n-grams only.
+    first = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
+    return first.select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 class Profiles:
