@@ -18,12 +18,12 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def extend(a: np.ndarray, b: np.ndarray, i: int, j: int, step: int, drop: int = 6) -> int:
-    """How far a match goes on from words i, j in direction ``step``: +1 a match, -2 a difference, up to a drop."""
+def extend(a: np.ndarray, b: np.ndarray, i: int, j: int, step: int, drop: int = 6, cost: int = 2) -> int:
+    """How far a match goes on from words i, j in direction ``step``: +1 a match, -``cost`` a difference, up to a drop."""
     best = at = score = n = 0
     while 0 <= i < len(a) and 0 <= j < len(b):
         n += 1
-        score += 1 if a[i] == b[j] else -2
+        score += 1 if a[i] == b[j] else -cost
         if score > best:
             best, at = score, n
         if score <= best - drop:
