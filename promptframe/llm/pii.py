@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 from promptframe.session import ship_package
 
+from .common import drop_table, materialise
+
 KINDS = ("email", "ip", "card", "phone")
 ADDED = (*KINDS, "secret")
 #: Documents that the trees are trained on, at most.
@@ -39,6 +41,8 @@ TRAIN_DOCS = 3000
 #: Share of right ones among the held-out candidates above a kind's threshold, at least.
 PRECISION = 0.98
 TREES, DEPTH = 20, 4
+#: Candidates that are scored at once.
+BLOCK = 4096
 
 Span = tuple[str, int, int]
 
@@ -46,7 +50,7 @@ Span = tuple[str, int, int]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_CHAIN = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
@@ -101,12 +105,41 @@ def base_spans(text: str) -> list[Span]:
 
 # --- candidates ----------------------------------------------------------------------------------------------
 
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[({<]? ?(?:at|AT) ?[\])}>]? ?[A-Za-z0-9-]{1,63}"
-                      r"(?: ?(?:[\[({<] ?)?(?:dot|DOT|\.)(?: ?[\])}>])? ?[A-Za-z0-9-]{2,63}){1,3}")
+#: A local part starts where its run of signs starts, so that long runs cost one attempt; a label of a domain has at most 63 signs.
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?[\[({<]? ?(?:at|AT) ?[\])}>]? ?[A-Za-z0-9-]{1,63}"
+                      r"(?: ?(?:[\[({<] ?)?(?:dot|DOT|\.)(?: ?[\])}>])? ?[A-Za-z0-9-]{2,63})+")
 _SPELLED_CUE = re.compile(r"[\[({< ](?:dot|DOT)[\])}> ]|[\[({<] ?(?:at|AT) ?[\])}>]")
-_NUMBER = re.compile(r"[+(]?[0-9](?:[\x20()./_:\[\]-]{0,3}[0-9]){6,24}")
-_GROUPS = re.compile(r"[0-9]+(?:[\x20()./_:\[\]-]{1,3}[0-9]+){3,}")
-_SECRET = re.compile(r"([A-Za-z_][A-Za-z0-9_.-]{1,40})[\x20\t]?[=:][\x20\t]?[\"']?([A-Za-z0-9+/_=-]{16,200})")
+_NUMBER = re.compile(r"[+(]?[0-9](?:[\x20()./_:\[\]-]{0,3}[0-9]){6,}")
+_GROUPS = re.compile(r"(?<![0-9])[0-9]+(?:[\x20()./_:\[\]-]{1,3}[0-9]+){3,}")
+_SECRET = re.compile(r"([A-Za-z_][A-Za-z0-9_.-]{1,40})[\x20\t]?[=:][\x20\t]?[\"']?([A-Za-z0-9+/_=-]{16,})")
+
+
+#: Digits of a number that is proposed whole; of longer rows of numbers neighbouring groups are.
+WHOLE_DIGITS = 25
+
+
+def _card_windows(groups: list) -> list[Span]:
+    """Neighbouring groups of digits that hold 16 to 19 digits together."""
+    out = []
+    for i, first in enumerate(groups):
+        n = 0
+        for last in groups[i:i + 19]:
+            n += last.end() - last.start()
+            if n > 19:
+                break
+            if n >= 16:
+                out.append(("card", first.start(), last.end()))
+    return out
+
+
+def _near(text: str, cue: re.Match) -> tuple[int, int]:
+    """The text about a cue: 140 signs on either side, and on to the ends of the runs of signs there."""
+    lo, hi = max(0, cue.start() - 140), min(len(text), cue.end() + 140)
+    while lo > 0 and text[lo - 1] in _LOCAL:
+        lo -= 1
+    while hi < len(text) and text[hi] in _LOCAL:
+        hi += 1
+    return lo, hi
 
 
 def candidates(text: str) -> list[Span]:
@@ -114,12 +147,13 @@ def candidates(text: str) -> list[Span]:
     out = []
     if _SPELLED_CUE.search(text):
         for cue in _SPELLED_CUE.finditer(text):
-            lo = max(0, cue.start() - 140)
-            out += [("email", m.start(), m.end()) for m in _SPELLED.finditer(text, lo, min(len(text), cue.end() + 140))
+            out += [("email", m.start(), m.end()) for m in _SPELLED.finditer(text, *_near(text, cue))
                     if m.start() <= cue.start() < m.end()]
     for m in _NUMBER.finditer(text):
         n = sum(map(len, _DIGITS.findall(m.group())))
-        if n >= 16:
+        if n > WHOLE_DIGITS:
+            out += _card_windows(list(_DIGITS.finditer(text, m.start(), m.end())))
+        elif n >= 16:
             out.append(("card", m.start(), m.end()))
         elif n >= 7:
             out.append(("phone", m.start(), m.end()))
@@ -264,9 +298,10 @@ class Trees:
         """Of each text's candidates, those at or above their kind's threshold."""
         flat = [(i, c) for i, cs in enumerate(found) for c in cs if c[0] in self.thresholds]
         out: list[list[Span]] = [[] for _ in found]
-        if flat:
-            p = self.probability(np.asarray([features(texts[i], c) for i, c in flat]))
-            for (i, c), q in zip(flat, p):
+        for first in range(0, len(flat), BLOCK):
+            part = flat[first:first + BLOCK]
+            p = self.probability(np.asarray([features(texts[i], c) for i, c in part]))
+            for (i, c), q in zip(part, p):
                 if q >= self.thresholds[c[0]]:
                     out[i].append(c)
         return out
@@ -303,6 +338,22 @@ def _calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+def _sample(docs: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
+    """(h, text): the ``limit`` smallest hashes among documents with a digit or an at-sign, repeated rows once.
+
+    A bound on the hash, from the approximate number of documents, keeps about twice as many; the texts
+    stay spread over tasks, and only hashes are put in order.
+    """
+    rows = (docs.where(F.col(text_col).rlike("[0-9@]"))
+            .select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text")))
+    many = rows.agg(F.approx_count_distinct("h")).first()[0]
+    share = min(1.0, 2 * limit / max(many, 1))
+    near = rows.where(F.col("h") <= int(-2 ** 63 + share * (2 ** 64 - 2 ** 11))) if share < 1 else rows
+    near = materialise(near.groupBy("h").agg(F.min("text").alias("text")), "pii-sample")
+    last = near.select("h").orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    return near.where(F.col("h") <= F.lit(last))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_DOCS) -> Trees:
     """Train on at most ``limit`` documents with a digit or an at-sign, chosen by hash."""
     from pyspark.ml.classification import GBTClassifier
@@ -310,9 +361,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
 
     spark = docs.sparkSession
     ship_package(spark)
-    sample = (docs.where(F.col(text_col).rlike("[0-9@]"))
-              .select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-              .orderBy("h").limit(limit))
+    sample = _sample(docs, id_col, text_col, limit)
 
     def rows(batches):
         for batch in batches:
@@ -324,6 +373,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
                 "x": pa.array([r[3] for r in found], pa.list_(pa.float64()))})
 
     made = sample.mapInArrow(rows, "h long, kind string, label double, x array<double>").collect()  # bounded by ``limit``
+    drop_table(sample)
     made.sort(key=lambda r: (r["h"], r["kind"], r["x"]))
     train = [(r["label"], r["x"]) for r in made if r["h"] % 4]
     if len({y for y, _ in train}) < 2:
@@ -357,7 +407,7 @@ def _joined(spans: list[Span]) -> str:
 
 
 def find_spans(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, base counts by kind, base_sha256 and all spans (base and added)."""
+    """Per row: doc_id, base counts by kind, base_sha256, all spans (base and added) and how many were added."""
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(trees)
@@ -378,9 +428,10 @@ def find_spans(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col:
                 cols[f"n_{k}"] = pa.array([sum(s[0] == k for s in own) for own in base], pa.int64())
             cols["base_sha256"] = pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b in base], pa.string())
             cols["spans"] = pa.array([_joined(s) for s in every], pa.string())
+            cols["n_added"] = pa.array([len(s) - len(own) for s, own in zip(every, base)], pa.int64())
             yield pa.RecordBatch.from_pydict(cols)
 
-    schema = ("doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    schema = ("doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, schema)
 
 

@@ -17,6 +17,27 @@ def test_short_ip_is_a_candidate():
         assert ("ip", *want) in pii.candidates(text), text
 
 
+def test_long_candidates_are_whole():
+    secret, name = "a1" * 150, "q" * 80
+    assert ("secret", 6, 306) in pii.candidates("token=" + secret)
+    text = f"write {name}[at]one[dot]two[dot]three[dot]four[dot]five now"
+    assert ("email", 6, len(text) - 4) in pii.candidates(text)
+    row = "4000 1234 5678 9017 " * 4  # a long row of numbers still holds cards
+    assert {("card", i, i + 19) for i in (0, 20, 40, 60)} <= set(pii.candidates(row))
+    assert len(pii.candidates("z" * 300_000 + " dot com " + "7" * 300_000)) < 10
+
+
+def test_sample_is_the_smallest_hashes(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    rows = [(i, f"text {i}") for i in range(2000)] + [(7, "text 7")] * 900 + [(i, None) for i in range(20)] + [(5000, "none")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    every = sorted(r[0] for r in docs.where("text rlike '[0-9@]'").selectExpr("xxhash64(doc_id, text)").distinct().collect())
+    for limit in (100, 5000):
+        assert sorted(r["h"] for r in pii._sample(docs, "doc_id", "text", limit).collect()) == every[:limit]
+    assert pii._sample(docs.limit(0), "doc_id", "text", 10).count() == 0
+
+
 def test_planted_loose_spans(spark, tmp_path):
     rnd = random.Random(4)
     prose = lambda n: " ".join("".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(2, 7))) for _ in range(n))
