@@ -2,13 +2,14 @@
 
 Two views of a page: its text (presence of hashed words) and its metadata
 (source, language, and the layout: length, lines, shares of letters, capitals, digits and
-marks).  Each view has a logistic classifier.  Over ``ROUNDS`` rounds each classifier
-scores a pool of unlabelled pages, and its confident ones become pseudo-labels for
-the other view.  Both are then calibrated on labelled pages kept out of training, and a
-logistic combination of the two, fitted there too, scores all documents.
+marks).  Each view has a logistic classifier.  Over ``ROUNDS`` rounds both classifiers
+score all unlabelled pages, and of the pages one is confident of (``CONFIDENT``), the ``PER_ROUND`` surest,
+which are ranked over all of them, become pseudo-labels for the other view.  Both are then calibrated on labelled
+pages kept out of training, and a logistic combination of the two, fitted there too, scores all documents.
 
-The classifiers are fitted on bounded samples, chosen by hash: ``TRAIN_ROWS`` labelled
-and ``POOL_ROWS`` unlabelled rows.  Every document is scored over its whole text.
+The classifiers are fitted on at most ``TRAIN_ROWS`` labelled rows, chosen by hash, and ``PER_ROUND``
+pseudo-labels a view and round.  Every document is scored over its whole text.  An id that several rows bear
+counts once in training, by the row with the smallest hash of its content.
 
 Defined results: a null text is empty and is scored by its metadata; null metadata is
 a value of its own; a target with one label only gives the share of that label;
@@ -22,7 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptframe.session import ship_package
@@ -30,7 +31,7 @@ from promptframe.session import ship_package
 from .blocks import text_blocks, words
 
 SLOTS = 1 << 16
-TRAIN_ROWS, POOL_ROWS = 12_000, 4000
+TRAIN_ROWS = 12_000
 ROUNDS, CONFIDENT, PER_ROUND = 3, 0.95, 400
 NAMES, LAYOUT = 64, 10
 META = 2 * NAMES + LAYOUT
@@ -122,42 +123,46 @@ def _logit(p: np.ndarray) -> np.ndarray:
 class CoTrained:
     """Both views of one target, calibrated and combined."""
 
-    def __init__(self, content: list, meta: np.ndarray, y: np.ndarray, held: np.ndarray, pool: tuple[list, np.ndarray]):
+    def __init__(self, content: list, meta: np.ndarray, y: np.ndarray, held: np.ndarray):
         self.constant = float(y.mean()) if len(np.unique(y[~held])) < 2 else None
         if self.constant is not None:
             return
         own = np.flatnonzero(~held)
-        x = ([content[i] for i in own], meta[own])
-        labels, taken = [y[own].copy(), y[own].copy()], [set(), set()]
-        data = [list(x[0]), x[1]]
+        self.labels, self.taken = [y[own].copy(), y[own].copy()], [set(), set()]
+        self.data = [[content[i] for i in own], meta[own]]
+        at = np.flatnonzero(held)
+        self.kept_out = ([content[i] for i in at], meta[at]), y[at]
         self.views = [Logistic(SLOTS, 2e-3), Logistic(META, 1e-4)]
-        for step in range(ROUNDS + 1):
-            for view, rows, given in zip(self.views, data, labels):
-                view.fit(rows, given)
-                view.steps = 30  # later rounds go on from the weights there are
-            self.curves = [(1.0, 0.0), (1.0, 0.0)]
-            at = np.flatnonzero(held)
-            if len(at) and len(np.unique(y[at])) == 2:
-                both = [content[i] for i in at], meta[at]
-                self.curves = [_platt(v.margin(b), y[at]) for v, b in zip(self.views, both)]
-            if step == ROUNDS or not len(pool[0]):
-                break
-            scores = [self._one(0, pool[0]), self._one(1, pool[1])]
-            for giver, taker in ((0, 1), (1, 0)):
-                p = scores[giver]
-                sure = [i for i in np.argsort(-np.abs(p - 0.5)) if max(p[i], 1 - p[i]) >= CONFIDENT and i not in taken[taker]]
-                sure = sure[:PER_ROUND]
-                taken[taker].update(sure)
-                labels[taker] = np.concatenate([labels[taker], (p[sure] > 0.5).astype(float)])
-                if taker == 0:
-                    data[0] += [pool[0][i] for i in sure]
-                elif sure:
-                    data[1] = np.concatenate([data[1], pool[1][sure]])
+        self.learn()
+
+    def learn(self) -> None:
+        """Fit both views to the labels they have, and their curves to the pages kept out."""
+        for view, rows, given in zip(self.views, self.data, self.labels):
+            view.fit(rows, given)
+            view.steps = 30  # later rounds go on from the weights there are
+        (both, y), self.curves = self.kept_out, [(1.0, 0.0), (1.0, 0.0)]
+        if len(np.unique(y)) == 2:
+            self.curves = [_platt(v.margin(b), y) for v, b in zip(self.views, both)]
+
+    def take(self, view: int, pages: list) -> None:
+        """Pseudo-labels (page, slots, meta, label) for a view."""
+        self.taken[view].update(p[0] for p in pages)
+        if pages:
+            self.labels[view] = np.concatenate([self.labels[view], [p[3] for p in pages]])
+            new = [np.asarray(p[1], np.int64) for p in pages] if view == 0 else np.asarray([p[2] for p in pages])
+            self.data[view] = self.data[view] + new if view == 0 else np.concatenate([self.data[view], new])
+
+    def finish(self) -> None:
+        """The mix of the two views; what was learned from is let go, so that the model is small."""
+        if self.constant is not None:
+            return
+        both, y = self.kept_out
         self.mix = (0.5, 0.5, 0.0)
-        if len(at) and len(np.unique(y[at])) == 2:
+        if len(np.unique(y)) == 2:
             z = np.stack([_logit(self._one(0, both[0])), _logit(self._one(1, both[1]))], 1)
-            m = Logistic(2, 1e-5, 300).fit(z, y[at])
+            m = Logistic(2, 1e-5, 300).fit(z, y)
             self.mix = (max(m.w[0], 0.0), max(m.w[1], 0.0), float(m.b))
+        del self.labels, self.data, self.kept_out
 
     def _one(self, view: int, x) -> np.ndarray:
         a, b = self.curves[view]
@@ -188,6 +193,57 @@ def _views(rows: DataFrame) -> list:
     return sorted(found, key=lambda r: r["h"])
 
 
+def _surest(rows: DataFrame, known: DataFrame, models: dict[str, CoTrained]) -> list:
+    """Of every target and giving view, among rows without a label (``known`` has the labelled ``h``), the ``PER_ROUND`` unlabelled pages it is surest of, with their views."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(
+        {t: (m.views, m.curves, [np.fromiter(m.taken[1 - g], np.int64) for g in (0, 1)]) for t, m in models.items()})
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                c = part.select(["source", "lang"]).to_pydict()
+                views = list(page_views(part.column(0), c["source"], c["lang"]))
+                x = [v[0] for v in views], np.asarray([v[1] for v in views])
+                h = part.column(3).to_numpy()
+                found: list[tuple] = []
+                for t, (own, curves, taken) in shared.value.items():
+                    for giver in (0, 1):
+                        a, b = curves[giver]
+                        p = 1 / (1 + np.exp(-np.clip(a * own[giver].margin(x[giver]) + b, -30, 30)))
+                        sure = np.maximum(p, 1 - p)
+                        found += [(t, giver, float(p[i]), float(sure[i]), int(h[i]))
+                                  for i in np.flatnonzero((sure >= CONFIDENT) & ~np.isin(h, taken[giver]))]
+                cols = list(zip(*found)) or [[]] * 5
+                yield pa.RecordBatch.from_pydict({n: pa.array(list(v), k) for n, v, k in zip(
+                    ("target", "giver", "p", "sure", "h"), cols,
+                    (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))})
+
+    best = Window.partitionBy("target", "giver").orderBy(F.desc("sure"), "h", "p")
+    # Labelled pages go after scoring, so that no text is shuffled; an id of many rows counts once.
+    scored = (rows.select("text", "source", "lang", "h")
+              .mapInArrow(run, "target string, giver long, p double, sure double, h long")
+              .groupBy("target", "giver", "h").agg(F.max(F.struct("sure", "p")).alias("s"))
+              .join(known.select("h"), "h", "left_anti").select("target", "giver", "h", "s.*"))
+    # The rank's limit goes before the shuffle, so a task sends at most PER_ROUND rows a target and view.
+    top = scored.withColumn("__rank", F.row_number().over(best)).where(F.col("__rank") <= PER_ROUND).collect()
+    shared.destroy()
+    if not top:
+        return []
+    picked = spark.createDataFrame([(h,) for h in sorted({r["h"] for r in top})], "h long")  # at most 4 * PER_ROUND
+    chosen = rows.join(F.broadcast(picked), "h").select("*", *[F.lit(0.0).alias(t) for t in TARGETS])
+    views = {r["h"]: r for r in _views(_one_each(chosen, "h"))}
+    return [(r["target"], r["giver"], (r["h"], views[r["h"]]["slots"], views[r["h"]]["meta"], float(r["p"] > 0.5)))
+            for r in sorted(top, key=lambda r: (r["target"], r["giver"], r["__rank"])) if r["h"] in views]
+
+
+def _one_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row of every ``key``: the one with the smallest hash of its content."""
+    content = F.struct(F.xxhash64("text", "source", "lang").alias("c"), "text", "source", "lang", "h", *TARGETS)
+    return rows.groupBy(key).agg(F.min(content).alias("r")).select("r.*")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         lang_col: str = "lang") -> dict[str, CoTrained | None]:
     """One co-trained classifier per target."""
@@ -197,15 +253,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
         *[F.max(F.col(t).cast("double")).alias(t) for t in TARGETS]).where("quality is not null and toxic is not null")
     ids = known.orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
-    train = _views(rows.join(F.broadcast(ids), "id"))  # at most TRAIN_ROWS ids
-    free = (rows.select("id", "h").join(known, "id", "left_anti").where("id is not null").distinct()
-            .orderBy("h", "id").limit(POOL_ROWS).select("id"))
-    pool = _views(rows.join(F.broadcast(free), "id").select("*", *[F.lit(0.0).alias(t) for t in TARGETS]))
+    train = _views(_one_each(rows.join(F.broadcast(ids), "id"), "id"))  # at most TRAIN_ROWS ids
+    if not train:
+        return {t: None for t in TARGETS}
     content, meta = [np.asarray(r["slots"], np.int64) for r in train], np.asarray([r["meta"] for r in train])
-    spare = ([np.asarray(r["slots"], np.int64) for r in pool], np.asarray([r["meta"] for r in pool]).reshape(-1, META))
     held = np.asarray([r["h"] % 4 == 0 for r in train], bool)
-    return {t: CoTrained(content, meta, np.asarray([r[t] for r in train]), held, spare) if train else None
-            for t in TARGETS}
+    models = {t: CoTrained(content, meta, np.asarray([r[t] for r in train]), held) for t in TARGETS}
+    learners = {t: m for t, m in models.items() if m.constant is None}
+    rows, known = rows.where("id is not null"), known.select(F.xxhash64("id").alias("h"))
+    for _ in range(ROUNDS if learners else 0):
+        found = _surest(rows, known, learners)
+        if not found:
+            break
+        for t, m in learners.items():
+            for giver in (0, 1):
+                m.take(1 - giver, [page for target, g, page in found if (target, g) == (t, giver)])
+            m.learn()
+    for m in models.values():
+        m.finish()
+    return models
 
 
 def score_documents(docs: DataFrame, models: dict[str, CoTrained], id_col: str = "doc_id", text_col: str = "text",
