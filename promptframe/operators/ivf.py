@@ -1,9 +1,9 @@
 """Inverted-file vector search, and exact search between two large tables, both by tiles.
 
 A tile holds up to ``TILE_ROWS`` vectors of one posting list as one row: their ids and one matrix.  Search joins query
-tiles with store tiles by (list, part) and scores a pair of tiles as one matrix product, so no row per pair of vectors
-exists; a pair leaves at most ``k`` hits a query, and a window limited to ``k`` (planned with a limit before
-the shuffle) keeps the best under the total order (score descending, id ascending).
+tiles with store tiles by (list, part), or brings groups of tiles together where all meet all (``_crossed``), and scores them
+as one matrix product, so no row per pair of vectors exists; a product leaves at most ``k`` hits a query, and a window limited to ``k``
+(planned with a limit before the shuffle) keeps the best under the total order (score descending, id ascending).
 
 *Index* (``build_ivf``): a coarse quantiser of ``lists`` centres is fitted on a bounded, documented sample
 (``SAMPLE_PER_LIST * lists`` rows with the least id hash); **every** row is then assigned to its nearest
@@ -12,7 +12,7 @@ queries meet each part in a task of its own, so a list with a third of all rows
 *Search* (``search_ivf``): a query visits its ``nprobe`` nearest lists; hits are scored exactly.  With ``nprobe`` at
 the number of lists the result is the exact one.
 
-``knn_tiled`` is exact search with one list: the way ``knn_search`` goes when neither side can be broadcast.
+``knn_tiled`` is exact search without lists: the way ``knn_search`` goes when neither side can be broadcast.
 
 Rows with a null vector take no part; vectors of unequal length are an error; an empty store or no query gives no hits.
 """
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import scratch_path, ship_package
 from .spectral import matrix
@@ -37,6 +38,8 @@ SAMPLE_PER_LIST = 64
 MAX_LISTS = 4096
 NPROBE = 8
 TURNS = 15
+#: Values of one side's vectors in one task of a search that compares all with all (32 MB).
+CELL_VALUES = 4_000_000
 
 
 class IvfIndex(NamedTuple):
@@ -126,7 +129,7 @@ def _ids(column: pa.Array, kind: T.DataType) -> np.ndarray:
 
 def _searched(queries: DataFrame, store: DataFrame, k: int, metric: str, gamma: float, exclude_self: bool) -> DataFrame:
     """Best ``k`` of every query over pairs of query tiles and store tiles with the same (list, part)."""
-    from .vectors import _emit, _score
+    from .vectors import best_hits
 
     q_kind, s_kind = queries.schema["ids"].dataType.elementType, store.schema["ids"].dataType.elementType
 
@@ -136,23 +139,78 @@ def _searched(queries: DataFrame, store: DataFrame, k: int, metric: str, gamma:
                 q_ids, s_ids = _ids(batch.column(0)[i].values, q_kind), _ids(batch.column(2)[i].values, s_kind)
                 q = np.frombuffer(batch.column(1)[i].as_buffer()).reshape(len(q_ids), -1)
                 s = np.frombuffer(batch.column(3)[i].as_buffer()).reshape(len(s_ids), -1)
-                if q.shape[1] != s.shape[1]:
-                    raise ValueError("vectors of unequal length")
-                out: tuple[list, ...] = ([], [], [], [])
-                _emit(_score(s, q, metric, gamma), s_ids, q_ids, k, exclude_self, out)
+                out = best_hits(q_ids, q, s_ids, s, k, metric, gamma, exclude_self)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[0], batch.column(0).type.value_type), pa.array(out[1], batch.column(2).type.value_type),
                      pa.array(out[2], pa.float64())], ["q_id", "s_id", "score"])
 
-    met = (queries.select("list", "part", F.col("ids").alias("q_ids"), F.col("matrix").alias("q"))
+    # The sizes Spark guesses for rows out of Python are those of the rows that went in: neither side may be broadcast on them.
+    met = (queries.select("list", "part", F.col("ids").alias("q_ids"), F.col("matrix").alias("q")).hint("merge")
            .join(store.select("list", "part", F.col("ids").alias("s_ids"), F.col("matrix").alias("s")), ["list", "part"]))
-    schema = T.StructType([T.StructField("q_id", q_kind), T.StructField("s_id", s_kind), T.StructField("score", T.DoubleType())])
-    found = met.select("q_ids", "q", "s_ids", "s").mapInArrow(run, schema)
+    return _ranked(met.select("q_ids", "q", "s_ids", "s").mapInArrow(run, _hit_schema(q_kind, s_kind)), k)
+
+
+def _hit_schema(q_kind: T.DataType, s_kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("q_id", q_kind), T.StructField("s_id", s_kind), T.StructField("score", T.DoubleType())])
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("q_id").orderBy(F.col("score").desc(), F.col("s_id"))
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("q_id", F.col("rank").cast("int").alias("rank"), "s_id", "score"))
 
 
+def _side(tiles: pa.Table, kind: T.DataType) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and matrix of all tiles of a table with the columns ``ids`` and ``matrix``."""
+    ids = [_ids(v.values, kind) for v in tiles.column("ids")]
+    parts = [np.frombuffer(v.as_buffer()).reshape(len(i), -1) for i, v in zip(ids, tiles.column("matrix"))]
+    if len({p.shape[1] for p in parts}) > 1:
+        raise ValueError("vectors of unequal length")
+    return np.concatenate(ids), np.concatenate(parts)
+
+
+def _crossed(queries: DataFrame, store: DataFrame, n_queries: int, n_store: int, dim: int, k: int, metric: str, gamma: float,
+             exclude_self: bool) -> DataFrame:
+    """Best ``k`` of every query when every query tile meets every store tile.
+
+    Tiles of both sides are dealt into groups of about ``CELL_VALUES`` values, and a task scores one group of queries
+    against one group of the store: a tile is sent once for each group of the other side (not for each tile or list),
+    a task holds two groups, and a query leaves ``k`` hits for each group of the store.
+    """
+    from .vectors import best_hits
+
+    q_kind, s_kind = queries.schema["ids"].dataType.elementType, store.schema["ids"].dataType.elementType
+    schema = _hit_schema(q_kind, s_kind)
+    rows = max(TILE_ROWS, CELL_VALUES // max(dim, 1))
+    s_groups = max(1, math.ceil(n_store / rows))
+    # Small inputs still give every core some groups of queries.
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    q_groups = max(1, math.ceil(n_queries / rows), min(math.ceil(n_queries / TILE_ROWS), math.ceil(3 * cores / s_groups)))
+
+    def dealt(tiles, own, groups, other, others):
+        group = F.pmod(F.xxhash64("ids", "matrix"), F.lit(groups)).cast("int")
+        return tiles.select(group.alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other), "ids", "matrix")
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows or not held.num_rows:
+            return pa.Table.from_pylist([], to_arrow_schema(schema))
+        (q_ids, q), (s_ids, s) = _side(asked, q_kind), _side(held, s_kind)
+        out = best_hits(q_ids, q, s_ids, s, k, metric, gamma, exclude_self)
+        return pa.Table.from_arrays([pa.array(out[0], asked.schema.field("ids").type.value_type),
+                                     pa.array(out[1], held.schema.field("ids").type.value_type),
+                                     pa.array(out[2], pa.float64())], names=["q_id", "s_id", "score"])
+
+    left = dealt(queries, "qg", q_groups, "sg", s_groups).groupBy("qg", "sg")
+    right = dealt(store, "sg", s_groups, "qg", q_groups).groupBy("qg", "sg")
+    return _ranked(left.cogroup(right).applyInArrow(run, schema), k)
+
+
+def _extent(rows: DataFrame) -> tuple[int, int]:
+    """How many rows, and the longest vector."""
+    n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    return n, dim or 0
+
+
 def _given(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("vector"))
     return rows.where(F.col("vector").isNotNull())
@@ -223,15 +281,19 @@ def search_ivf(index: IvfIndex, queries: DataFrame, k: int = 3, nprobe: int = NP
 
 def knn_tiled(queries: DataFrame, store: DataFrame, k: int = 3, q_id: str = "q_id", q_vec: str = "vector", s_id: str = "id",
               s_vec: str = "vector", metric: str = "cosine", gamma: float = 1.0, exclude_self: bool = False,
-              n_store: int | None = None, part_rows: int = PART_ROWS) -> DataFrame:
-    """Exact best ``k`` of every query, neither side broadcast: one lazy join of tiles."""
+              part_rows: int = PART_ROWS) -> DataFrame:
+    """Exact best ``k`` of every query, neither side broadcast: groups of tiles of both sides meet.
+
+    A tile of the store holds at most ``part_rows`` rows.
+    """
     spark = queries.sparkSession
     ship_package(spark)
-    rows = _given(store, s_id, s_vec)
-    n = rows.count() if n_store is None else n_store
-    parts = max(1, math.ceil(n / part_rows))
-    one = spark.createDataFrame([(0, parts)], "list int, parts int")
-    tiles = _tiles(rows.select(F.lit(0).alias("list"), "id", "vector"), one)
-    asked = _tiles(_given(queries, q_id, q_vec).select(F.lit(0).alias("list"), "id", "vector"), None)
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return _searched(asked, tiles, k, metric, gamma, exclude_self)
+    rows, asked = _given(store, s_id, s_vec), _given(queries, q_id, q_vec)
+    (n, dim), (n_queries, _) = _extent(rows), _extent(asked)
+
+    def tiles(side, count, most):
+        one = spark.createDataFrame([(0, max(1, math.ceil(count / most)))], "list int, parts int")
+        return _tiles(side.select(F.lit(0).alias("list"), "id", "vector"), one)
+
+    return _crossed(tiles(asked, n_queries, PART_ROWS), tiles(rows, n, part_rows), n_queries, n, dim, k, metric, gamma,
+                    exclude_self)

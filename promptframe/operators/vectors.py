@@ -137,24 +137,66 @@ def _score(a: np.ndarray, b: np.ndarray, metric: str, gamma: float) -> np.ndarra
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def _topk_cols(scores: np.ndarray, ids: np.ndarray, k: int):
-    """For each column, the best ``k`` rows under (score desc, id asc)."""
-    n = scores.shape[0]
-    if n <= k:
-        for j in range(scores.shape[1]):
-            order = np.lexsort((ids, -scores[:, j]))
-            yield j, order
-        return
-    part = np.argpartition(-scores, k - 1, axis=0)[:k]
-    kth = np.take_along_axis(scores, part, axis=0).min(axis=0)
-    ties = (scores >= kth[None, :]).sum(axis=0)
-    for j in range(scores.shape[1]):
-        if ties[j] > k:
-            cand = np.nonzero(scores[:, j] >= kth[j])[0]
-        else:
-            cand = part[:, j]
-        order = cand[np.lexsort((ids[cand], -scores[cand, j]))][:k]
-        yield j, order
+#: Columns of a score matrix whose greatest score stands for them in the first step of ``_top``.
+GROUP = 32
+
+
+def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, column, rank`` of the best ``k`` columns of every row under (score desc, column asc); NaN comes last."""
+    m, n = scores.shape
+    if n <= 4 * k or np.isnan(scores).any():
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        width = order.shape[1]
+        return np.repeat(np.arange(m), width), order.ravel(), np.tile(np.arange(1, width + 1), m)
+    # The k-th greatest of the groups' maxima is no more than the row's k-th greatest score.
+    groups = n // GROUP
+    maxima = scores[:, :groups * GROUP].reshape(m, GROUP, groups).max(axis=1) if groups >= 4 * k else scores
+    bound = np.partition(maxima, maxima.shape[1] - k, axis=1)[:, maxima.shape[1] - k]
+    enough = scores >= bound[:, None]
+    crowded = np.flatnonzero(enough.sum(axis=1) > 64 * k)
+    picked = []
+    for i in crowded:  # many equal scores: all greater ones, and the first of the equal ones
+        kth = np.partition(scores[i], n - k)[n - k]
+        above = np.flatnonzero(scores[i] > kth)
+        picked.append(np.concatenate([above, np.flatnonzero(scores[i] == kth)[:k - len(above)]]))
+    enough[crowded] = False
+    row, col = np.nonzero(enough)
+    row, col = np.concatenate([row, np.repeat(crowded, k)]), np.concatenate([col, *picked])
+    order = np.lexsort((col, -scores[row, col], row))
+    row, col = row[order], col[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+    best = rank <= k
+    return row[best], col[best], rank[best]
+
+
+def id_order(ids: np.ndarray) -> np.ndarray:
+    """Places of ids in ascending order, nulls first."""
+    if ids.dtype != object:
+        return np.argsort(ids, kind="stable")
+    return np.array(sorted(range(len(ids)), key=lambda i: (False,) if ids[i] is None else (True, ids[i])), int)
+
+
+def best_hits(q_ids, q, s_ids, s, k: int, metric: str, gamma: float, exclude_self: bool):
+    """``q_ids, s_ids, scores, ranks``: the best ``k`` rows of ``s`` for each row of ``q``, in blocks of ``BLOCK_CELLS`` scores."""
+    if q.shape[1] != s.shape[1]:
+        raise ValueError("vectors of unequal length")
+    order = id_order(s_ids)
+    s_ids, s = s_ids[order], s[order]
+    if metric == "cosine":  # once, not in every block
+        q, s, metric = _unit(q), _unit(s), "dot"
+    found: list[tuple] = []
+    step = max(1, BLOCK_CELLS // max(len(s), 1))
+    for first in range(0, len(q) if len(s) else 0, step):
+        scores, mine = _score(q[first:first + step], s, metric, gamma), q_ids[first:first + step]
+        if exclude_self:
+            scores[mine[:, None] == s_ids[None, :]] = -np.inf
+        row, col, rank = _top(scores, k)
+        value = scores[row, col]
+        some = ~np.isneginf(value)
+        found.append((mine[row[some]], s_ids[col[some]], value[some], rank[some]))
+    if not found:
+        return q_ids[:0], s_ids[:0], np.zeros(0), np.zeros(0, np.int64)
+    return tuple(np.concatenate(part) for part in zip(*found))
 
 
 def _collect_side(df: DataFrame, id_col: str, vec_col: str):
@@ -183,50 +225,40 @@ def _collect_side(df: DataFrame, id_col: str, vec_col: str):
 BLOCK_CELLS = 4_000_000
 
 
-def _emit(scores, cand_ids, q_ids, k, exclude_self, out):
-    if exclude_self:
-        scores = np.where(cand_ids[:, None] == q_ids[None, :], -np.inf, scores)
-    for j, rows in _topk_cols(scores, cand_ids, k + 1 if exclude_self else k):
-        rank = 0
-        for r in rows:
-            if np.isneginf(scores[r, j]) or rank == k:
-                continue
-            rank += 1
-            out[0].append(q_ids[j])
-            out[1].append(cand_ids[r])
-            out[2].append(float(scores[r, j]))
-            out[3].append(rank)
+#: Values of the store's rows that meet the broadcast queries at a time (32 MB).
+BATCH_VALUES = 4_000_000
 
 
 def _stream_mapper(bc, id_col, vec_col, k, metric, gamma, exclude_self, stream_is_query, id_type):
-    """Score each Arrow batch against the broadcast side, in bounded blocks.
+    """Score the streamed rows against the broadcast side, in bounded blocks.
 
-    Streamed queries: blocks of query rows against the whole table (final
-    answers).  Streamed table rows: the batch against blocks of broadcast
-    queries (each block's best ``k`` of this batch).
+    Streamed queries: each batch against the whole table (final answers).
+    Streamed table rows: batches of up to ``BATCH_VALUES`` values against all broadcast
+    queries (the best ``k`` of these rows for every query).
     """
+    def hits(frames, side_ids, side_mat):
+        ids = np.concatenate([f[id_col].to_numpy() for f in frames])
+        mat = np.stack([np.asarray(v, dtype=np.float64) for f in frames for v in f[vec_col]])
+        asked = (ids, mat, side_ids, side_mat) if stream_is_query else (side_ids, side_mat, ids, mat)
+        out = best_hits(*asked, k, metric, gamma, exclude_self)
+        return pd.DataFrame({"q_id": pd.Series(out[0], dtype=id_type[0]),
+                             "s_id": pd.Series(out[1], dtype=id_type[1]),
+                             "score": pd.Series(out[2], dtype="float64"),
+                             "rank": pd.Series(out[3], dtype="int32")})
+
     def run(batches):
         side_ids, side_mat = bc.value
+        held, values = [], 0
         for pdf in batches:
             if len(pdf) == 0 or len(side_ids) == 0:
                 continue
-            sids = pdf[id_col].to_numpy()
-            mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            out = ([], [], [], [])
-            if stream_is_query:
-                step = max(1, BLOCK_CELLS // len(side_ids))
-                for b in range(0, len(sids), step):
-                    scores = _score(side_mat, mat[b:b + step], metric, gamma)   # table rows x queries
-                    _emit(scores, side_ids, sids[b:b + step], k, exclude_self, out)
-            else:
-                step = max(1, BLOCK_CELLS // len(sids))
-                for b in range(0, len(side_ids), step):
-                    scores = _score(mat, side_mat[b:b + step], metric, gamma)   # batch rows x queries
-                    _emit(scores, sids, side_ids[b:b + step], k, exclude_self, out)
-            yield pd.DataFrame({"q_id": pd.Series(out[0], dtype=id_type[0]),
-                                "s_id": pd.Series(out[1], dtype=id_type[1]),
-                                "score": pd.Series(out[2], dtype="float64"),
-                                "rank": pd.Series(out[3], dtype="int32")})
+            held.append(pdf)
+            values += len(pdf) * side_mat.shape[1]
+            if stream_is_query or values >= BATCH_VALUES:
+                yield hits(held, side_ids, side_mat)
+                held, values = [], 0
+        if held:
+            yield hits(held, side_ids, side_mat)
     return run
 
 
@@ -274,15 +306,14 @@ def knn_search(queries: DataFrame, store: DataFrame, k: int = 3, q_id: str = "q_
     if ns * max(dim, 1) * 8 <= broadcast_limit:
         bc = spark.sparkContext.broadcast(_collect_side(s, s_id, s_vec))
         q.unpersist()
-        part = spread(q).mapInPandas(_stream_mapper(bc, q_id, q_vec, k, metric, gamma, exclude_self, True,
-                                                    (types[1], types[0])), out_schema)
+        part = spread(q).mapInPandas(_stream_mapper(bc, q_id, q_vec, k, metric, gamma, exclude_self, True, types), out_schema)
         # Every task holds whole queries: its ranks are final, no shuffle.
         return part.select("q_id", "rank", "s_id", "score")
     # Both sides large: tiles of both meet in one lazy join.
     q.unpersist()
     from .ivf import knn_tiled
 
-    return knn_tiled(queries, s, k, q_id, q_vec, s_id, s_vec, metric, gamma, exclude_self, ns,
+    return knn_tiled(queries, s, k, q_id, q_vec, s_id, s_vec, metric, gamma, exclude_self,
                      max(1, broadcast_limit // (max(dim, 1) * 8)))
 
 
