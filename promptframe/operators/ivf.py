@@ -272,6 +272,15 @@ def search_ivf(index: IvfIndex, queries: DataFrame, k: int = 3, nprobe: int = NP
                                T.StructField("s_id", index.tiles.schema["ids"].dataType.elementType),
                                T.StructField("score", T.DoubleType())])
         return spark.createDataFrame([], schema)
+    if nprobe >= len(index.centres):
+        # Every query meets every list: no copy of a query per list is needed.
+        asked = _given(queries, q_id, q_vec)
+        n, dim = _extent(asked)
+        if n and dim != index.centres.shape[1]:
+            raise ValueError("vectors of unequal length")
+        parts = spark.createDataFrame([(0, max(1, math.ceil(n / PART_ROWS)))], "list int, parts int")
+        return _crossed(_tiles(asked.select(F.lit(0).alias("list"), "id", "vector"), parts), index.tiles, n,
+                        int(index.sizes.sum()), dim, k, index.metric, 1.0, exclude_self)
     visits = _assigned(_given(queries, q_id, q_vec), index.centres, index.metric, max(1, min(nprobe, len(index.centres))))
     tiles = _tiles(visits, None).join(F.broadcast(_parts(spark, index.sizes)), "list")
     # A query tile meets every part of its list.
