@@ -67,7 +67,8 @@ def read_csv_detected(spark: SparkSession, path: str, schema=None, glob: str = "
         got = read_csv_ranges(spark, sorted(plain), {p: e for p, e in plain.items() if e != "utf-8"}, with_file=True)
         if got.columns:
             sets = spark.createDataFrame(sorted(plain.items()), "__path string, encoding string")
-            parts.append(got.join(sets, F.col("__file") == F.col("__path")).drop("__file", "__path"))
+            # One row a file, already on the driver: a join by file would bring each file's records together in one task.
+            parts.append(got.join(F.broadcast(sets), F.col("__file") == F.col("__path")).drop("__file", "__path"))
     for r in found:
         if r["path"] in wide:
             parts.append(read_csv(spark, r["path"], encoding=r["encoding"].upper()).withColumn("encoding", F.lit(r["encoding"])))

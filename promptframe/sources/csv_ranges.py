@@ -220,6 +220,6 @@ def read_csv_ranges(spark: SparkSession, path, encodings: dict[str, str] | None
     if len(kinds) == 1:
         cells = [F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]
     else:
-        rows = rows.join(heads, "file")
+        rows = rows.join(F.broadcast(heads), "file")  # one row a file; a file's records stay in many tasks
         cells = [F.get("cells", (F.array_position("names", n) - 1).cast("int")).alias(n) for n in names]
     return rows.select(*([F.col("file").alias("__file")] if with_file else []), *cells)

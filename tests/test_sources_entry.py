@@ -138,3 +138,21 @@ def test_xlsx_reader_shared_rich_phonetic_refless_and_gaps(spark):
     df = spark.read.format("xlsx").load(local)
     assert df.columns == ["name", "note"]
     assert [tuple(r) for r in df.collect()] == [("Taro", "True"), (None, None), (None, "2.5")]
+
+
+def test_detected_files_are_joined_by_broadcast(spark, tmp_path):
+    """A join by file that shuffles would put all records of one file into one task."""
+    from promptframe.sources.csv import read_csv_detected
+
+    df = spark.createDataFrame([(i, f"文本 {i}") for i in range(40)], "key int, text string")
+    write_csv(df, str(tmp_path / "gbk"), encoding="gbk")
+    write_csv(df.withColumnRenamed("text", "other"), str(tmp_path / "utf"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = read_csv_detected(spark, str(tmp_path))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert got.count() == 80 and got.where("text is not null").count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
