@@ -15,6 +15,8 @@ sort-based aggregate over the texts).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ from ..functions.tokens import tokens
 from ..session import spread
 
 
+#: Characters of text in one task: its terms, counted there, take some 30 times as many bytes.
+PART_CHARS = 8 << 20
+
+
 def bow_counts(df: DataFrame, key: str, text: str = "text", term: str = "term", count: str = "n") -> DataFrame:
     """Term counts per text: ``key, term, n`` (CountVectorizer's matrix, sparse)."""
     return (spread(df.select(key, text)).select(key, F.explode(tokens(text)).alias(term))
@@ -64,8 +70,12 @@ def similarity_scores(long: DataFrame, id_col: str = "id", slot: str = "slot", t
     terms = F.concat(F.coalesce(tokens(text), none), marker)
     # The texts are hash-partitioned by triple once (a triple holds at most three
     # texts); both aggregations below are keyed by the triple and need no other
-    # shuffle, so term rows never cross the network.
-    per_term = (long.select(id_col, slot, text).repartition(id_col)
+    # shuffle, so term rows never cross the network.  The number of partitions grows with the text, so what
+    # a task holds does not; given by number, they are not merged again.
+    texts = long.select(id_col, slot, text)
+    chars = texts.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
+    parts = max(long.sparkSession.sparkContext.defaultParallelism, math.ceil(chars / PART_CHARS))
+    per_term = (texts.repartition(parts, id_col)
                 .select(id_col, slot, F.explode_outer(terms).alias("_term"))
                 .groupBy(id_col, "_term").agg(
                     F.count_if(s == "a").alias("_na"), F.count_if(s == "b").alias("_nb"),

@@ -165,3 +165,16 @@ def test_tokens_match_countvectorizer_rule_on_random_unicode(spark):
     got = {r[0]: list(r[1]) for r in df.select("k", tokens("t")).collect()}
     rule = re.compile(r"(?u)\b\w\w+\b")                   # CountVectorizer's default token pattern
     assert all(got[i] == rule.findall(t.lower()) for i, t in enumerate(texts))
+
+
+def test_similarity_partitions_grow_with_the_text(spark, monkeypatch):
+    from promptframe.operators import similarity
+
+    df = spark.createDataFrame([(i, "one two " * 50, "two three", "one two three") for i in range(64)],
+                               "id int, alpha string, beta string, expected string")
+    plain = rows(delta_similarities(df, "id"))
+    few = delta_similarities(df, "id").rdd.getNumPartitions()
+    monkeypatch.setattr(similarity, "PART_CHARS", 500)
+    many = delta_similarities(df, "id")
+    assert many.rdd.getNumPartitions() == -(-64 * (400 + 9 + 13) // 500) > few and rows(many) == plain
+    assert delta_similarities(df.limit(0), "id").count() == 0
