@@ -1,6 +1,6 @@
 """Embedding maps (EMB1-EMB3).
 
-Texts are embedded in fixed-size batches inside ``mapInPandas``; the
+Texts are embedded in fixed-size batches inside ``mapInArrow``, ``ROWS`` rows at a time; the
 embedder is built once per Python worker from an options dict.  The vector
 stays on its row (the reference glues vectors to a slice by position and
 misaligns them when the slice does not start at 0).
@@ -8,7 +8,8 @@ misaligns them when the slice does not start at 0).
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,22 +17,27 @@ from pyspark.sql import types as T
 from ..session import checkpoint_dir, ship_package, spread
 
 
+#: Rows embedded before they are handed on (in whole batches): no more texts and vectors are Python objects at a time.
+ROWS = 256
+
+
 def _embed_mapper(key_col, out, opts, batch_size):
+    step = batch_size * max(1, ROWS // batch_size)
+
     def run(batches):
         from promptframe.operators.clients import make_embedder
 
         model = make_embedder(opts)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            # Blank keys become one space (embedders reject empty input).
-            texts = [" " if (v is None or v == "") else v for v in pdf[key_col].tolist()]
-            vecs = []
-            for i in range(0, len(texts), batch_size):
-                vecs.extend(model.embed(texts[i:i + batch_size]))
-            res = pdf.copy()
-            res[out] = pd.Series(vecs, index=pdf.index, dtype=object)
-            yield res
+        for batch in batches:
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
+                # Blank keys become one space (embedders reject empty input).
+                texts = [" " if (v is None or v == "") else v for v in part.column(key_col).to_pylist()]
+                vecs = []
+                for i in range(0, len(texts), batch_size):
+                    vecs.extend(model.embed(texts[i:i + batch_size]))
+                vecs = pa.array([None if v is None else np.asarray(v, np.float32) for v in vecs], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, vecs], [*part.schema.names, out])
     return run
 
 
@@ -43,7 +49,7 @@ def embed_rows(df: DataFrame, key_col: str, embedder: dict, batch_size: int = 1,
     fields = [f for f in df.schema.fields if f.name != out]
     schema = T.StructType(fields + [T.StructField(out, T.ArrayType(T.FloatType()))])
     src = spread(df.select(*[F.col(f"`{f.name}`") for f in fields]))
-    return src.mapInPandas(_embed_mapper(key_col, out, embedder, int(batch_size)), schema)
+    return src.mapInArrow(_embed_mapper(key_col, out, embedder, int(batch_size)), schema)
 
 
 def embed_table(df: DataFrame, key_field: str, value_fields: str | list[str], embedder: dict, start=None, end=None,
