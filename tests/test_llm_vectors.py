@@ -299,3 +299,33 @@ def test_azure_requests_and_final_errors(monkeypatch):
     base = "https://x.example/openai/deployments/d1"
     assert sent == [(f"{base}/chat/completions?api-version=2023-05-15", {"api-key": "k"}),
                     (f"{base}/embeddings?api-version=2023-05-15", {"api-key": "k"})]
+
+
+@pytest.mark.parametrize("batch_size", [1, 32, 1000])
+def test_embedding_hands_on_few_rows_at_a_time(batch_size):
+    import pyarrow as pa
+
+    from promptframe.operators import embed as E
+
+    given = pa.RecordBatch.from_pydict({"k": list(range(3000)), "t": ["some words"] * 2999 + [None]})
+    out = list(E._embed_mapper("t", "Vector", {"type": "hashing", "dim": 8}, batch_size)([given, given.slice(0, 0)]))
+    assert max(len(b) for b in out) <= max(E.ROWS, batch_size)
+    assert [k for b in out for k in b.column(0).to_pylist()] == list(range(3000))
+    assert out[0].schema.names == ["k", "t", "Vector"] and out[-1].column(2)[-1].as_py() == [0.0] * 8
+
+
+def test_streamed_store_rows_leave_their_best_once_a_block(spark, monkeypatch):
+    """Batches of the store are held up to a bounded size, so queries leave k hits a block, not k an Arrow batch."""
+    import types as kinds
+
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    s, q = rng.normal(size=(600, 8)), rng.normal(size=(7, 8))
+    frames = [pd.DataFrame({"id": range(i, i + 60), "vector": list(s[i:i + 60])}) for i in range(0, 600, 60)]
+    shared = kinds.SimpleNamespace(value=(np.arange(7), q))
+    run = V._stream_mapper(shared, "id", "vector", 3, "cosine", 1.0, False, False, ("int64", "int64"))
+    out = list(run(frames))
+    assert len(out) == 1 and {i: g.s_id.tolist() for i, g in out[0].groupby("q_id")} == _brute_topk(q, s, 3)
+    monkeypatch.setattr(V, "BATCH_VALUES", 8 * 100)
+    assert [len(f) for f in run(frames)] == [21] * 5
