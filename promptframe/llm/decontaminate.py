@@ -45,8 +45,9 @@ COVER, ANSWER = 0.65, 0.5
 ENERGY = 0.95
 #: Passages of one latent space, and latent spaces of one scan.
 INDEX_BLOCK, SCAN_BLOCKS = 256, 8
-#: Candidates checked at a time.
+#: Candidates checked at a time, and half windows summed at a time.
 CHECK = 4096
+SUMMED = 1024
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -155,6 +156,12 @@ def _space(rows: list, idf: np.ndarray, rank: int, energy: float) -> tuple:
             [r["item_id"] for r in rows], tokens, [r["answer"] for r in rows])
 
 
+def _pairs(rows: list) -> np.ndarray:
+    while len(rows) > 1:
+        rows = [a + b for a, b in zip(rows[::2], rows[1::2])]
+    return rows[0]
+
+
 def _folded_windows(slot: np.ndarray, at: np.ndarray, folded: np.ndarray, begin: np.ndarray, joined: np.ndarray):
     """The windows in the latent space, of length one; a window without a known word is zero."""
     sums = np.zeros((len(begin), folded.shape[1]), np.float32)
@@ -164,10 +171,21 @@ def _folded_windows(slot: np.ndarray, at: np.ndarray, folded: np.ndarray, begin:
         # Sums over half windows of the folded rows of known words; a window is two of them.
         part = np.searchsorted(begin, use, "right") - 1
         edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        for lo in range(0, len(edge), CHECK):
-            hi = min(lo + CHECK, len(edge))
-            stop = edge[hi] if hi < len(edge) else len(use)
-            sums[part[edge[lo:hi]]] = np.add.reduceat(folded[known[use[edge[lo]:stop]]], edge[lo:hi] - edge[lo])
+        count = np.diff(np.append(edge, len(use)))
+        # Longest first, so that the parts with a next word are the first ones: one sum of rows for each place in a part.
+        order = np.argsort(-count, kind="stable")
+        for lo in range(0, len(order), SUMMED):
+            some = order[lo:lo + SUMMED]
+            total = folded[known[use[edge[some]]]]
+            # In the order of numpy's own sums: eight and more words after the first begin in pairs.
+            eight, rest = np.searchsorted(-count[some], -8), np.zeros_like(total)
+            rest[:eight] = _pairs([folded[known[use[edge[some[:eight]] + i]]] for i in range(1, 9)])
+            for place in range(1, count[some[0]]):
+                longer = np.searchsorted(-count[some], -place)
+                first = eight if place < 9 else 0
+                rest[first:longer] += folded[known[use[edge[some[first:longer]] + place]]]
+            total += rest
+            sums[part[edge[some]]] = total
         sums[:-1] += np.where(joined[:-1, None], sums[1:], 0)
     norm = np.sqrt(np.einsum("ij,ij->i", sums, sums))
     return sums / np.maximum(norm, 1e-9)[:, None]

@@ -281,3 +281,29 @@ def test_runs_of_a_very_long_text():
     found = list(zip(*(x.tolist() for x in runs.find_runs(words))))
     assert [(n >= 22_345, q) for s, n, q in found if s <= 1_000 < s + n] == [(True, 5_000)]
     assert [(s, n, q) for s, n, q in found if q == 49_000] == [(100_000, 199_000, 49_000)]
+
+
+def test_folded_windows_are_the_sums_of_their_words():
+    """Half windows of 0 to 16 known words, in more chunks than one, bit for bit as numpy sums them."""
+    import numpy as np
+
+    from promptframe.llm import decontaminate
+
+    rng = np.random.default_rng(2)
+    half, n = decontaminate.WINDOW // 2, 3 * decontaminate.SUMMED
+    at = np.where(rng.random(500) < 0.8, rng.integers(0, 90, 500), -1)
+    slot = np.concatenate([rng.integers(0, 500, n * half // 2), rng.choice(np.flatnonzero(at < 0), half),
+                           rng.choice(np.flatnonzero(at >= 0), n * half // 2)])
+    folded = rng.normal(size=(90, 40)).astype(np.float32)
+    begin = np.arange(0, len(slot), half)
+    joined = rng.random(len(begin)) < 0.9
+    joined[-1] = False
+    sums = np.zeros((len(begin), 40), np.float32)
+    for i, b in enumerate(begin):
+        known = at[slot[b:b + half]]
+        if (known >= 0).any():
+            sums[i] = np.add.reduceat(folded[known[known >= 0]], [0])[0]
+    sums[:-1] += np.where(joined[:-1, None], sums[1:], 0)
+    got = decontaminate._folded_windows(slot, at, folded, begin, joined)
+    norm = np.sqrt(np.einsum("ij,ij->i", sums, sums))
+    assert np.array_equal(got, sums / np.maximum(norm, 1e-9)[:, None])
