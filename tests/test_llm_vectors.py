@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pytest
@@ -329,3 +330,17 @@ def test_streamed_store_rows_leave_their_best_once_a_block(spark, monkeypatch):
     assert len(out) == 1 and {i: g.s_id.tolist() for i, g in out[0].groupby("q_id")} == _brute_topk(q, s, 3)
     monkeypatch.setattr(V, "BATCH_VALUES", 8 * 100)
     assert [len(f) for f in run(frames)] == [21] * 5
+
+
+def test_search_json_asks_for_every_hundredth_id_against_all(spark, tmp_path):
+    from promptframe.plans import QUERIES
+
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(251, 8))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(None, [1.0] * 8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["q_id"]: [h.get("id") for h in json.loads(r["hits"])] for r in QUERIES["search_json"](spark, str(tmp_path)).collect()}
+    unit = np.vstack([m, np.ones(8)])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = {i: [int(j) if j < 251 else None for j in np.argsort(-(unit @ unit[i]), kind="stable")[:3]] for i in (0, 100, 200)}
+    assert got == want
