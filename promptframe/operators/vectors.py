@@ -262,8 +262,8 @@ def _stream_mapper(bc, id_col, vec_col, k, metric, gamma, exclude_self, stream_i
     return run
 
 
-def _np_dtype(t):
-    return "int64" if isinstance(t, (T.LongType, T.IntegerType)) else object
+def _np_dtype(t):  # an id may be null
+    return "Int64" if isinstance(t, (T.LongType, T.IntegerType)) else object
 
 
 def knn_search(queries: DataFrame, store: DataFrame, k: int = 3, q_id: str = "q_id", q_vec: str = "vector",
